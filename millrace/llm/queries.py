@@ -58,3 +58,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     judged = quality.apply_policy(quality.ledger(_table(spark, sf_dir, "documents")), "v1")
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@_query("op1_token_store")
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import token_store
+
+    return token_store.encode_and_read(spark, _table(spark, sf_dir, "documents"))
