@@ -65,3 +65,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import token_store
 
     return token_store.encode_and_read(spark, _table(spark, sf_dir, "documents"))
+
+
+@_query("op2_trie_bpe")
+def op2_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import trie_bpe
+
+    return trie_bpe.encode_decode(_table(spark, sf_dir, "documents"), full=False)

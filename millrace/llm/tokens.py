@@ -25,6 +25,12 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces(text: str) -> tuple[str, list[str]]:
+    """The first piece, and the others without the space that each of them starts with."""
+    parts = [p[1:] if i else p for i, p in enumerate(_CUT.split(text))] if _ODD.search(text) else text.split(" ")
+    return parts[0], parts[1:]
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
 
@@ -50,11 +56,6 @@ class Encoder:
             _LOADED[path] = cls(path)
         return _LOADED[path]
 
-    def pieces(self, text: str) -> tuple[str, list[str]]:
-        """The first piece, and the others without the space that each of them starts with."""
-        parts = [p[1:] if i else p for i, p in enumerate(_CUT.split(text))] if _ODD.search(text) else text.split(" ")
-        return parts[0], parts[1:]
-
     def _learn(self, missing: list[str], space: str, cache: dict[str, bytes]) -> None:
         np = self._np
         for k in range(0, len(missing), 20_000):
@@ -63,12 +64,12 @@ class Encoder:
                 cache[p] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
+        cut = [pieces(t) for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
         if len(self.heads) > CACHE // 4:
             self.heads.clear()
-        for pieces, space, cache in ((set(chain.from_iterable(c[1] for c in cut)), " ", self.cache), ({c[0] for c in cut}, "", self.heads)):
-            self._learn([p for p in pieces if p not in cache], space, cache)
+        for found, space, cache in ((set(chain.from_iterable(c[1] for c in cut)), " ", self.cache), ({c[0] for c in cut}, "", self.heads)):
+            self._learn([p for p in found if p not in cache], space, cache)
         heads, get = self.heads, self.cache.__getitem__
         return [heads[first] + b"".join(map(get, rest)) for first, rest in cut]
