@@ -72,3 +72,10 @@ def op2_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import trie_bpe
 
     return trie_bpe.encode_decode(_table(spark, sf_dir, "documents"), full=False)
+
+
+@_query("op3_warc")
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import warc
+
+    return warc.archive_and_read(spark, _table(spark, sf_dir, "pages"))
