@@ -79,3 +79,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import warc
 
     return warc.archive_and_read(spark, _table(spark, sf_dir, "pages"))
+
+
+@_query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import packing
+
+    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents")))
