@@ -86,3 +86,31 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import packing
 
     return packing.pack(packing.pieces(_table(spark, sf_dir, "documents")))
+
+
+SQL_NEAR = r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words
+  from documents
+),
+s as (
+  select doc_id, unnest(case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
+    else list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) end) as g
+  from w
+),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e as (select p.a, p.b from p join n x on p.a = x.doc_id join n y on p.b = y.doc_id where 100 * c >= 75 * (x.n + y.n - c)),
+u as (select a, b from e union all select b, a from e),
+r(id, low) as (select doc_id, doc_id from w union select u.a, r.low from r join u on u.b = r.id),
+m as (select id, min(low) as low from r group by id)
+select w.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, m.low as component_id, w.doc_id = m.low as kept
+from w join m on w.doc_id = m.id left join n on w.doc_id = n.doc_id
+"""
+
+
+@_query("op4_minhash", SQL_NEAR)
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import minhash
+
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))

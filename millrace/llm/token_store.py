@@ -393,7 +393,7 @@ def verify(manifest: DataFrame, root: str) -> DataFrame:
 
     recipes = read_recipes(manifest, root).withColumnRenamed("n", "n_recipe")
     chunks = read_chunks(manifest, root).select("digest", "n", "crc")
-    joined = recipes.join(chunks, "digest", "left").select("doc_id", "start", "n_tokens", "n_recipe", F.coalesce("n", F.lit(-1)).alias("n"), shifted(F.coalesce("crc", F.lit(0)), 4 * F.col("after")).alias("part"))
+    joined = recipes.join(chunks.hint("merge"), "digest", "left").select("doc_id", "start", "n_tokens", "n_recipe", F.coalesce("n", F.lit(-1)).alias("n"), shifted(F.coalesce("crc", F.lit(0)), 4 * F.col("after")).alias("part"))
     out = joined.groupBy("doc_id", "start").agg(F.max("n_tokens").alias("n_tokens"), F.bit_xor("part").alias("ids_crc32"), F.sum("n").alias("_stored"), F.count("*").alias("n_chunks"))
     lost = F.raise_error(F.concat(F.lit("the store lacks chunks of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     return out.select("doc_id", "start", F.when(F.col("_stored") == F.col("n_tokens"), F.col("n_tokens")).otherwise(lost.cast("long")).alias("n_tokens"), "ids_crc32", "n_chunks")
@@ -401,7 +401,7 @@ def verify(manifest: DataFrame, root: str) -> DataFrame:
 
 def reconstruct(manifest: DataFrame, root: str) -> DataFrame:
     """doc_id, start and the ids themselves (binary, little-endian 32-bit), for readers that want the streams."""
-    joined = read_recipes(manifest, root).drop("n").join(read_chunks(manifest, root, True).select("digest", "ids"), "digest")
+    joined = read_recipes(manifest, root).drop("n").join(read_chunks(manifest, root, True).select("digest", "ids").hint("merge"), "digest")
     parts = F.array_sort(F.collect_list(F.struct("seq", "ids")))
     return joined.groupBy("doc_id", "start").agg(F.max("n_tokens").alias("n_tokens"), parts.alias("_p")).select("doc_id", "start", "n_tokens", F.expr("aggregate(_p, cast('' as binary), (a, x) -> concat(a, x.ids))").alias("ids"))
 
