@@ -114,3 +114,24 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import minhash
 
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+SQL_CHAT = r"""
+with p as (select *, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as pos from conversations),
+k as (select conv_id, pos, string_agg(md5(coalesce('r' || role, 'n') || chr(0) || coalesce('t' || text, 'n')), '' order by pos)
+      over (partition by conv_id order by pos rows between unbounded preceding and current row) as h from p),
+n as (select conv_id, max(pos) as n from p group by conv_id),
+w as (select h, k.pos as n, min(k.conv_id) as conv_id, count(*) as n_copies from k join n on k.conv_id is not distinct from n.conv_id and k.pos = n.n group by 1, 2),
+l as (select distinct h from k join n on k.conv_id is not distinct from n.conv_id and k.pos < n.n),
+m as (select * from w where h not in (select h from l))
+select m.conv_id, cast(m.n as bigint) as n_turns, m.n_copies,
+       string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' order by p.pos) as rendered
+from m join p on p.conv_id is not distinct from m.conv_id group by m.conv_id, m.n, m.n_copies
+"""
+
+
+@_query("op6_chat_snapshots", SQL_CHAT)
+def op6_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import chat
+
+    return chat.rendered(_table(spark, sf_dir, "conversations"))
