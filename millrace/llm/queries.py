@@ -135,3 +135,10 @@ def op6_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import chat
 
     return chat.rendered(_table(spark, sf_dir, "conversations"))
+
+
+@_query("op5_ann")
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import ann
+
+    return ann.search(_table(spark, sf_dir, "embeddings"))
