@@ -142,3 +142,23 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import ann
 
     return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
+SQL_PHRASES = r"""
+with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+s as (select doc_id, unnest(range(1, len(words) - 18)) as p, words from w where len(words) >= 20),
+k as (select doc_id, p, md5(array_to_string(words[p:p + 19], ' ')) as h from s),
+r as (select doc_id, p from (select doc_id, p, row_number() over (partition by h order by doc_id, p) as n from k) where n > 1),
+c as (select distinct doc_id, p + d as p from r, range(20) t(d)),
+o as (select w.doc_id, len(words) as n_words, unnest(words) as word, unnest(range(1, len(words) + 1)) as p from w),
+f as (select o.doc_id, string_agg(word, ' ' order by o.p) as kept, count(*) as n from o left join c on o.doc_id = c.doc_id and o.p = c.p where c.p is null group by 1)
+select w.doc_id, cast(len(words) as bigint) as n_words, cast(len(words) - coalesce(f.n, 0) as bigint) as n_removed, sha256(coalesce(f.kept, '')) as kept_sha256
+from w left join f on w.doc_id = f.doc_id
+"""
+
+
+@_query("op7_phrases", SQL_PHRASES)
+def op7_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import phrases
+
+    return phrases.without_repeats(_table(spark, sf_dir, "documents"))
