@@ -1,9 +1,49 @@
-"""Corpus pipeline: quality rules, near-duplicate removal, repeated passages, packing."""
+"""Corpus pipeline: quality rules, near-duplicate removal, repeated passages, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; its result is written as
+Parquet and read again as the next stage's docs. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import minhash, packing, phrases, quality, store
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality.passing(docs, "v1", keep=COLUMNS[1:]).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that with the smallest id."""
+    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 20 words or more that occur earlier are cut out of the texts."""
+    cut = phrases.without_repeats(docs, with_text=True, extra=["lang", "source"])
+    return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces and their places in sequences of 1024 tokens."""
+    return packing.pack(packing.pieces(docs))
+
+
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("best_fit_packing", best_fit_packing)]
+
+#: SQL has no tokenizer, so the last stage, and with it the whole, has no counterpart; tests hold it against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for name, stage in STAGES:
+        docs = store.written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

@@ -306,7 +306,7 @@ def _removed(path: str, with_text: bool):
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.string()] * with_text
         for batch in batches:
             out = [[] for _ in names]
-            for i, text, tag, s in zip(*[c.to_pylist() for c in batch.columns]):
+            for i, text, tag, s in zip(*[c.to_pylist() for c in batch.columns[:4]]):
                 if s != shard:
                     shard, spans = s, {}
                     table = shards.companion(path, s, ["id", "tag", "start", "n"])
@@ -322,19 +322,20 @@ def _removed(path: str, with_text: bool):
                         drop[c + d] -= 1
                     own = [w for w, k in zip(own, (np.cumsum(drop[:-1]) == 0).tolist()) if k]
                 kept = b" ".join(own)
-                row = (i, n, n - len(own), hashlib.sha256(kept).hexdigest()) + ((kept.decode("utf-8", "surrogatepass"),) if with_text else ())
+                row = (i, n, n - len(own), hashlib.sha256(kept).hexdigest()) + ((kept.decode("utf-8", "surrogatepass") if gone else text,) if with_text else ())
                 for c, v in zip(out, row):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, kinds)] + batch.columns[4:], names=names + [f"x_{k}" for k in range(len(batch.columns) - 4)])
 
     return run
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text: the words left, joined by single spaces."""
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, with_text: bool = False, extra: list[str] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256, of the words left, joined by single spaces. With `with_text` also
+    kept_text: that string, or the text as it was where nothing goes. `extra` columns are passed through."""
     spark = docs.sparkSession
     store.arrow_rows(spark, 512)
-    copy = shards.sharded(docs, id_col, text_col)
+    copy = shards.sharded(docs, id_col, text_col, extra)
     sent = copy.select("id", "text", "shard").mapInArrow(_sent(width), "anchor long, key long, shard int, id long, many boolean, fold boolean")
     met = sent.repartition(store.partitions(spark), "anchor").sortWithinPartitions("anchor", "key", "id")
     routes = shards.companions(met.mapInArrow(_routed, "shard int, anchor long, key long, first_id long, again boolean, edge boolean"), "routes")
@@ -343,5 +344,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     earliest = windows.groupBy("w1", "w2").agg(F.min("id").alias("first_id"), F.max("id").alias("_last")).where("first_id < _last")
     later = windows.join(earliest, ["w1", "w2"]).where("id > first_id").select("id", "tag", "shard", "start", "n")
     covers = shards.companions(found.where("w1 is null").select("id", "tag", "shard", "start", "n").unionByName(later), "removals")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return copy.select("id", "text", "tag", "shard").mapInArrow(_removed(covers, with_text), schema)
+    passed = [f"x_{k}" for k in range(len(extra))]
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text + "".join(f", {p} {copy.schema[p].dataType.simpleString()}" for p in passed)
+    out = copy.select("id", "text", "tag", "shard", *passed).mapInArrow(_removed(covers, with_text), schema)
+    return out.withColumnsRenamed(dict(zip(passed, extra)))

@@ -101,6 +101,15 @@ def apply_policy(ledger_df: DataFrame, policy: str = "v1") -> DataFrame:
     return ledger_df.selectExpr("*", f"(failures & {base}L) <> 0 as base_failed", f"(failures & {base | own}L) = 0 as kept", f"'{policy}' as policy")
 
 
+def passing(docs: DataFrame, policy: str = "v1", id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
+    """The rows that a policy keeps, with the id and the `keep` columns, in the same single pass.
+
+    The row number is only there to keep the optimizer from moving the filter below the projections, where it would
+    copy each measurement's expression into the condition many times over."""
+    numbered = ledger(docs, id_col, text_col, keep).withColumn("_row", F.monotonically_increasing_id())
+    return apply_policy(numbered, policy).where("kept and _row >= 0").select(id_col, *keep)
+
+
 def ablations(ledger_df: DataFrame, policy: str = "v1") -> DataFrame:
     """What each rule of a policy costs: documents failing it, failing nothing else, and kept once it is left out.
 

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from millrace.llm import store
 
 
-def sharded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text, tag (64-bit hash of the text, to tell rows that repeat an id apart), shard."""
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return store.written(base.select("id", "text", F.xxhash64("text").alias("tag"), F.spark_partition_id().alias("shard")), "shards")
+def sharded(docs: DataFrame, id_col: str, text_col: str, extra: list[str] = ()) -> DataFrame:
+    """id, text, tag (64-bit hash of the text, to tell rows that repeat an id apart), shard, and x_0, x_1 ... for the
+    extra columns."""
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"x_{k}") for k, c in enumerate(extra)])
+    return store.written(base.select("id", "text", F.xxhash64("text").alias("tag"), F.spark_partition_id().alias("shard"), *[f"x_{k}" for k in range(len(extra))]), "shards")
 
 
 def companions(df: DataFrame, name: str) -> str:
