@@ -1,21 +1,25 @@
 """Exact token ids of whole texts through the tokenizers library, at several times the speed of encoding texts whole.
 
-The byte-level pre-tokenizer never lets a token cross a place where a single space follows a character that is not
-white space: such a space always starts the next token. So a text is cut there, each distinct piece is encoded once
-by the library and its ids are reused. White space is taken in Python's wider sense, which only cuts less often.
+The byte-level pre-tokenizer never lets a token cross certain places, so a text is cut there, each distinct piece is
+encoded once by the library, and its ids are reused:
+- before a single space that follows a character other than white space: the space starts the next token;
+- around a line break between two characters other than white space: it is a token of its own;
+- between an ASCII letter and a closing punctuation mark at a piece's end.
+White space is taken in Python's wider sense, which only cuts less often.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import chain
+from collections import Counter
 
 #: Before a space that follows a character other than white space.
 _CUT = re.compile(r"(?<=\S)(?= )")
-#: Where cutting at every space would be wrong.
-_ODD = re.compile(r"\s ")
-#: Distinct pieces whose ids a worker keeps; beyond it the cache starts anew.
-CACHE = 600_000
+_MARKS = frozenset(".,;:!?")
+#: Distinct pieces in one generation of a worker's cache. A full generation becomes the old one, whose pieces are
+#: taken over when they are met again.
+CACHE = 500_000
+HOT = 4000
 _LOADED: dict = {}
 
 
@@ -25,14 +29,107 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def pieces(text: str) -> tuple[str, list[str]]:
-    """The first piece, and the others without the space that each of them starts with."""
-    parts = [p[1:] if i else p for i, p in enumerate(_CUT.split(text))] if _ODD.search(text) else text.split(" ")
-    return parts[0], parts[1:]
+class Pieces:
+    """Encodes texts to little-endian unsigned 32-bit ids, as bytes, from the ids of their pieces.
 
+    A subclass gives `_whole`, the ids of any text, and `_library`, which puts the ids of new pieces without white
+    space into the cache; behind the separator " " a piece's own ids start with that space.
+    """
 
-class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
+    def __init__(self):
+        self.cache: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.heads: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.odd: dict[str, bytes] = {}
+        self.hot: dict[str, bytes] = {}
+        self.lone = {m: self._whole(m) for m in [*_MARKS, "\n"]}
+
+    @classmethod
+    def of(cls, path: str):
+        """One encoder a worker process, kept from task to task."""
+        if (cls, path) not in _LOADED:
+            _LOADED.clear()
+            _LOADED[cls, path] = cls(path)
+        return _LOADED[cls, path]
+
+    def _learn(self, found: set[str], sep: str, caches: tuple[dict, dict]) -> tuple[dict, dict]:
+        """The caches with all of `found` in them, but for empty pieces and those with white space inside."""
+        cache, old = caches
+        if len(cache) > CACHE:
+            cache, old = {}, cache
+        new, marked = [], []
+        for p in found:
+            if (known := old.get(p)) is not None:
+                cache[p] = known
+            elif p.split() != [p]:
+                continue
+            elif p[-1] in _MARKS and len(p) > 1 and p[-2].isascii() and p[-2].isalpha():
+                marked.append(p)
+                if p[:-1] not in cache and p[:-1] not in found:
+                    new.append(p[:-1])
+            else:
+                new.append(p)
+        self._library(list(dict.fromkeys(new)), sep, cache)
+        for p in marked:
+            cache[p] = cache[p[:-1]] + self.lone[p[-1]]
+        return cache, old
+
+    def _odd_text(self, text: str) -> bytes:
+        """A text with runs of white space, or with white space other than spaces and line breaks."""
+        out = []
+        for p in _CUT.split(text):
+            known = self.odd.get(p)
+            if known is None:
+                if len(self.odd) > CACHE // 4:
+                    self.odd.clear()
+                known = self.odd[p] = self._whole(p)
+            out.append(known)
+        return b"".join(out)
+
+    def _looked_up(self, flat: list[str], sep: str, caches: tuple[dict, dict]) -> tuple[list, tuple[dict, dict]]:
+        """The ids of each piece, None where it has white space inside. Most pieces are among a few thousand, whose
+        own small dictionary stays in the processor's cache."""
+        out = list(map(self.hot.get, flat)) if sep == " " else [None] * len(flat)
+        missing = [i for i, v in enumerate(out) if v is None]
+        get = caches[0].get
+        found = [get(flat[i]) for i in missing]
+        if None in found:
+            caches = self._learn({flat[i] for i, v in zip(missing, found) if v is None}, sep, caches)
+            get = caches[0].get
+            found = [get(flat[i]) if v is None else v for i, v in zip(missing, found)]
+        for i, v in zip(missing, found):
+            out[i] = v
+        if sep == " " and not self.hot and len(flat) > 20_000:
+            self.hot = {p: caches[0][p] for p, _ in Counter(flat).most_common(HOT) if p in caches[0]}
+        return out, caches
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        firsts, rest, ends = [], [], []
+        for text in texts:
+            for line in text.split("\n"):
+                parts = line.split(" ")
+                firsts.append(parts[0])
+                rest += parts[1:]
+                ends.append(len(rest))
+        heads, self.heads = self._looked_up(firsts, "\n", self.heads)
+        ids, self.cache = self._looked_up(rest, " ", self.cache)
+        odd = None in ids
+        out, k, at, line_break = [], 0, 0, self.lone["\n"]
+        for text in texts:
+            lines, n = [], text.count("\n") + 1
+            own, start = ends[k : k + n], at
+            if None in heads[k : k + n] or odd and None in ids[start : own[-1]]:
+                out.append(self._odd_text(text))
+            else:
+                for e, h in zip(own, heads[k : k + n]):
+                    lines.append(h + b"".join(ids[at:e]))
+                    at = e
+                out.append(line_break.join(lines))
+            at, k = own[-1], k + n
+        return out
+
+
+class Encoder(Pieces):
+    """Asks the tokenizers library."""
 
     def __init__(self, path: str):
         import os
@@ -41,35 +138,33 @@ class Encoder:
         import numpy as np
         from tokenizers import Tokenizer
 
-        self._np = np
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.cache: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
+        self.tokenizer = t = Tokenizer.from_file(path)
+        t.no_truncation()
+        t.no_padding()
+        letters = t.pre_tokenizer.alphabet()
+        added = t.get_added_tokens_decoder()
+        self.size = np.zeros(t.get_vocab_size(), dtype=np.int64)
+        for token, i in t.get_vocab().items():
+            self.size[i] = len(added[i].content.encode()) if i in added else len(token) if all(c in letters for c in token) else 0
+        super().__init__()
+
+    def _whole(self, text: str) -> bytes:
+        import numpy as np
 
-    @classmethod
-    def of(cls, path: str) -> Encoder:
-        """One encoder a worker process, kept from task to task."""
-        if path not in _LOADED:
-            _LOADED.clear()
-            _LOADED[path] = cls(path)
-        return _LOADED[path]
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, missing: list[str], space: str, cache: dict[str, bytes]) -> None:
-        np = self._np
-        for k in range(0, len(missing), 20_000):
-            some = missing[k : k + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast([space + p for p in some], add_special_tokens=False)):
-                cache[p] = np.array(e.ids, dtype="<u4").tobytes()
+    def _library(self, new: list[str], sep: str, cache: dict[str, bytes]) -> None:
+        """Asks the library for pieces without white space, many as one text. They are joined by spaces, which belong
+        to the piece behind them, or by line breaks, which are tokens of their own; the ids are told apart by the bytes
+        that they stand for."""
+        import numpy as np
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces(t) for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        if len(self.heads) > CACHE // 4:
-            self.heads.clear()
-        for found, space, cache in ((set(chain.from_iterable(c[1] for c in cut)), " ", self.cache), ({c[0] for c in cut}, "", self.heads)):
-            self._learn([p for p in found if p not in cache], space, cache)
-        heads, get = self.heads, self.cache.__getitem__
-        return [heads[first] + b"".join(map(get, rest)) for first, rest in cut]
+        skip = 4 if sep == "\n" else 0
+        for k in range(0, len(new), 2000):
+            some = new[k : k + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([sep + sep.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(p) + 1 if p.isascii() else len(p.encode("utf-8", "surrogatepass")) + 1 for p in some])) + 1
+            data, at = ids.tobytes(), 0
+            for p, e in zip(some, (4 * ends).tolist()):
+                cache[p] = data[at + skip : e]
+                at = e
