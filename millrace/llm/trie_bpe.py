@@ -26,10 +26,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm import store, tokens
 
-WORDS, PAIRS = 500_000, 1_500_000
+WORDS, PAIRS = 300_000, 1_500_000
 #: How the byte-level scheme splits text into words, as its public definition has it; white space by Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-_LOADED: dict = {}
 
 
 def byte_letters() -> dict[str, int]:
@@ -39,7 +38,7 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Codec:
+class Codec(tokens.Pieces):
     """Encodes and decodes with the vocabulary and merges of a tokenizers file."""
 
     def __init__(self, path: str):
@@ -61,14 +60,7 @@ class Codec:
         self.split = regex.compile(PATTERN).findall
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    @classmethod
-    def of(cls, path: str) -> Codec:
-        if path not in _LOADED:
-            _LOADED.clear()
-            _LOADED[path] = cls(path)
-        return _LOADED[path]
+        super().__init__()
 
     def merged(self, data: bytes) -> list[int]:
         """The defining procedure: the pair of least rank is merged first, the leftmost of equals."""
@@ -133,38 +125,27 @@ class Codec:
                     words[w] = packed
             todo += [(x, c, depth) for x, c in children[node].items()]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit integers."""
+    def _spelt(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, word by word."""
         if len(self.words) > WORDS:
             self.words.clear()
-        if len(self.pieces) > WORDS:
-            self.pieces.clear()
-        plain, plan = [], []
+        plan = []
         for text in texts:
             at, own = 0, []
-            if any(s in text for s in self.special):
-                for s, i in self._specials(text):
-                    own.append(len(plain))
-                    plain.append(text[at:s])
-                    own.append(-1 - self.special[i])
-                    at = s + len(i)
-            own.append(len(plain))
-            plain.append(text[at:])
-            plan.append(own)
-        cut = [tokens.pieces(t) for t in plain]
-        pieces = self.pieces
-        new = {p for p in set().union(*(c[1] for c in cut)) if p not in pieces}
-        heads = {c[0] for c in cut}
-        split = {" " + p: self.split(" " + p) for p in new} | {p: self.split(p) for p in heads}
-        fresh = {w for ws in split.values() for w in ws if w not in self.words}
-        self.learn(list(fresh))
-        word = self.words.__getitem__
-        for p in new:
-            pieces[p] = b"".join(map(word, split[" " + p]))
-        head = {p: b"".join(map(word, split[p])) for p in heads}
-        get = pieces.__getitem__
-        done = [head[c[0]] + b"".join(map(get, c[1])) for c in cut]
-        return [b"".join(done[k] if k >= 0 else (-1 - k).to_bytes(4, "little") for k in own) for own in plan]
+            if any(t in text for t in self.special):
+                for i, t in self._specials(text):
+                    own += [*self.split(text[at:i]), self.special[t]]
+                    at = i + len(t)
+            plan.append(own + self.split(text[at:]))
+        self.learn(list({w for own in plan for w in own if w.__class__ is str and w not in self.words}))
+        word = self.words
+        return [b"".join([word[w] if w.__class__ is str else w.to_bytes(4, "little") for w in own]) for own in plan]
+
+    def _whole(self, text: str) -> bytes:
+        return self._spelt([text])[0]
+
+    def _library(self, new: list[str], sep: str, cache: dict[str, bytes]) -> None:
+        cache.update(zip(new, self._spelt([" " + p for p in new] if sep == " " else new)))
 
     def _specials(self, text: str) -> list[tuple[int, str]]:
         """Places of special tokens, the leftmost first and the longest of equals."""
