@@ -29,7 +29,7 @@ from millrace.llm import words as W
 from millrace.llm.components import components
 
 R, B = 4, 32
-K = R * B
+K = 512  #: coordinates; the first R * B make the bands, all of them, cut to 8 bits, the estimates
 BLOCK = 256  #: members of a bucket that are compared with one another, or with another block, in one step
 
 
@@ -99,8 +99,8 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
                 values, bounds = shingle_sets(texts[a:b], width)
                 coords = sketch(values, bounds)
                 sizes = np.diff(bounds)
-                bands = band_keys(coords)
-                low = (coords & np.uint64(0xFFFF)).astype("<u2")
+                bands = band_keys(coords[:, : R * B])
+                low = (coords & np.uint64(0xFF)).astype(np.uint8)
                 digest = [hashlib.blake2b(values[s:e].tobytes(), digest_size=16).digest() if e > s else None for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digest, pa.binary()), pa.array([x.tobytes() if d else None for x, d in zip(bands, digest)], pa.binary()), pa.array([x.tobytes() if d else None for x, d in zip(low, digest)], pa.binary())],
@@ -147,7 +147,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> Da
 
 def _across(blocks: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components in each (key, i, j) group of rows sorted by it, whose sketches come near."""
-    least = max(0.0, percent / 100 - 5 * (0.25 / K) ** 0.5)
+    t = percent / 100
+    least = max(0.0, t - 5 * (t * (1 - t) / K) ** 0.5)  # five standard deviations below the threshold
 
     def run(batches):
         import numpy as np
@@ -158,7 +159,7 @@ def _across(blocks: DataFrame, percent: int) -> DataFrame:
             right = left if rows[0][1] == rows[0][2] else [r for r in rows if r[3] == r[2]]
             if not left or not right:
                 return
-            sa, sb = (np.frombuffer(b"".join(r[6] for r in x), dtype="<u2").reshape(len(x), K) for x in (left, right))
+            sa, sb = (np.frombuffer(b"".join(r[6] for r in x), dtype=np.uint8).reshape(len(x), K) for x in (left, right))
             comp_b = np.array([r[5] for r in right])
             for k, r in enumerate(left):
                 hit = ((sb == sa[k]).sum(axis=1) >= least * K) & (comp_b != r[5])

@@ -25,139 +25,19 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import anchors as A
 from millrace.llm import shards, store
 from millrace.llm import words as W
 
 GRAM = 6
-SENT = 400_000  #: segments that a task gathers and makes distinct before it sends them
 BLOCK = 3 << 20  #: bytes of text that one automaton serves
 LETTERS = 1_000_000  #: distinct words of one automaton; more passages make further automata
 OTHER = "\x01"  #: stands for every word that is in no passage
 
 
-def segments(h, width: int):
-    """(anchor, key, first, count) arrays of a document's segments: windows first .. first + count - 1.
-
-    `key` hashes all words of the segment, through prefix sums of position-weighted word hashes."""
-    import numpy as np
-
-    n = len(h) - width + 1
-    if n < 1:
-        empty = np.zeros(0, np.uint64)
-        return empty, empty, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    g = W.grams(h, GRAM)
-    span = width - GRAM + 1
-    m, step = g.copy(), 1
-    while 2 * step <= span:
-        m = np.minimum(m[: len(m) - step], m[step:])
-        step *= 2
-    m = np.minimum(m[:n], m[span - step : span - step + n])
-    # a window's anchor is the least hash; runs of equal anchors are segments, whatever place the anchor has
-    first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
-    count = np.diff(np.concatenate([first, [n]]))
-    power = np.cumprod(np.full(len(h) + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(h ^ np.uint64(0x5851F42D4C957F2D)) * power[:-1])])
-    last = first + count + width - 1
-    # divide by the weight of the first word: the inverse of an odd number modulo 2**64
-    inverse = np.cumprod(np.full(len(h) + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), dtype=np.uint64))
-    key = W.mix((sums[last] - sums[first]) * inverse[first] + count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return m[first], key, first, count
-
-
-def folded(h, anchor, first, count, width: int):
-    """Whether each segment holds its anchor more than once: only then can two of its own windows be equal."""
-    import numpy as np
-
-    if not len(first):
-        return np.zeros(0, bool)
-    g = W.grams(h, GRAM)
-    size = count + width - GRAM
-    start = np.cumsum(size) - size
-    at = np.arange(int(size.sum())) + np.repeat(first - start, size)
-    return np.add.reduceat((g[at] == np.repeat(anchor, size)).astype(np.int32), start) > 1
-
-
-def _sent(width: int):
-    """(anchor, key, shard, id, many, fold) rows: a task's distinct segments with the least id, whether it met one
-    twice, and whether its own windows may be equal."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        def batch_of(parts, shard):
-            anchor, key, ids, fold = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            order = np.lexsort((ids, key, anchor))
-            anchor, key, ids, fold = anchor[order], key[order], ids[order], fold[order]
-            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (anchor[1:] != anchor[:-1])]))
-            many = np.diff(np.concatenate([first, [len(key)]])) > 1
-            return pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(key[first].view(np.int64)), pa.array(np.full(len(first), shard, np.int32)), pa.array(ids[first]), pa.array(many), pa.array(fold[first])], names=["anchor", "key", "shard", "id", "many", "fold"])
-
-        parts, size, shard = [], 0, None
-        for batch in batches:
-            ids, shard_of = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            for s, e in W.slices(texts):
-                h, bounds, *_ = W.scan(texts[s:e])
-                for k in range(s, e):
-                    if ids[k] is None:
-                        continue
-                    if parts and (size >= SENT or shard_of[k] != shard):
-                        yield batch_of(parts, shard)
-                        parts, size = [], 0
-                    shard = shard_of[k]
-                    own = h[bounds[k - s] : bounds[k - s + 1]]
-                    anchor, key, first, count = segments(own, width)
-                    if len(key):
-                        parts.append((anchor, key, np.full(len(key), ids[k], np.int64), folded(own, anchor, first, count, width)))
-                        size += len(key)
-        if parts:
-            yield batch_of(parts, shard)
-
-    return run
-
-
-def _routed(batches):
-    """From rows sorted by (anchor, key, id): what each shard must know. One key's rows are held at a time."""
-    import pyarrow as pa
-
-    out: list = [[], [], [], [], [], []]
-
-    def batch_of():
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
-        b = pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, kinds)], names=["shard", "anchor", "key", "first_id", "again", "edge"])
-        for c in out:
-            c.clear()
-        return b
-
-    def put(rows, edge):
-        again = len(rows) > 1 or rows[0][4]
-        edge = edge or rows[0][5]
-        if not (again or edge):
-            return
-        first = rows[0][3]
-        seen = set()
-        for anchor, key, shard, i, *_ in rows:
-            if shard in seen:
-                continue
-            seen.add(shard)
-            if again or i == first:
-                for c, v in zip(out, (shard, anchor, key, first, again, edge and i == first)):
-                    c.append(v)
-
-    held, shared = [], False
-    for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns]):
-            if held and row[:2] != held[0][:2]:
-                same = row[0] == held[0][0]
-                put(held, shared or same)
-                held, shared = [], same
-            held.append(row)
-        if len(out[0]) > 8192:
-            yield batch_of()
-    if held:
-        put(held, shared)
-    yield batch_of()
+def word_units(texts: list[bytes]):
+    h, bounds, *_ = W.scan(texts)
+    return h, bounds
 
 
 def located(docs_words, route, width: int):
@@ -166,20 +46,18 @@ def located(docs_words, route, width: int):
     docs_words: per document (hashes, words as bytes); route: (anchors, keys, first ids, again, edge) with keys sorted.
     Yields per document (occurrences as (start word, words, first id), edge segments as (first window, windows))."""
     import ahocorasick
-    import numpy as np
 
-    r_anchor, r_key, r_first, r_again, r_edge = route
+    r_first, r_again, r_edge = route[2:]
     found: dict[tuple, int] = {}
     edges, hits = [], []
     for h, own in docs_words:
-        anchor, key, first, count = segments(h, width)
-        at = np.minimum(np.searchsorted(r_key, key.view(np.int64)), len(r_key) - 1)
-        hit = np.flatnonzero((r_key[at] == key.view(np.int64)) & (r_anchor[at] == anchor.view(np.int64)))
-        for i in hit[r_again[at[hit]]].tolist():
-            a = int(first[i])
-            found[tuple(own[a : a + int(count[i]) + width - 1])] = int(r_first[at[i]])
-        own_edges = hit[r_edge[at[hit]]]
-        edges.append([(int(first[i]), int(count[i]), int(r_first[at[i]])) for i in own_edges.tolist()])
+        anchor, key, first, count = A.segments(h, width, GRAM)
+        hit, at = A.looked_up(route, anchor, key)
+        for i, r in zip(hit.tolist(), at.tolist()):
+            a, n, first_id = int(first[i]), int(count[i]), int(r_first[r])
+            if r_again[r]:
+                found[tuple(own[a : a + n + width - 1])] = first_id
+        edges.append([(int(first[i]), int(count[i]), int(r_first[r])) for i, r in zip(hit.tolist(), at.tolist()) if r_edge[r]])
         hits.append([])
     passages = list(found.items())
     while passages:
@@ -277,13 +155,7 @@ def _covered(path: str, width: int):
         for rows in blocks():
             if rows[0][3] != shard:
                 shard = rows[0][3]
-                table = shards.companion(path, shard, ["anchor", "key", "first_id", "again", "edge"])
-                if table is not None:
-                    cols = [table.column(c).to_numpy() for c in ("anchor", "key", "first_id", "again", "edge")]
-                    order = np.argsort(cols[1], kind="stable")
-                    route = [c[order] for c in cols]
-                else:
-                    route = None
+                route = A.route_of(path, shard)
             if route is None:
                 continue
             for row in block(rows):
@@ -336,9 +208,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     store.arrow_rows(spark, 512)
     copy = shards.sharded(docs, id_col, text_col, extra)
-    sent = copy.select("id", "text", "shard").mapInArrow(_sent(width), "anchor long, key long, shard int, id long, many boolean, fold boolean")
-    met = sent.repartition(store.partitions(spark), "anchor").sortWithinPartitions("anchor", "key", "id")
-    routes = shards.companions(met.mapInArrow(_routed, "shard int, anchor long, key long, first_id long, again boolean, edge boolean"), "routes")
+    routes = A.routes(copy, word_units, width, GRAM, True)
     found = store.written(copy.select("id", "text", "tag", "shard").mapInArrow(_covered(routes, width), "id long, tag long, shard int, start int, n int, w1 long, w2 long"), "covers")
     windows = found.where("w1 is not null")
     earliest = windows.groupBy("w1", "w2").agg(F.min("id").alias("first_id"), F.max("id").alias("_last")).where("first_id < _last")

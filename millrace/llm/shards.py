@@ -25,7 +25,7 @@ def companions(df: DataFrame, name: str) -> str:
     """Writes a table with a `shard` column, one folder a shard, and returns its path."""
     path = store.fresh(df.sparkSession, name)
     n = store.partitions(df.sparkSession)
-    df.repartition(n, "shard").write.partitionBy("shard").parquet(path)
+    df.repartition(n, "shard").write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return path
 
 

@@ -40,7 +40,7 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     costs a reread instead of a recomputation."""
     spark = df.sparkSession
     path = path or fresh(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._millrace_path = path
     return out
