@@ -162,3 +162,10 @@ def op7_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import phrases
 
     return phrases.without_repeats(_table(spark, sf_dir, "documents"))
+
+
+@_query("op10_suffix_array")
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import suffix
+
+    return suffix.without_repeats(_table(spark, sf_dir, "documents"))
