@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+_PLANS = ["programs"]
 
 
 def query(name: str, sql: str | None = None):
@@ -20,3 +21,13 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def _load() -> None:
+    import importlib
+
+    for name in _PLANS:
+        importlib.import_module(f"millrace.plans.{name}")
+
+
+_load()
