@@ -56,7 +56,10 @@ class Codec(tokens.Pieces):
         self.byte = [vocab[bytes([b])] for b in range(256)]
         self.bytes_of = {i: t for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
         self.vocab = vocab
-        self.longest = max(map(len, vocab))
+        self.longest: dict[bytes, int] = {}  # of the tokens that end in given bytes, three or fewer
+        for t in vocab:
+            if len(t) >= 3:
+                self.longest[t[-3:]] = max(self.longest.get(t[-3:], 3), len(t))
         self.split = regex.compile(PATTERN).findall
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
@@ -102,7 +105,7 @@ class Codec(tokens.Pieces):
                     children.append({})
                 node = nxt
             ends.setdefault(node, []).append(w)
-        vocab, longest, follows, words, bytes_of = self.vocab, self.longest, self.follows, self.words, self.bytes_of
+        vocab, longest, follows, words, bytes_of = self.vocab, self.longest.get, self.follows, self.words, self.bytes_of
         path, last = bytearray(), [-1]
         todo = [(b, c, 0) for b, c in children[0].items()]
         while todo:
@@ -110,8 +113,9 @@ class Codec(tokens.Pieces):
             del path[depth:], last[depth + 1 :]
             path.append(b)
             depth += 1
-            for size in range(min(depth, longest), 0, -1):
-                t = vocab.get(bytes(path[depth - size :]))
+            own = bytes(path)
+            for size in range(min(depth, longest(own[-3:], 2)), 0, -1):
+                t = vocab.get(own[depth - size :])
                 if t is not None and follows(last[depth - size], t):
                     break
             last.append(t)
