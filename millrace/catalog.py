@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-_PLANS = ["programs"]
+_PLANS = ["programs", "rules"]
 
 
 def query(name: str, sql: str | None = None):
