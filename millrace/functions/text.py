@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
@@ -139,11 +139,13 @@ def head_in(text: Column, head: Column) -> Column:
     return (F.size(first) > 0) & (F.aggregate(first, F.lit(1), step) > 0)
 
 
-def repetition(c: Column, n: int = 8, least: int = 40) -> Column:
-    """1 - distinct / all n-grams of lower-case words; null under `least` words."""
-    w = words(F.lower(c))
-    grams = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, n), " ")))
-    return F.when(F.size(w) >= least, 1 - F.size(F.array_distinct(grams)) / F.size(grams))
+def with_repetition(df: DataFrame, name: str, text: str, n: int = 8, least: int = 40) -> DataFrame:
+    """Adds 1 - distinct / all n-grams of lower-case words; null under `least` words. The words are a column of their
+    own, so that they are split once and not once a position."""
+    d = df.withColumn("_w", words(F.lower(text_of(text))))
+    grams = F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.xxhash64(*[F.get(F.col("_w"), i + j) for j in range(n)]))
+    d = d.withColumn("_g", F.when(F.size("_w") >= least, grams))
+    return d.withColumn(name, 1 - F.size(F.array_distinct("_g")) / F.size("_g")).drop("_w", "_g")
 
 
 def site(c: Column) -> Column:
