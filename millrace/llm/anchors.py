@@ -131,9 +131,9 @@ def _met(within: bool):
 
         parts = []
         for batch in batches:
-            for shard, base, n, blob in zip(*[c.to_pylist() for c in batch.columns[1:]]):
+            for shard, base, n, blob in zip(*[c.to_pylist() for c in batch.columns[1:4]], [x.as_buffer() for x in batch.column(4)]):
                 f = np.frombuffer(blob, "<u4", n).astype(np.uint64) | (np.frombuffer(blob, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32))
-                key = np.frombuffer(blob, "<u8", n, 6 * n)
+                key = np.frombuffer(blob, "<u8", n, 6 * n).copy()
                 ids = np.frombuffer(blob, "<u4" if len(blob) == 18 * n else "<u8", n, 14 * n).astype(np.int64) + base
                 parts.append((f, key, ids, np.full(n, shard, np.int32)))
         if not parts:
@@ -182,7 +182,7 @@ def routes(copy: DataFrame, units, width: int, gram: int, within: bool) -> str:
     its anchor (or, if `within`, its own windows may be equal), so its windows must be compared one by one."""
     spark = copy.sparkSession
     size = copy.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(max(store.partitions(spark), size // BUCKET_BYTES))
+    buckets = int(max(2 * store.partitions(spark), size // BUCKET_BYTES))
     sent = copy.select("id", "text", "shard").mapInArrow(_sent(units, width, gram, buckets, within), "bucket int, shard int, base long, n int, blob binary")
     met = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_met(within), "shard int, anchor long, key long, first_id long, again boolean, edge boolean")
     return shards.companions(met, "routes")

@@ -88,61 +88,53 @@ def _covered(path: str, width: int):
         import numpy as np
         import pyarrow as pa
 
-        shard, route = None, None
-        out: list = [[], [], [], [], [], [], []]
-
-        def batch_of():
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            b = pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, kinds)], names=["id", "tag", "shard", "start", "n", "w1", "w2"])
-            for c in out:
-                c.clear()
-            return b
+        def batch_of(parts):
+            """parts: (id, tag, shard, starts, lengths, w1, w2), the last two null where the range is to go."""
+            n = [len(p[3]) for p in parts]
+            fixed = [np.repeat(np.array([p[k] for p in parts], dtype=t), n) for k, t in ((0, np.int64), (1, np.int64), (2, np.int32))]
+            starts, lengths = (np.concatenate([np.asarray(p[k], dtype=np.int32) for p in parts] or [np.zeros(0, np.int32)]) for k in (3, 4))
+            none = np.repeat([p[5] is None for p in parts], n).astype(bool)
+            hashes = [np.concatenate([np.zeros(len(p[3]), np.int64) if p[k] is None else p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in (5, 6)]
+            cols = [pa.array(x) for x in (*fixed, starts, lengths)] + [pa.array(x, mask=none) for x in hashes]
+            return pa.RecordBatch.from_arrays(cols, names=["id", "tag", "shard", "start", "n", "w1", "w2"])
 
         def block(rows):
-            texts = [r[1] for r in rows]
-            h, bounds, starts, ends, joined = W.scan(texts)
+            h, bounds, starts, ends, joined = W.scan([r[1] for r in rows])
             spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
             docs = [(h[a:b], [joined[s:e] for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist())]) for a, b in spans]
-            for (i, _, tag, _), (a, b), (hits, edges) in zip(rows, spans, located(docs, route, width)):
+            for (i, _, tag, shard), (own, _), (hits, edges) in zip(rows, docs, located(docs, route, width)):
                 seen, runs = set(), []
                 for start, n, first_id in hits:
                     if i < first_id:  # here it is part of a longer segment, whose windows are compared below
                         continue
                     if i == first_id:
-                        name = h[a + start : a + start + n].tobytes()
+                        name = own[start : start + n].tobytes()
                         if name not in seen:
                             seen.add(name)
                             continue
                     runs.append((start, start + n))
-                at = None
-                for s, e in sorted(runs):
-                    if at and s <= at[1]:
-                        at[1] = max(at[1], e)
-                        continue
-                    if at:
-                        yield (i, tag, shard, at[0], at[1] - at[0], None, None)
-                    at = [s, e]
-                if at:
-                    yield (i, tag, shard, at[0], at[1] - at[0], None, None)
-                edges = [(s, n) for s, n, first_id in edges if first_id == i]
+                if runs:
+                    at = np.array(sorted(runs))
+                    high = np.maximum.accumulate(at[:, 1])
+                    new = np.flatnonzero(np.concatenate([[True], at[1:, 0] > high[:-1]]))
+                    yield i, tag, shard, at[new, 0], high[np.concatenate([new[1:], [len(at)]]) - 1] - at[new, 0], None, None
+                edges = [np.arange(s, s + n) for s, n, first_id in edges if first_id == i]
                 if edges:
-                    w1 = W.grams(h[a:b], width)
-                    w2 = W.grams(W.mix(h[a:b] ^ np.uint64(0x2545F4914F6CDD1D)), width)
-                    own = set()
-                    for s, n in edges:
-                        for p, x, y in zip(range(s, s + n), w1[s : s + n].view(np.int64).tolist(), w2[s : s + n].view(np.int64).tolist()):
-                            if (x, y) in own:
-                                yield (i, tag, shard, p, width, None, None)
-                            else:
-                                own.add((x, y))
-                                yield (i, tag, shard, p, width, x, y)
+                    at = np.concatenate(edges)
+                    w1 = W.grams(own, width)[at].view(np.int64)
+                    w2 = W.grams(W.mix(own ^ np.uint64(0x2545F4914F6CDD1D)), width)[at].view(np.int64)
+                    order = np.lexsort((at, w2, w1))
+                    again = np.zeros(len(at), bool)
+                    again[order[1:]] = (w1[order[1:]] == w1[order[:-1]]) & (w2[order[1:]] == w2[order[:-1]])
+                    if again.any():
+                        yield i, tag, shard, at[again], np.full(int(again.sum()), width), None, None
+                    yield i, tag, shard, at[~again], np.full(int((~again).sum()), width), w1[~again], w2[~again]
 
         def blocks():
             rows, size = [], 0
             for batch in batches:
                 for i, text, tag, s in zip(*[c.to_pylist() for c in batch.columns]):
-                    yield_now = rows and (s != rows[0][3] or size >= BLOCK)
-                    if yield_now:
+                    if rows and (s != rows[0][3] or size >= BLOCK):
                         yield rows
                         rows, size = [], 0
                     if i is not None and text:
@@ -152,18 +144,13 @@ def _covered(path: str, width: int):
             if rows:
                 yield rows
 
+        shard, route = None, None
         for rows in blocks():
             if rows[0][3] != shard:
                 shard = rows[0][3]
                 route = A.route_of(path, shard)
-            if route is None:
-                continue
-            for row in block(rows):
-                for c, v in zip(out, row):
-                    c.append(v)
-            if len(out[0]) > 8192:
-                yield batch_of()
-        yield batch_of()
+            if route is not None and (parts := list(block(rows))):
+                yield batch_of(parts)
 
     return run
 
