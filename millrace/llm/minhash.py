@@ -160,12 +160,16 @@ def _across(blocks: DataFrame, percent: int) -> DataFrame:
             if not left or not right:
                 return
             sa, sb = (np.frombuffer(b"".join(r[6] for r in x), dtype=np.uint8).reshape(len(x), K) for x in (left, right))
+            ba, bb = (np.frombuffer(b"".join(r[7] for r in x), dtype=">i8").reshape(len(x), B) for x in (left, right))
             comp_b = np.array([r[5] for r in right])
             for k, r in enumerate(left):
                 hit = ((sb == sa[k]).sum(axis=1) >= least * K) & (comp_b != r[5])
                 if left is right:
                     hit[: k + 1] = False
-                for m in np.flatnonzero(hit).tolist():
+                hit = np.flatnonzero(hit)
+                # two members share several buckets; only the first of them tells of the pair
+                shared = (bb[hit] == ba[k]).argmax(axis=1)
+                for m in hit[ba[k][shared] == r[0]].tolist():
                     yield (min(r[4], right[m][4]), max(r[4], right[m][4]))
 
         def pairs():
@@ -222,9 +226,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         with_block = open_members.withColumn("n", n_blocks).withColumn("own", mine)
         to = with_block.select("key", "id", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
         dealt = to.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp")
-        with_low = dealt.join(nodes.where("low is not null").select("id", "low"), "id").select("key", "i", "j", "own", "id", "comp", "low")
+        with_low = dealt.join(nodes.where("low is not null").select("id", "low", "bands"), "id").select("key", "i", "j", "own", "id", "comp", "low", "bands")
         blocks = with_low.repartition(store.partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        more = _across(blocks, percent).distinct().join(pairs.selectExpr("least(a, b) a", "greatest(a, b) b"), ["a", "b"], "left_anti")
+        more = _across(blocks, percent).join(pairs.selectExpr("least(a, b) a", "greatest(a, b) b"), ["a", "b"], "left_anti")
         found = store.written(_verified(more, base, percent, width), "links")
         if not found.isEmpty():
             comp = components(links.unionByName(found), "near")
