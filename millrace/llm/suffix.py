@@ -23,7 +23,7 @@ from millrace.llm import anchors as A
 from millrace.llm import shards, store
 from millrace.llm import words as W
 
-GRAM = 12
+GRAM = 20  #: bytes of an anchor; shorter ones recur by chance in ordinary text, which makes edges of nothing
 SHARD = 256 << 10  #: bytes that one suffix array takes at least; all segments of an anchor go to the same one
 SMALL = 2048  #: alphabets up to this size are sorted by induction; larger ones, deeper down, by doubling ranks
 
