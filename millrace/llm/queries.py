@@ -74,7 +74,19 @@ def op2_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.encode_decode(_table(spark, sf_dir, "documents"), full=False)
 
 
-@_query("op3_warc")
+SQL_WARC = r"""
+with p as (select page_id, coalesce(html, '') as t, sha1(coalesce(html, '')) as h from pages),
+f as (select h, min(page_id) as first_id from p group by h)
+select page_id, strlen(t)::bigint as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((((strpos('0123456789abcdef', substr(h, (5 * i) // 4 + 1, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h, (5 * i) // 4 + 2, 1)) - 1) >> (3 - (5 * i) % 4)) & 31) + 1)::bigint, 1)), '') as payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id = first_id then null else first_id end as refers_to
+from p join f using (h)
+"""
+
+
+@_query("op3_warc", SQL_WARC)
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import warc
 
