@@ -65,7 +65,7 @@ def removed_line_deciles(spark, sf_dir):
     return u.groupBy(F.least(F.lit(9), F.floor(10 * (F.col("i") + 0.5) / F.col("n"))).cast("int").alias("decile")).agg(F.count("*").alias("n"), F.count_if(F.length("x") < 60).alias("n_removed"))
 
 
-@query("log_length_density", f"with x as (select ln(n_chars) as x from documents where n_chars > 0), s as (select count(*) as n, stddev_samp(x) as sd from x), h as (select n, sd * pow(n, -0.2) as h from s), g as (select 4 + i * 0.5 as at from range(15) r(i)) select at::double as at, (sum(exp(-0.5 * pow((at - x) / h, 2))) / (max(n) * max(h) * {math.sqrt(2 * math.pi)!r}))::double as density from x, h, g group by at")
+@query("log_length_density", f"with x as (select ln(n_chars) as x from documents where n_chars > 0), s as (select count(*) as n, stddev_samp(x) as sd from x), h as (select n, sd * pow(n, -0.2) as h from s), g as (select 4 + i * 0.5 as point from range(15) r(i)) select point::double as point, (sum(exp(-0.5 * pow((point - x) / h, 2))) / (max(n) * max(h) * {math.sqrt(2 * math.pi)!r}))::double as density from x, h, g group by point")
 def log_length_density(spark, sf_dir):
     """Gaussian kernel density of log lengths on a grid of 15 points, Scott's bandwidth. Lengths are counted first, so the
     grid multiplies distinct lengths and not documents."""
@@ -73,9 +73,9 @@ def log_length_density(spark, sf_dir):
     n, m, q = F.sum("c"), F.sum(F.col("c") * F.col("x")), F.sum(F.col("c") * F.col("x") * F.col("x"))
     s = x.agg(n.alias("n"), (F.sqrt((q - m * m / n) / (n - 1)) * F.pow(n.cast("double"), F.lit(-0.2))).alias("h"))
     grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: (4 + i * 0.5).cast("double")))
-    j = x.select("x", "c", grid.alias("at")).join(F.broadcast(s))
-    k = F.sum(F.col("c") * F.exp(-0.5 * F.pow((F.col("at") - F.col("x")) / F.col("h"), F.lit(2.0))))
-    return j.groupBy("at").agg((k / (F.max("n") * F.max("h") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
+    j = x.select("x", "c", grid.alias("point")).join(F.broadcast(s))
+    k = F.sum(F.col("c") * F.exp(-0.5 * F.pow((F.col("point") - F.col("x")) / F.col("h"), F.lit(2.0))))
+    return j.groupBy("point").agg((k / (F.max("n") * F.max("h") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
 
 
 @query("chunk_merge_parity", "with a as (select source, lang, count(*) as n from documents where doc_id % 2 = 0 group by 1, 2), b as (select source, lang, count(*) as n from documents where doc_id % 2 = 1 group by 1, 2) select coalesce(a.source, b.source) as source, count(*) as n_tasks, count_if(a.n is not null and b.n is not null)::bigint as in_both, sum(coalesce(a.n, 0) + coalesce(b.n, 0))::bigint as total from a full join b on a.source = b.source and a.lang = b.lang group by 1")
