@@ -136,3 +136,9 @@ def url_reason(url: Column, domains: list[str], strict: list[str], hard: list[st
         sub = sub | F.contains(flat, F.lit(s))
     lit = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
     return F.when(host.isin(domains), F.lit("url_domain")).when(sub, F.lit("url_strict")).when(F.arrays_overlap(found, lit(hard)), F.lit("url_hard")).when(F.size(F.array_intersect(found, lit(soft))) >= 2, F.lit("url_soft"))
+
+
+def without_substrings(line: Column) -> Column:
+    """Short lines (ten words at most) without the shop and navigation phrases (fixed values) inside, behind or before."""
+    cut = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, "(?i)items in cart", ""), r"(?i)Read more\.\.\.$", ""), "(?i)^Sign-in", "")
+    return F.when(F.size(T.words(line)) <= 10, cut).otherwise(line)

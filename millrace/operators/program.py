@@ -62,12 +62,13 @@ def apply_ops(src: Column, ranges: Column, subs: Column) -> Column:
     return F.array_join(F.filter(F.transform(src, edited), lambda x: x != ""), "\n")
 
 
-def read(df: DataFrame, program: str = "program") -> DataFrame:
-    """Adds _decision (null if the first line is none), _ops1, _tag2 and _rest (arrays of lines)."""
+def read(df: DataFrame, program: str = "program", decision_first: bool = True) -> DataFrame:
+    """Adds _decision (null if the first line is none), _ops1, _tag2 and _rest (arrays of lines). Without
+    `decision_first` the first line is never taken for the decision."""
     tags = [F.lit(t) for t in TAGS]
     d = df.withColumn("_lines", F.split(strip(text_of(program)), "\n"))
     d = d.withColumn("_lead", strip(F.get("_lines", F.lit(0))))
-    d = d.withColumn("_decision", F.when(F.col("_lead").isin(*TAGS), F.col("_lead")))
+    d = d.withColumn("_decision", F.when(F.lit(decision_first) & F.col("_lead").isin(*TAGS), F.col("_lead")))
     d = d.withColumn("_staged", F.when(F.col("_decision").isNull(), F.col("_lines")).otherwise(F.split(strip(F.array_join(F.slice("_lines", F.lit(2), F.size("_lines")), "\n")), "\n")))
     start = F.when(strip(F.get("_staged", F.lit(0))) == "<extract>", F.lit(1)).otherwise(F.lit(0))
     stop = F.filter(F.sequence(F.lit(0), F.size("_staged")), lambda i: (i >= start) & ((i >= F.size("_staged")) | (start == 0) | ~((strip(F.get("_staged", i)) == "") | strip(F.get("_staged", i)).rlike(OP))))
@@ -80,9 +81,9 @@ def read(df: DataFrame, program: str = "program") -> DataFrame:
     return d.withColumn("_rest", F.when(F.col("_decision").isNotNull() & ~known & (F.col("_tag2") != ""), F.concat(F.array("_tag2"), "_rest")).otherwise(F.col("_rest")))
 
 
-def execute(df: DataFrame, page: str = "page", program: str = "program") -> DataFrame:
+def execute(df: DataFrame, page: str = "page", program: str = "program", decision_first: bool = True) -> DataFrame:
     """Adds tag, final, extracted, op_class and parse_fail to rows with a numbered page and its program."""
-    d = read(df, program).withColumn("_src", F.transform(lines_of(text_of(page)), lambda x: F.regexp_replace(x, r"^<lid:\d+> ?", "")))
+    d = read(df, program, decision_first).withColumn("_src", F.transform(lines_of(text_of(page)), lambda x: F.regexp_replace(x, r"^<lid:\d+> ?", "")))
     d = d.withColumn("_act", F.coalesce("_decision", "_tag2"))
     d = d.withColumn("_body", F.filter(F.transform("_rest", strip), lambda x: x != ""))
     d = d.withColumn("_is_ops", (F.size("_body") > 0) & F.forall("_body", lambda x: x.rlike(OP)))
@@ -138,3 +139,34 @@ def merged_ranges(ids: Column) -> Column:
         return F.when(grow, F.struct(s.getField("out").alias("out"), s.getField("a").alias("a"), x.alias("b"))).otherwise(F.struct(F.when(s.getField("a").isNull(), s.getField("out")).otherwise(F.concat(s.getField("out"), F.array(line(s)))).alias("out"), x.alias("a"), x.alias("b")))
 
     return F.aggregate(F.array_sort(ids), start, step, lambda s: F.when(s.getField("a").isNull(), s.getField("out")).otherwise(F.concat(s.getField("out"), F.array(line(s)))))
+
+
+def without_clean_head(program: Column) -> Column:
+    """A three-way head's <clean> defers to the program behind it."""
+    return F.regexp_replace(program, r"\A\s*<clean>[^\S\n]*\n", "")
+
+
+def without_echo(program: Column) -> Column:
+    """Drops the block of echoed text between the extract block and the decision."""
+    return F.regexp_replace(program, r"(?s)\A(<extract>(?:\n(?:rm \d+(?:-\d+)?|sub \d+: [^\n]*|[^\S\n]*))*)\n<text>(?:\n.*?)??(?=\n(?:<keep>|<edit>|<delete>|<rewrite>)[^\S\n]*(?:\n|\z)|\z)", "$1")
+
+
+def untagged(text: Column) -> Column:
+    """Plain text of a tagged one: the leading tag goes; a deleted page is empty."""
+    lead = F.lower(F.regexp_extract(text, r"(?i)\A\s*<(extract|refine|delete|rewrite)>", 1))
+    return F.when(lead == "delete", F.lit("")).otherwise(strip(F.regexp_replace(text, r"(?i)\A\s*<(extract|refine|delete|rewrite)>", "")))
+
+
+CALLS = ["keep_all", "remove_all", "remove_lines", "replace_str", "add_line"]
+
+
+def call_counts(program: Column) -> Column:
+    return F.struct(*[F.regexp_count(program, F.lit(rf"\b{c}\s*\(")).cast("long").alias(c) for c in CALLS])
+
+
+def call_class(program: Column) -> Column:
+    """delete, keep, the kinds of edit, or other, by the set of calls."""
+    names = F.array_distinct(F.regexp_extract_all(program, F.lit(r"\b(keep_all|remove_all|remove_lines|replace_str|add_line)\s*\("), 1))
+    has = lambda c: F.array_contains(names, c)
+    kind = F.when(has("remove_lines") & has("replace_str"), F.lit("edit: lines + strings")).when(has("remove_lines"), F.lit("edit: lines only")).when(has("replace_str"), F.lit("edit: strings only"))
+    return F.when(has("remove_all"), F.lit("delete")).when(kind.isNotNull(), kind).when(has("keep_all"), F.lit("keep")).otherwise(F.lit("other"))

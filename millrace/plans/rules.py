@@ -97,3 +97,19 @@ def url_filter_counts(spark, sf_dir):
 def within_page_line_dedup(spark, sf_dir):
     d = _docs(spark, sf_dir).withColumn("l", F.array_distinct(T.lines_of(T.text_of("text"))))
     return d.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.md5(F.array_join("l", "\n")).alias("text_md5")).where("n_lines > 0")
+
+
+@query("fw_repetition_hist")
+def fw_repetition_hist(spark, sf_dir):
+    """Documents that each n-gram repetition check fires for."""
+    from millrace.functions.repetition import repetition_reasons
+
+    r = _docs(spark, sf_dir).select(F.explode(repetition_reasons("text")).alias("reason"))
+    return r.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("substring_line_modifier", r"""with m as (select doc_id, list_transform(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, E' \t\r')), lambda x: x <> ''),
+ lambda x: case when len(list_filter(string_split_regex(x, '\s+'), lambda y: y <> '')) <= 10 then regexp_replace(regexp_replace(regexp_replace(x, 'items in cart', '', 'gi'), '(?i)Read more\.\.\.$', ''), '^(?i)Sign-in', '') else x end) as l from documents) select doc_id, md5(array_to_string(l, chr(10))) as text_md5 from m""")
+def substring_line_modifier(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", F.transform(T.lines_of(T.text_of("text")), R.without_substrings).alias("l"))
+    return d.select("doc_id", F.md5(F.array_join("l", "\n")).alias("text_md5"))

@@ -86,3 +86,31 @@ def test_make_program_cases():
     assert diffs.make_program("xy", "x y") is None
     assert diffs.make_program("x  y", "x y") is None
     assert diffs.make_program("a", "a\nb") is None
+
+
+def test_other_formats(spark):
+    rows = [
+        ("<clean>\n<extract>\nrm 1\n<keep>", P.without_clean_head, "<extract>\nrm 1\n<keep>"),
+        ("<extract>\nrm 1\n<text>\nThe page.\nMore\n<edit>\nrm 2", P.without_echo, "<extract>\nrm 1\n<edit>\nrm 2"),
+        ("<extract>\n<text>\nonly echo", P.without_echo, "<extract>"),
+        ("<extract>\nrm 1\n<keep>", P.without_echo, "<extract>\nrm 1\n<keep>"),
+        (" <Refine>\nbody ", P.untagged, "body"),
+        ("<delete>\nbody", P.untagged, ""),
+        ("plain", P.untagged, "plain"),
+        ("remove_lines(1)\nreplace_str('a')", P.call_class, "edit: lines + strings"),
+        ("keep_all()", P.call_class, "keep"),
+        ("remove_all ()", P.call_class, "delete"),
+        ("x", P.call_class, "other"),
+    ]
+    for value, f, want in rows:
+        assert spark.createDataFrame([(value,)], "t string").select(f(F.col("t")).alias("x")).first().x == want
+    staged = spark.createDataFrame([(PAGE, "<extract>\nrm 1\n<keep>")], "page string, program string")
+    assert P.execute(staged, decision_first=False).first().final == "The red red fox.\nIt costs 5 dollars."
+
+
+def test_repetition_checks():
+    from millrace.functions.repetition import fired
+
+    assert "gopher_rep_top_2_gram" in fired("buy now " * 30 + "and some other words here")
+    assert "gopher_rep_duplicated_5_n_grams" in fired(" ".join(f"w{i}" for i in range(30)) + " " + " ".join(f"w{i}" for i in range(30)))
+    assert fired("") == [] and fired("all words here are quite different from one another") == []
