@@ -176,7 +176,23 @@ def op7_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.without_repeats(_table(spark, sf_dir, "documents"))
 
 
-@_query("op10_suffix_array")
+SQL_STRINGS = r"""
+with b as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+w as (select doc_id, unnest(range(0, n - 49)) as p, h from b where n >= 50),
+k as (select doc_id, p, md5(substr(h, 2 * p + 1, 100)) as g from w),
+f as (select g, min(doc_id) as first_id from k group by g having count(*) > 1),
+r as (select k.doc_id, k.p from k join f on k.g = f.g where k.doc_id > f.first_id),
+l as (select *, lag(p) over (partition by doc_id order by p) as prev from r),
+i as (select *, sum(case when prev is null or p > prev + 50 then 1 else 0 end) over (partition by doc_id order by p rows unbounded preceding) as span from l),
+s as (select doc_id, min(p) as a, max(p) + 50 as e from i group by doc_id, span),
+t as (select doc_id, a, e, coalesce(lag(e) over (partition by doc_id order by a), 0) as from_e from s),
+c as (select t.doc_id, count(*) as n_spans, sum(e - a) as n_removed, string_agg(substr(h, 2 * from_e + 1, 2 * (a - from_e)), '' order by a) || substr(any_value(h), 2 * max(e) + 1) as kept from t join b on t.doc_id = b.doc_id group by t.doc_id)
+select b.doc_id, b.n::bigint as n_bytes, coalesce(c.n_removed, 0)::bigint as n_removed, coalesce(c.n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(c.kept, b.h))) as kept_sha256
+from b left join c on b.doc_id = c.doc_id
+"""
+
+
+@_query("op10_suffix_array", SQL_STRINGS)
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import suffix
 
