@@ -14,7 +14,7 @@ Every recipe carries the Merkle root of its chunk digests, every file the root o
 gives the root over all files. Reading recomputes the digests from the ids and the roots from the digests.
 
 Defined results: a null or empty text is the end id alone; rows with a null id come first; rows that repeat an id are
-separate documents in the order of their texts; other columns are ignored; an empty table gives an empty store.
+separate documents in the order of their roots; other columns are ignored; an empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -124,24 +124,27 @@ def _split(encoder_path: str, end_id: int, packs: int):
             joined = b"".join(data)
             bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in data])])
             rows = [[] for _ in schema]
-            for k, ends in enumerate(cut_points(np.frombuffer(joined, dtype="<u4"), bounds, gear)):
+            ids = np.frombuffer(joined, dtype="<u4")
+            short = ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else None
+            for k, ends in enumerate(cut_points(ids, bounds, gear)):
                 at, recipe, sizes = int(bounds[k]), [], []
                 for e in ends:
                     body = joined[4 * at : 4 * e]
                     name = _digest(body)
                     recipe.append(name)
                     sizes.append(e - at)
-                    at = e
                     if name not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(name)
-                        for c, v in zip(rows, (int.from_bytes(name[:4], "big") * packs >> 32, name, None, name, len(body) // 4, _narrow(body))):
+                        kept = _narrow(body) if short is None else b"\x02" + short[2 * at : 2 * e]
+                        for c, v in zip(rows, (int.from_bytes(name[:4], "big") * packs >> 32, name, None, name, e - at, kept)):
                             c.append(v)
-                text_order = hashlib.sha256(texts[k].encode("utf-8", "surrogatepass")).digest()
-                order = (b"\x00" + b"\x00" * 8 if doc_ids[k] is None else b"\x01" + struct.pack(">Q", doc_ids[k] + (1 << 63))) + text_order
+                    at = e
+                root = merkle(recipe)
+                order = (b"\x00" + b"\x00" * 8 if doc_ids[k] is None else b"\x01" + struct.pack(">Q", doc_ids[k] + (1 << 63))) + root
                 recipe_body = b"".join(recipe) + np.array(sizes, dtype="<u4").tobytes()
-                for c, v in zip(rows, (packs + shards[k], order, doc_ids[k], merkle(recipe), len(data[k]) // 4, recipe_body)):
+                for c, v in zip(rows, (packs + shards[k], order, doc_ids[k], root, len(data[k]) // 4, recipe_body)):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows, schema)], schema=schema)
 
@@ -314,27 +317,33 @@ def read_recipes(manifest: DataFrame, root: str) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
         names = ["doc_id", "start", "n_tokens", "seq", "digest", "n", "after"]
+
+        def batch_of(docs, digests, sizes):
+            k = [len(x) for x in sizes]
+            null, ids, starts, totals = (np.repeat(np.array([d[i] for d in docs]), k) for i in range(4))
+            seq = np.concatenate([np.arange(x, dtype=np.int32) for x in k])
+            after = np.concatenate([d[3] - np.cumsum(x) for d, x in zip(docs, sizes)])
+            raw = pa.Array.from_buffers(pa.binary(16), len(seq), [None, pa.py_buffer(b"".join(digests))]).cast(pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(starts, pa.int64()), pa.array(totals, pa.int64()), pa.array(seq), raw, pa.array(np.concatenate(sizes), pa.int64()), pa.array(after, pa.int64())], names=names)
+
         for batch in batches:
             for name, sha, want, start in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                out = [[] for _ in names]
+                docs, digests, sizes = [], [], []
                 for root_digest, body in _entries(root, name, sha, want):
                     null, doc_id, n_tokens, k = struct.unpack_from(_DOC, body)
-                    digests = [body[struct.calcsize(_DOC) + 16 * i : struct.calcsize(_DOC) + 16 * i + 16] for i in range(k)]
-                    if merkle(digests) != root_digest:
+                    at = struct.calcsize(_DOC)
+                    if merkle([body[at + 16 * i : at + 16 * i + 16] for i in range(k)]) != root_digest:
                         raise ValueError(f"a recipe in {name} differs from its root")
-                    sizes = np.frombuffer(body, dtype="<u4", offset=struct.calcsize(_DOC) + 16 * k).tolist()
-                    after = n_tokens
-                    for i, (d, n) in enumerate(zip(digests, sizes)):
-                        after -= n
-                        for c, v in zip(out, (None if null else doc_id, start, n_tokens, i, d, n, after)):
-                            c.append(v)
+                    docs.append((null, doc_id, start, n_tokens))
+                    digests.append(body[at : at + 16 * k])
+                    sizes.append(np.frombuffer(body, dtype="<u4", offset=at + 16 * k).astype(np.int64))
                     start += n_tokens
-                    if len(out[0]) >= 8192:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, kinds)], names=names)
-                        out = [[] for _ in names]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, kinds)], names=names)
+                    if len(docs) == 2048:
+                        yield batch_of(docs, digests, sizes)
+                        docs, digests, sizes = [], [], []
+                if docs:
+                    yield batch_of(docs, digests, sizes)
 
     return _listed(manifest, "recipe").mapInArrow(run, "doc_id long, start long, n_tokens long, seq int, digest binary, n long, after long")
 
