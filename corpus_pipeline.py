@@ -1,11 +1,14 @@
 """Corpus pipeline: quality rules, near-duplicate removal, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; its result is written as
-Parquet and read again as the next stage's docs. All stages but the last return the columns of documents.
+Parquet and read again as the next stage's docs, so a stage first removes what the stages before it left in the shared
+folder. All stages but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,23 +19,27 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
+    store.sweep(spark)
     return quality.passing(docs, "v1", keep=COLUMNS[1:]).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that with the smallest id."""
+    store.sweep(spark)
     gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
     return docs.join(gone.distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 20 words or more that occur earlier are cut out of the texts."""
+    store.sweep(spark)
     cut = phrases.without_repeats(docs, with_text=True, extra=["lang", "source"])
     return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces and their places in sequences of 1024 tokens."""
+    store.sweep(spark)
     return packing.pack(packing.pieces(docs))
 
 
@@ -44,6 +51,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    out = f"{store.shared_dir(spark)}/millrace-pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        docs = store.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = store.written(stage(spark, docs, sf_dir), name, f"{out}/{name}")
+    store.sweep(spark)
     return docs

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def sweep(spark: SparkSession) -> None:
+    """Removes all that operators have put into the shared folder for this application so far. Only for a caller whose
+    earlier results have been written elsewhere: lazy results still read their intermediate tables."""
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        remove(spark, path)
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -57,8 +67,9 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Rows in one Arrow batch sent to Python: few, as one text can be very long."""
+    """Rows in one Arrow batch sent to Python: few, as one text can be very long; and a limit on its bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def opened(uri: str):

@@ -28,7 +28,7 @@ def test_pipeline_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     text = {r.doc_id: r.text for r in docs.collect()}
     (_, a), (_, b), (_, c), (_, d) = P.STAGES
-    one = store.written(a(spark, docs, SF), "p1")
+    one = store.written(a(spark, docs, SF), "p1", f"{store.shared_dir(spark)}/test/p1")
     want = {}
     for i, t in text.items():
         n, chars, symbols, dup, rep = quality_brute(t)
@@ -36,10 +36,10 @@ def test_pipeline_against_brute_force(spark):
         if not (n < 50 or 100 * rep > 50 * n or chars < 2 * n or chars > 20 * n or 2 * symbols > n or (2 * dup > lines and lines >= 4)):
             want[i] = t
     assert {r.doc_id: r.text for r in one.collect()} == want and one.columns == docs.columns
-    two = store.written(b(spark, one, SF), "p2")
+    two = store.written(b(spark, one, SF), "p2", f"{store.shared_dir(spark)}/test/p2")
     kept = {i: want[i] for i, (_, comp) in near_brute(want).items() if comp == i}
     assert {r.doc_id: r.text for r in two.collect()} == kept and two.columns == docs.columns
-    three = store.written(c(spark, two, SF), "p3")
+    three = store.written(c(spark, two, SF), "p3", f"{store.shared_dir(spark)}/test/p3")
     cut = phrases_brute(kept)
     assert {r.doc_id: len(r.text.encode().split()) for r in three.collect()} == {i: n - gone for i, (n, gone, _) in cut.items()} and three.columns == docs.columns
     four = d(spark, three, SF).collect()
