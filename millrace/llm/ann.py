@@ -5,8 +5,8 @@ a distance whose error shrinks as 1/sqrt(d). A list is kept as blocks of columns
 distances grow block by block, and after each block the candidates are dropped for which a test rejects, at EPSILON,
 that their distance is within the query's tenth best so far. What is left is measured exactly on the original vectors.
 
-The index covers every row: the k-means centroids and the number of lists to probe are fitted on at most SAMPLE rows (a bound, not a share), then every
-vector is put into its nearest centroid's list. Equal vectors are one entry that carries its smallest ids, k + 1 of them,
+The index covers every row: the k-means centroids and the number of lists to probe are fitted on at most SAMPLE rows (a bound, not a share),
+those with the smallest hashes wherever they are stored, then every vector is put into its nearest centroid's list. Equal vectors are one entry that carries its smallest ids, k + 1 of them,
 which is all that any query can be given; the window that finds them limits before its shuffle. A list is searched in
 blocks of at most BLOCK entries, each a group of its own, so the largest list does not make a large task. Queries are
 streamed past a block. Only centroids and list sizes reach the driver; both are bounded by LISTS.
@@ -123,8 +123,9 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, rows = dims[0].d, dims[0]["count"]
     valid = valid.where(F.size("v") == dim)
-    step = max(1, rows // SAMPLE)
-    sample = valid.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("v").limit(SAMPLE).toArrow().column("v")
+    # the smallest hashes of all rows, not the first rows stored; the filter only keeps most rows from being sorted
+    drawn = valid.select("v", F.pmod(F.xxhash64("id", "v"), F.lit(rows)).alias("h")).where(F.col("h") < SAMPLE + SAMPLE // 10)
+    sample = drawn.orderBy("h").limit(SAMPLE).select("v").toArrow().column("v")
     x = np.array(sample.to_pylist(), dtype=np.float64).reshape(-1, dim)
     turn = rotation(dim)
     centroids = kmeans(x @ turn, int(min(LISTS, max(1, round(len(x) and rows**0.5))))) if len(x) else np.zeros((1, dim))

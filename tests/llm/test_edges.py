@@ -240,6 +240,26 @@ def test_ann(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_ann_sample_is_spread(spark, monkeypatch):
+    """A table stored cluster by cluster, a little under twice the sample: every cluster is fitted and found."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(39, 16)).repeat(20, axis=0) + 0.05 * rng.normal(size=(780, 16))
+    fitted = []
+    real = ann.kmeans
+    monkeypatch.setattr(ann, "SAMPLE", 400)
+    monkeypatch.setattr(ann, "kmeans", lambda x, k: fitted.append(x) or real(x, k))
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>").coalesce(1)
+    got = {}
+    for r in ann.search(df, every=1).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    d = (((v @ ann.rotation(16))[:, None] - fitted[0][None]) ** 2).sum(2)
+    rows = d.argmin(0)
+    assert len(fitted[0]) == 400 and float(d.min(0).max()) < 1e-12
+    assert set(rows // 20) == set(range(39))
+    best = np.argsort(((v[:, None] - v[None]) ** 2).sum(2), axis=1)[:, 1:11]
+    assert np.mean([len(got[i] & set(best[i].tolist())) / 10 for i in range(780)]) >= 0.9
+
+
 def test_chat(spark):
     say = lambda c, *turns: [(c, k, r, t) for k, (r, t) in enumerate(turns)]
     a, b, c = ("user", "hi"), ("assistant", "hello"), ("user", None)
