@@ -81,8 +81,9 @@ def read(df: DataFrame, program: str = "program", decision_first: bool = True) -
     return d.withColumn("_rest", F.when(F.col("_decision").isNotNull() & ~known & (F.col("_tag2") != ""), F.concat(F.array("_tag2"), "_rest")).otherwise(F.col("_rest")))
 
 
-def execute(df: DataFrame, page: str = "page", program: str = "program", decision_first: bool = True) -> DataFrame:
-    """Adds tag, final, extracted, op_class and parse_fail to rows with a numbered page and its program."""
+def execute(df: DataFrame, page: str = "page", program: str = "program", decision_first: bool = True, drop_extract: bool = False) -> DataFrame:
+    """Adds tag, final, extracted, op_class and parse_fail to rows with a numbered page and its program. With
+    `drop_extract` the extract block does nothing; parse_fail is still that of the program as it is."""
     d = read(df, program, decision_first).withColumn("_src", F.transform(lines_of(text_of(page)), lambda x: F.regexp_replace(x, r"^<lid:\d+> ?", "")))
     d = d.withColumn("_act", F.coalesce("_decision", "_tag2"))
     d = d.withColumn("_body", F.filter(F.transform("_rest", strip), lambda x: x != ""))
@@ -90,8 +91,9 @@ def execute(df: DataFrame, page: str = "page", program: str = "program", decisio
     d = d.withColumn("_r1", _ranges(F.col("_ops1"))).withColumn("_s1", _subs(F.col("_ops1")))
     d = d.withColumn("_r2", F.when(F.col("_is_ops"), _ranges(F.col("_body"))).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>")))
     d = d.withColumn("_s2", F.when(F.col("_is_ops"), _subs(F.col("_body"))).otherwise(F.array().cast("array<struct<line:bigint,s:string>>")))
-    d = d.withColumn("extracted", apply_ops(F.col("_src"), F.col("_r1"), F.col("_s1")))
-    d = d.withColumn("_edited", apply_ops(F.col("_src"), F.concat("_r1", "_r2"), F.concat("_s1", "_s2")))
+    r1, s1 = (F.array().cast("array<struct<a:bigint,b:bigint>>"), F.array().cast("array<struct<line:bigint,s:string>>")) if drop_extract else (F.col("_r1"), F.col("_s1"))
+    d = d.withColumn("extracted", apply_ops(F.col("_src"), r1, s1))
+    d = d.withColumn("_edited", apply_ops(F.col("_src"), F.concat(r1, "_r2"), F.concat(s1, "_s2")))
     literal = strip(F.array_join("_rest", "\n"))
     act = F.col("_act")
     d = d.withColumn("tag", F.when(act == "<keep>", F.lit("<extract>")).when(act == "<edit>", F.lit("<refine>")).otherwise(act))

@@ -87,12 +87,23 @@ def arm_norwdel(spark, sf_dir):
 @query("arm_noext", r"""with l as (select doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') as ls from documents)
 select doc_id, len(ls)::bigint as n_lines, md5(array_to_string(ls, chr(10))) as text_md5 from l where doc_id % 5 = 0 and len(ls) > 0""")
 def arm_noext(spark, sf_dir):
-    """Keep programs without their extract block: the whole page comes back."""
-    p = programs(spark, sf_dir).where("doc_id % 5 = 0").withColumn("program", F.lit("<keep>\n<extract>\n<keep>"))
-    e = P.execute(p)
+    """The keep programs of `arm_noext_all`: the whole page comes back."""
+    e = P.execute(programs(spark, sf_dir), drop_extract=True).where("tag = '<extract>'")
     return e.select("doc_id", F.size(T.lines_of(F.col("final"))).cast("long").alias("n_lines"), F.md5("final").alias("text_md5")).where("n_lines > 0")
 
 
+@query("arm_noext_all", rf"""with {SQL_LINES},
+n as (select doc_id, k, ls, array_to_string(list_filter(list_concat(ls[2:3],
+    case when len(ls) >= 4 then [trim(regexp_replace(case when strpos(ls[4], 'the ') > 0 then ls[4][:strpos(ls[4], 'the ') - 1] || ls[4][strpos(ls[4], 'the ') + 4:] else ls[4] end, '\s+', ' ', 'g'))] else [] end,
+    ls[5:]), lambda y: y <> ''), chr(10)) as edit_only from x),
+o as (select e.doc_id, e.tag, case n.k when 0 then array_to_string(n.ls, chr(10)) when 1 then n.edit_only else e.final end as text from e join n using (doc_id))
+select doc_id, tag, md5(text) as text_md5 from o where tag <> '<delete>' and trim(text) <> ''""")
+def arm_noext_all(spark, sf_dir):
+    """Programs of all kinds without their extract block: removals and cuts of an edit alone apply, to the whole page."""
+    e = P.execute(programs(spark, sf_dir), drop_extract=True)
+    return e.where(P.emitted(F.col("tag"), F.col("final"))).select("doc_id", "tag", F.md5("final").alias("text_md5"))
+
+
 @query("decision_flow", f"""with {SQL_LINES}, o as (select case op_class when 'keep' then 'keep' when 'delete' then 'delete' when 'rewrite' then 'rewrite' else 'edit' end as decision, case when tag <> '<delete>' and final <> '' then 'emitted' else 'dropped' end as outcome from e)
 select decision, count_if(outcome = 'emitted')::bigint as emitted, count_if(outcome = 'dropped')::bigint as dropped from o group by decision""")
 def decision_flow(spark, sf_dir):

@@ -114,3 +114,14 @@ def test_repetition_checks():
     assert "gopher_rep_top_2_gram" in fired("buy now " * 30 + "and some other words here")
     assert "gopher_rep_duplicated_5_n_grams" in fired(" ".join(f"w{i}" for i in range(30)) + " " + " ".join(f"w{i}" for i in range(30)))
     assert fired("") == [] and fired("all words here are quite different from one another") == []
+
+
+def test_without_extract_block(spark):
+    page = "<lid:1> a\n<lid:2> b\n<lid:3> the c\n<lid:4> d"
+    edit = '<edit>\n<extract>\nrm 2\nsub 4: "d"\n<edit>\nrm 1\nsub 3: "the "'
+    rows = [(0, "<keep>\n<extract>\nrm 1\n<keep>"), (1, edit), (2, "<delete>\n<extract>\n<delete>"), (3, "<rewrite>\n<extract>\nrm 1\n<rewrite>\nnew"), (4, "<edit>\n<extract>\nrm 1\n<edit>\nnew\nrm 9"), (5, "<keep>\n<extract>\nsub 2: 12\n<keep>")]
+    df = spark.createDataFrame([(i, page, p) for i, p in rows], "k int, page string, program string")
+    got = [(r.tag, r.final, r.parse_fail) for r in P.execute(df, drop_extract=True).orderBy("k").collect()]
+    whole = "a\nb\nthe c\nd"
+    assert got == [("<extract>", whole, False), ("<refine>", "b\nc\nd", False), ("<delete>", "", False), ("<rewrite>", "new", False), ("<refine>", "new\nrm 9", False), ("<extract>", whole, True)]
+    assert P.execute(df.where("k = 1"), drop_extract=False).first().final == "c"
