@@ -67,6 +67,21 @@ def rewrite_cleaning(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", t.alias("t")).select("doc_id", F.md5(T.clean_rewrite(F.col("t"))).alias("clean_md5"), F.array_join(T.rewrite_dirt(F.col("t")), ",").alias("dirt"))
 
 
+@query("rewrite_cleaning_whole", r"""with t as (select doc_id, case doc_id % 4 when 0 then 'I need to rephrase. </think> Here is a paraphrased version: ' || text when 1 then 'Okay, the user asks' || chr(10) || text || ' while ensuring clarity' when 2 then '--- ' || text || ' ---' else text end as t from documents),
+c as (select doc_id, t, case doc_id % 4 when 0 then ltrim(text, E' \n') when 2 then text || ' ---' else t end as b from t join documents using (doc_id))
+select doc_id, md5(array_to_string(list_filter(list_transform(string_split(b, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10))) as clean_md5,
+array_to_string(list_filter([case when regexp_matches(t, '(?i)</?think>') then 'think_tag' end, case when regexp_matches(t, '(?i)your task is to read and paraphrase|delete clearly irrelevant content') then 'prompt_echo' end,
+case when regexp_matches(t, '(?i)here is a paraphrased version') then 'answer_preamble' end, case when regexp_matches(t, '(?i)\bthis (paraphrased version|paraphrase) (retains|maintains|keeps|preserves)') then 'self_commentary' end,
+case when regexp_matches(t, '(?i)\b(retains all relevant details|while ensuring clarity|adherence to the instructions)\b') then 'instr_compliance' end,
+case when regexp_matches(t, '(?im)^\s*(?:(?:okay|alright)[,.]? the user\b|let me (?:reorganize|rephrase|paraphrase|rewrite) )') then 'narration_strict' end,
+case when regexp_matches(t, '(?i)\b(the user wants|i need to (?:make sure|rephrase|paraphrase))\b') then 'needs_to' end], lambda x: x is not null), ',') as dirt from c""")
+def rewrite_cleaning_whole(spark, sf_dir):
+    """`rewrite_cleaning` with whole texts in the simulated preambles."""
+    k = F.col("doc_id") % 4
+    t = F.when(k == 0, F.concat(F.lit("I need to rephrase. </think> Here is a paraphrased version: "), "text")).when(k == 1, F.concat(F.lit("Okay, the user asks\n"), "text", F.lit(" while ensuring clarity"))).when(k == 2, F.concat(F.lit("--- "), "text", F.lit(" ---"))).otherwise(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", t.alias("t")).select("doc_id", F.md5(T.clean_rewrite(F.col("t"))).alias("clean_md5"), F.array_join(T.rewrite_dirt(F.col("t")), ",").alias("dirt"))
+
+
 @query("word8_repetition", r"""with w as (select doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') as w from documents), g as (select doc_id, len(w) as n, case when len(w) >= 40 then list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')) end as g from w)
 select doc_id, 1 - len(list_distinct(g)) / len(g) as repetition, coalesce(1 - len(list_distinct(g)) / len(g) > 0.3, false) as looping from g""")
 def word8_repetition(spark, sf_dir):

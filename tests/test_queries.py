@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 
 from millrace import catalog
@@ -26,3 +28,12 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_rewrite_cleaning_sees_the_end_of_long_texts(spark, tmp_path):
+    text = "word  " * 200 + "\nI need to paraphrase"
+    spark.createDataFrame([(i, text) for i in range(4)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in catalog.QUERIES["rewrite_cleaning_whole"](spark, str(tmp_path)).collect()}
+    clean = "word " * 199 + "word\nI need to paraphrase"
+    assert all("needs_to" in r.dirt for r in got.values())
+    assert got[3].clean_md5 == got[0].clean_md5 == hashlib.md5(clean.encode()).hexdigest()
