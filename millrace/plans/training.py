@@ -49,7 +49,8 @@ def edu_bands(spark, sf_dir):
 def need_list(spark, sf_dir):
     """Deleted documents whose texts have no rewrite yet."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
-    return d.where("doc_id % 5 = 2").join(d.where("doc_id % 7 = 0").select("h").distinct(), "h", "left_anti").select("doc_id")
+    deleted = P.read(programs(spark, sf_dir)).where("_decision = '<delete>'").select("doc_id")
+    return d.join(deleted, "doc_id", "left_semi").join(d.where("doc_id % 7 = 0").select("h").distinct(), "h", "left_anti").select("doc_id")
 
 
 @query("drop_reasons_judged", f"""with {SQL_M}, r as (select doc_id, {_sql_reasons(R.REFINEDWEB)}[1] as reason from m) select reason, count(*) as n, count_if(l.quality = 1)::bigint as worth_keeping, count_if(l.quality = 1 and l.toxic = 0)::bigint as clean from r join labels l using (doc_id) where reason is not null group by 1""")

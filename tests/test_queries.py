@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace import catalog
 from tests.oracle import compare, connect
@@ -37,3 +38,14 @@ def test_rewrite_cleaning_sees_the_end_of_long_texts(spark, tmp_path):
     clean = "word " * 199 + "word\nI need to paraphrase"
     assert all("needs_to" in r.dirt for r in got.values())
     assert got[3].clean_md5 == got[0].clean_md5 == hashlib.md5(clean.encode()).hexdigest()
+
+
+def test_need_list_reads_decisions(spark, monkeypatch):
+    """Other programs, other candidates."""
+    from millrace.plans import training
+
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.lit("").alias("page"))
+    deleted = {r.doc_id for r in d.where("doc_id % 5 = 3 and doc_id % 7 <> 0").collect()}
+    monkeypatch.setattr(training, "programs", lambda spark, sf: d.withColumn("program", F.when(F.col("doc_id") % 5 == 3, F.lit("<delete>\n<extract>\n<delete>")).otherwise(F.lit("<keep>\n<extract>\n<keep>"))))
+    got = {r.doc_id for r in training.need_list(spark, SF).collect()}
+    assert got and got <= deleted
