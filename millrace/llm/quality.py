@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and 0x09 to 0x0D.
 SPACE = r"[\\x20\\x09-\\x0D]+"
+#: The hash that finds candidates for equal windows; their words decide.
+HASH = "xxhash64({}, {}, {})"
 
 
 @dataclass(frozen=True)
@@ -59,7 +61,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
 
     n_repeat_words packs, for each 3-word window, the high bits of a 64-bit hash with the window's position into one
     long. Sorting those primitives puts equal windows side by side, which costs n log n however long the text and
-    however often it repeats. The position takes only as many bits as the text needs.
+    however often it repeats. The position takes only as many bits as the text needs. Neighbours
+    with equal bits are compared by their words; if any differ, the text's candidates are sorted by words instead.
     """
     base = docs.select(*[F.col(c).alias(f"_k_{i}") for i, c in enumerate([id_col, *keep])], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     keys = [f"_k_{i}" for i in range(1 + len(keep))]
@@ -71,21 +74,30 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
         r"cast(regexp_count(_text, '[#*$%&|<>]') as bigint) n_symbols",
         r"filter(split(_text, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]') _lines",
     )
-    window = "xxhash64(_words[i], _words[i + 1], _words[i + 2])"
+    window = HASH.format("_words[i]", "_words[i + 1]", "_words[i + 2]")
     packed = counted.selectExpr(
-        *keys, "_n", "_bits", "word_chars", "n_symbols", "size(_lines) _n_lines", "size(_lines) - size(array_distinct(_lines)) _dup",
+        *keys, "_words", "_n", "_bits", "word_chars", "n_symbols", "size(_lines) _n_lines", "size(_lines) - size(array_distinct(_lines)) _dup",
         f"case when _n >= 3 then sort_array(transform(sequence(0, _n - 3), i -> shiftleft(shiftright({window}, _bits), _bits) | i)) else cast(array() as array<bigint>) end _grams",
     )
     same = "shiftright(x, _bits) = shiftright(_grams[{}], _bits)"
     twice = packed.selectExpr(
-        *keys, "_n", "_bits", "word_chars", "n_symbols", "_n_lines", "_dup",
+        *keys, "_words", "_n", "_bits", "word_chars", "n_symbols", "_n_lines", "_dup",
         f"filter(_grams, (x, i) -> (i > 0 and {same.format('i - 1')}) or (i < _n - 3 and {same.format('i + 1')})) _twice",
     )
-    at = "(x & (shiftleft(1L, _bits) - 1L))"
-    return twice.selectExpr(
+    at = "({} & (shiftleft(1L, _bits) - 1L))"
+    word = "_words[cast({} as int) + {}]"
+    differ = " or ".join(f"{word.format(at.format('x'), d)} <> {word.format(at.format('_twice[i - 1]'), d)}" for d in range(3))
+    mixed = twice.selectExpr("*", f"size(filter(_twice, (x, i) -> i > 0 and shiftright(x, _bits) = shiftright(_twice[i - 1], _bits) and ({differ}))) > 0 _mixed")
+    triple = ", ".join(word.format(at.format("x"), d) for d in range(3))
+    ranked = mixed.selectExpr("*", f"case when _mixed then sort_array(transform(_twice, x -> struct(struct({triple}) as w, {at.format('x')} as p))) end _ranked")
+    verified = ranked.selectExpr(
+        *keys, "_n", "word_chars", "n_symbols", "_n_lines", "_dup",
+        f"case when _mixed then transform(filter(_ranked, (x, i) -> (i > 0 and x.w = _ranked[i - 1].w) or (i < size(_ranked) - 1 and x.w = _ranked[i + 1].w)), x -> x.p) else transform(_twice, x -> {at.format('x')}) end _at",
+    )
+    return verified.selectExpr(
         *[f"{k} as `{c}`" for k, c in zip(keys, [id_col, *keep])],
         "cast(_n as bigint) n_words", "word_chars", "n_symbols", "cast(_n_lines as bigint) n_lines", "cast(_dup as bigint) n_dup_lines",
-        f"cast(size(array_distinct(flatten(transform(_twice, x -> array({at}, {at} + 1, {at} + 2))))) as bigint) n_repeat_words",
+        "cast(size(array_distinct(flatten(transform(_at, x -> array(x, x + 1, x + 2))))) as bigint) n_repeat_words",
     )
 
 

@@ -426,6 +426,15 @@ def quality_brute(t):
     return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(cover)
 
 
+@pytest.mark.parametrize("weak", ["shiftleft(3L, 60)", "shiftleft(length({}) % 3L, 60)"])
+def test_quality_counts_words_not_hashes(spark, docs, monkeypatch, weak):
+    """Different windows with one hash are not repeats, and equal ones between them still are."""
+    monkeypatch.setattr(quality, "HASH", weak)
+    few = "a b c d a b c e b c a b c f"
+    more = table(spark, [(1, few), (2, "a b c d e f g"), (3, "a b c x y z a b c")])
+    assert {r.doc_id: r.n_repeat_words for r in quality.ledger(more).collect()} == {1: quality_brute(few)[-1], 2: 0, 3: 6}
+
+
 def test_quality(spark, docs, empty, odd):
     judged = quality.apply_policy(quality.ledger(docs)).collect()
     assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in judged} == {i: quality_brute(t) for i, t in TEXTS.items()}
