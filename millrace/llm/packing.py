@@ -1,8 +1,8 @@
 """Best-fit packing of token pieces into fixed-length sequences, with certified bin counts.
 
 Pieces are dealt by hash into partitions of bounded size; each packs its own by best-fit decreasing and compares the
-number of bins with lower bounds from dual-feasible functions. A partition whose bins exceed its bound, or whose last
-bins leave room, has a gap: it keeps its full bins and gives up the pieces of its emptiest ones. Those of several
+number of bins with lower bounds from dual-feasible functions. A partition whose bins leave room, which is every one
+whose bins exceed its bound, has a gap: it keeps its full bins and gives up the pieces of its emptiest ones. Those of several
 partitions meet in one, which packs them again, and so on until one partition is left or nothing is given up. Each
 partition gives up a bounded number of bins, so every task stays small however large the corpus is. `certificate`
 compares the final count with the bound for all pieces, which needs only the histogram of lengths.

@@ -413,6 +413,17 @@ def test_packing_bounds(spark):
     assert len(bins) <= 1.01 * packing.lower_bound(np.bincount(x, minlength=1025), 1024)
 
 
+def test_packing_certificate(spark, monkeypatch):
+    """Several partitions and rounds: the certificate counts every sequence and bounds them from below."""
+    monkeypatch.setattr(packing, "PART", 500)
+    rows = spark.range(3000).selectExpr("id doc_id", "0 piece", "0L start", "200 + pmod(xxhash64(id), 701) length", "id ids_crc32")
+    packed = packing.pack(rows)
+    got = packing.certificate(packed).first()
+    sizes = [r.length for r in packed.collect()]
+    assert len(sizes) == 3000 and got.bound == packing.lower_bound(np.bincount(sizes, minlength=1025), 1024)
+    assert got.bound <= got.sequences <= 1.02 * got.bound
+
+
 def quality_brute(t):
     t = t or ""
     w = [x.decode() for x in words(t)]
