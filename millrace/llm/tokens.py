@@ -2,24 +2,37 @@
 
 The byte-level pre-tokenizer never lets a token cross certain places, so a text is cut there, each distinct piece is
 encoded once by the library, and its ids are reused:
-- before a single space that follows a character other than white space: the space starts the next token;
-- around a line break between two characters other than white space: it is a token of its own;
-- between an ASCII letter and a closing punctuation mark at a piece's end.
-White space is taken in Python's wider sense, which only cuts less often.
+- before white space that follows another character: a single space there starts the next token, and of a longer run
+  all but its last character is a token of its own, the last one starts the next token only if it is a space;
+- between letters and the ASCII punctuation that ends a piece.
+Words of Latin letters are one pre-token each, so they go to the library's model many at a time, already in byte
+letters; all other pieces go through the whole library.
+
+The caches are bounded by bytes, long pieces are not kept, and long texts are worked off in blocks, so the memory that
+a worker takes does not grow with the corpus, whatever its texts are.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-
-#: Before a space that follows a character other than white space.
-_CUT = re.compile(r"(?<=\S)(?= )")
-_MARKS = frozenset(".,;:!?")
-#: Distinct pieces in one generation of a worker's cache. A full generation becomes the old one, whose pieces are
-#: taken over when they are met again.
-CACHE = 500_000
-HOT = 4000
+
+#: A piece that needs only the model: letters of Latin-1, then ASCII punctuation; behind a line break or, unmarked, a space.
+_PLAIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: Between letters and punctuation.
+_CLOSING = re.compile(r"(?<=[^ !-/:-@\[-`{-~])(?=[!-/:-@\[-`{-~])")
+#: Runs of common white space, and what is between them.
+_RUNS = re.compile(r"[ \t\n\r]+|[^ \t\n\r]+")
+#: White space, in the widest sense, beside the common kinds.
+_RARE = re.compile(r"[^\S \t\n\r]")
+_CUT = re.compile(r"(?<=\S)(?=\s)")
+#: Bytes of one generation of a worker's cache. A full generation becomes the old one, whose pieces are taken over when
+#: they are met again.
+CACHE = 112 << 20
+ENTRY = 170  #: bytes that an entry takes beside its characters, about
+LONG = 64  #: characters of a piece that is not kept
+BLOCK = 1 << 20  #: characters of a text that are worked off at once
+MARK = "\x01"
+_BEFORE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") | {chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)}
 _LOADED: dict = {}
 
 
@@ -29,19 +42,51 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_letters() -> dict[str, int]:
+    """The printable letter that stands for each byte in byte-level vocabularies."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def blocks(text: str, most: int = BLOCK):
+    """Cuts a text before white space that follows another character, into parts of about `most` characters."""
+    at = 0
+    while len(text) - at > most:
+        cut = _CUT.search(text, at + most)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
+def _apart(text: str) -> str:
+    """Sets a comma or full stop behind a letter or digit apart from its word, before a space: what then begins with
+    MARK stands for itself without a space. Few words differ only by that, so fewer pieces are distinct."""
+    s = text.replace(", ", f" {MARK}, ").replace(". ", f" {MARK}. ")
+    parts = s.split(" " + MARK)
+    if len(parts) == 1:
+        return text
+    unsure = [i for i, p in enumerate(parts[:-1]) if p[-1:] not in _BEFORE]
+    for i in reversed(unsure):
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return (" " + MARK).join(parts) if unsure else s
+
+
 class Pieces:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes, from the ids of their pieces.
 
-    A subclass gives `_whole`, the ids of any text, and `_library`, which puts the ids of new pieces without white
-    space into the cache; behind the separator " " a piece's own ids start with that space.
+    A subclass gives `_whole`, the ids of any text, and `_words`, those of many words of Latin letters with closing
+    punctuation, all with one space before them or all with none.
     """
 
     def __init__(self):
-        self.cache: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.heads: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.odd: dict[str, bytes] = {}
-        self.hot: dict[str, bytes] = {}
-        self.lone = {m: self._whole(m) for m in [*_MARKS, "\n"]}
+        self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+        self.tails: dict[str, bytes] = {"": b""}
+        self.line = self._whole("\n")
 
     @classmethod
     def of(cls, path: str):
@@ -51,81 +96,137 @@ class Pieces:
             _LOADED[cls, path] = cls(path)
         return _LOADED[cls, path]
 
-    def _learn(self, found: set[str], sep: str, caches: tuple[dict, dict]) -> tuple[dict, dict]:
-        """The caches with all of `found` in them, but for empty pieces and those with white space inside."""
-        cache, old = caches
-        if len(cache) > CACHE:
-            cache, old = {}, cache
-        new, marked = [], []
+    def _tail(self, marks: str) -> bytes:
+        known = self.tails.get(marks)
+        if known is None:
+            known = self._whole(marks)
+            if len(marks) <= 8 and len(self.tails) < 50_000:
+                self.tails[marks] = known
+        return known
+
+    def _learn(self, found: set[str]) -> dict[str, bytes]:
+        """Ids of all of `found` but those with white space inside: a piece stands for itself behind a space, or behind
+        a line break that it then begins with. Short ones go into the cache; the rest are returned."""
+        if self.size > CACHE:
+            self.cache, self.old, self.size = {}, self.cache, 0
+        old, match, line = self.old, _PLAIN.fullmatch, self.line
+        keys, values, plain, heads, extra = [], [], [], [], {}
         for p in found:
-            if (known := old.get(p)) is not None:
-                cache[p] = known
-            elif p.split() != [p]:
-                continue
-            elif p[-1] in _MARKS and len(p) > 1 and p[-2].isascii() and p[-2].isalpha():
-                marked.append(p)
-                if p[:-1] not in cache and p[:-1] not in found:
-                    new.append(p[:-1])
+            if old and (known := old.get(p)) is not None:
+                keys.append(p)
+                values.append(known)
+            elif match(p):
+                (heads if p[0] == "\n" else plain).append(p)
+            elif p[:1] == MARK and len(p) == 2:
+                keys.append(p)
+                values.append(self._whole(p[1]))
             else:
-                new.append(p)
-        self._library(list(dict.fromkeys(new)), sep, cache)
-        for p in marked:
-            cache[p] = cache[p[:-1]] + self.lone[p[-1]]
-        return cache, old
+                body = p[1:] if p[:1] == "\n" else p
+                if body.split() == [body]:
+                    keys.append(p)
+                    values.append(line + self._whole(body) if p[0] == "\n" else self._whole(" " + p))
+        keys += heads
+        values += [line + x for x in self._words([p[1:] for p in heads], "")]
+        keys += plain
+        values += self._words(plain, " ")
+        self.size += sum(map(len, keys)) + sum(map(len, values)) + ENTRY * len(keys)
+        self.cache.update(zip(keys, values))
+        if max(map(len, keys), default=0) > LONG:
+            for p in [p for p in keys if len(p) > LONG]:
+                extra[p] = self.cache.pop(p)
+        return extra
+
+    def _looked_up(self, flat: list[str]) -> list[bytes | None]:
+        out = list(map(self.cache.get, flat))
+        if None in out:
+            missing, i = [], -1
+            try:
+                while True:
+                    i = out.index(None, i + 1)
+                    missing.append(i)
+            except ValueError:
+                pass
+            extra = self._learn({flat[i] for i in missing})
+            get = self.cache.get
+            for i in missing:
+                p = flat[i]
+                known = get(p)
+                out[i] = extra.get(p) if known is None else known
+        return out
 
     def _odd_text(self, text: str) -> bytes:
         """A text with runs of white space, or with white space other than spaces and line breaks."""
-        out = []
-        for p in _CUT.split(text):
-            known = self.odd.get(p)
-            if known is None:
-                if len(self.odd) > CACHE // 4:
-                    self.odd.clear()
-                known = self.odd[p] = self._whole(p)
-            out.append(known)
+        if _RARE.search(text) or MARK in text:
+            return b"".join(map(self._whole, _CUT.split(text)))
+        runs = _RUNS.findall(text)
+        first = 0 if runs[0][0] not in " \t\n\r" else 1
+        out: list = [None] * len(runs)
+        keys, places = [], []
+        for i in range(first, len(runs), 2):
+            before = runs[i - 1] if i else "\n"
+            keys.append(runs[i] if before[-1] == " " else "\n" + runs[i])
+            places.append(i)
+        known = self._looked_up(keys)
+        for i, k, ids in zip(places, keys, known):
+            out[i] = ids if k[0] != "\n" else ids[len(self.line) :]
+        for i in range(1 - first, len(runs), 2):
+            space = runs[i]
+            if i + 1 == len(runs):
+                out[i] = self._tail(space)
+            elif space[-1] == " ":
+                out[i] = self._tail(space[:-1])
+            else:
+                out[i] = self._tail(space[:-1]) + self._tail(space[-1])
         return b"".join(out)
 
-    def _looked_up(self, flat: list[str], sep: str, caches: tuple[dict, dict]) -> tuple[list, tuple[dict, dict]]:
-        """The ids of each piece, None where it has white space inside. Most pieces are among a few thousand, whose
-        own small dictionary stays in the processor's cache."""
-        out = list(map(self.hot.get, flat)) if sep == " " else [None] * len(flat)
-        missing = [i for i, v in enumerate(out) if v is None]
-        get = caches[0].get
-        found = [get(flat[i]) for i in missing]
-        if None in found:
-            caches = self._learn({flat[i] for i, v in zip(missing, found) if v is None}, sep, caches)
-            get = caches[0].get
-            found = [get(flat[i]) if v is None else v for i, v in zip(missing, found)]
-        for i, v in zip(missing, found):
-            out[i] = v
-        if sep == " " and not self.hot and len(flat) > 20_000:
-            self.hot = {p: caches[0][p] for p, _ in Counter(flat).most_common(HOT) if p in caches[0]}
-        return out, caches
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        firsts, rest, ends = [], [], []
-        for text in texts:
-            for line in text.split("\n"):
-                parts = line.split(" ")
-                firsts.append(parts[0])
-                rest += parts[1:]
-                ends.append(len(rest))
-        heads, self.heads = self._looked_up(firsts, "\n", self.heads)
-        ids, self.cache = self._looked_up(rest, " ", self.cache)
+        out: list[bytes] = []
+        some, owner, size = [], [], 0
+        parts: list[list[bytes]] = [[] for _ in texts]
+        for k, text in enumerate(texts):
+            for part in blocks(text) if len(text) > BLOCK else (text,):
+                if size and size + len(part) > BLOCK:
+                    self._encoded(some, owner, parts)
+                    some, owner, size = [], [], 0
+                some.append(part)
+                owner.append(k)
+                size += len(part)
+        if some:
+            self._encoded(some, owner, parts)
+        for own in parts:
+            out.append(own[0] if len(own) == 1 else b"".join(own))
+        return out
+
+    def _encoded(self, some: list[str], owner: list[int], parts: list[list[bytes]]) -> None:
+        """Puts the ids of parts of texts to their owners. A part that goes on with a text begins with white space; one
+        that begins a text is put behind a line break, whose ids are taken off again."""
+        marked, counts, last = [], [], None
+        for part, k in zip(some, owner):
+            starts = k != last and not parts[k]
+            last = k
+            if MARK in part:
+                counts.append((0, starts))
+                continue
+            s = _apart(part.replace("\n", " \n"))
+            if starts:
+                s = " \n" + s
+            elif s[0] != " ":
+                s = " " + s
+            marked.append(s)
+            counts.append((s.count(" "), starts))
+        ids = self._looked_up("".join(marked)[1:].split(" "))
         odd = None in ids
-        out, k, at, line_break = [], 0, 0, self.lone["\n"]
-        for text in texts:
-            lines, n = [], text.count("\n") + 1
-            own, start = ends[k : k + n], at
-            if None in heads[k : k + n] or odd and None in ids[start : own[-1]]:
-                out.append(self._odd_text(text))
+        at, skip = 0, len(self.line)
+        for part, k, (n, starts) in zip(some, owner, counts):
+            own = ids[at : at + n]
+            at += n
+            if not part:
+                parts[k].append(b"")
+            elif not n or odd and None in own:
+                parts[k].append(self._odd_text(part))
             else:
-                for e, h in zip(own, heads[k : k + n]):
-                    lines.append(h + b"".join(ids[at:e]))
-                    at = e
-                out.append(line_break.join(lines))
-            at, k = own[-1], k + n
-        return out
+                joined = b"".join(own)
+                parts[k].append(joined[skip:] if starts else joined)
 
 
 class Encoder(Pieces):
@@ -136,16 +237,21 @@ class Encoder(Pieces):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers, processors
 
         self.tokenizer = t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        letters = t.pre_tokenizer.alphabet()
-        added = t.get_added_tokens_decoder()
-        self.size = np.zeros(t.get_vocab_size(), dtype=np.int64)
+        self.model = m = Tokenizer.from_file(path)
+        m.no_truncation()
+        m.no_padding()
+        m.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        m.post_processor = processors.Sequence([])
+        self.lengths = np.zeros(t.get_vocab_size(), dtype=np.int64)
         for token, i in t.get_vocab().items():
-            self.size[i] = len(added[i].content.encode()) if i in added else len(token) if all(c in letters for c in token) else 0
+            self.lengths[i] = len(token)
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.spaced = self.letters | {32: " "}
         super().__init__()
 
     def _whole(self, text: str) -> bytes:
@@ -153,18 +259,26 @@ class Encoder(Pieces):
 
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _library(self, new: list[str], sep: str, cache: dict[str, bytes]) -> None:
-        """Asks the library for pieces without white space, many as one text. They are joined by spaces, which belong
-        to the piece behind them, or by line breaks, which are tokens of their own; the ids are told apart by the bytes
-        that they stand for."""
+    def _words(self, new: list[str], before: str) -> list[bytes]:
+        """Ids of the words, some dozens as one text in byte letters, their closing punctuation set apart; ids are told
+        apart by the letters they stand for."""
         import numpy as np
 
-        skip = 4 if sep == "\n" else 0
-        for k in range(0, len(new), 2000):
-            some = new[k : k + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([sep + sep.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(p) + 1 if p.isascii() else len(p.encode("utf-8", "surrogatepass")) + 1 for p in some])) + 1
+        out: list[bytes] = []
+        lead = before and self.letters[32]
+        for k in range(0, len(new), 16_384):
+            some = new[k : k + 16_384]
+            texts = [" ".join(some[i : i + 64]) for i in range(0, len(some), 64)]
+            lens = list(map(len, some))
+            if not all(map(str.isascii, texts)):
+                lens = [n if w.isascii() else len(w.encode()) for w, n in zip(some, lens)]
+                texts = [t if t.isascii() else t.encode().decode("latin-1").translate(self.spaced) for t in texts]
+            texts = [lead + _CLOSING.sub(" ", t.replace(" ", " " + lead)) for t in texts]
+            found = self.model.encode_batch_fast(texts, add_special_tokens=False)
+            ids = np.concatenate([np.array(x.ids, dtype="<u4") for x in found])
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(np.array(lens) + len(lead))) + 1
             data, at = ids.tobytes(), 0
-            for p, e in zip(some, (4 * ends).tolist()):
-                cache[p] = data[at + skip : e]
+            for e in (4 * ends).tolist():
+                out.append(data[at:e])
                 at = e
+        return out

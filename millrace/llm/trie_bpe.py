@@ -1,10 +1,11 @@
 """Byte-level BPE through a trie of distinct words.
 
 The encoding of a byte string by ranked merges has a last token, and cutting that token off leaves exactly the
-encoding of the rest. So one token id per prefix describes the encodings of all prefixes. A batch's distinct words go
-into a trie; walking it depth first gives every node the last token of its path, found from the states of its
-ancestors alone, and a prefix that many words share is worked out once. A word's encoding is read off by stepping back
-from its node.
+encoding of the rest. So one token id per prefix describes the encodings of all prefixes. Distinct words go into a trie
+that a worker keeps from batch to batch; walking it depth first gives every node the last token of its path, found from
+the states of its ancestors alone, and a prefix that many words share is worked out once. A word's encoding is read off
+by stepping back from its node. All steps look at as many bytes as the longest token has, so the time is linear in the
+length of a word.
 
 A token t may follow the encoding of a prefix that ends in token s exactly when merging the bytes of s and t gives
 [s, t] back. That is decided by running the merges on those few bytes, and remembered for the pair.
@@ -26,18 +27,14 @@ from pyspark.sql import functions as F
 
 from millrace.llm import store, tokens
 
-WORDS, PAIRS = 300_000, 1_500_000
+WORDS = 64 << 20  #: bytes of the words that are remembered, about
+PAIRS = 1_500_000  #: pairs of tokens that are remembered
+NODES = 400_000  #: nodes of the trie that is kept from batch to batch
+LONG = 128  #: bytes of a word that is not kept
 #: How the byte-level scheme splits text into words, as its public definition has it; white space by Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 
-def byte_letters() -> dict[str, int]:
-    """The printable letter that stands for each byte in byte-level vocabularies."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Codec(tokens.Pieces):
     """Encodes and decodes with the vocabulary and merges of a tokenizers file."""
 
@@ -45,7 +42,7 @@ class Codec(tokens.Pieces):
         import regex
 
         spec = json.load(open(path, encoding="utf-8"))
-        letters = byte_letters()
+        letters = tokens.byte_letters()
         raw = lambda t: bytes(letters[c] for c in t)
         vocab = {raw(t): i for t, i in spec["model"]["vocab"].items() if all(c in letters for c in t)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -63,6 +60,9 @@ class Codec(tokens.Pieces):
         self.split = regex.compile(PATTERN).findall
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
+        self.edges: dict[int, int] = {}  # node << 8 | byte: the next node
+        self.state = [-1]  # of each node: the last token of its path
         super().__init__()
 
     def merged(self, data: bytes) -> list[int]:
@@ -91,48 +91,52 @@ class Codec(tokens.Pieces):
         return known
 
     def learn(self, new: list[str]) -> None:
-        """Puts the encodings of new words into the cache, by one walk over their trie."""
-        import struct
-
-        children: list[dict[int, int]] = [{}]
-        ends: dict[int, list[str]] = {}
-        for w in new:
-            node = 0
-            for b in w.encode("utf-8", "surrogatepass"):
-                nxt = children[node].get(b)
-                if nxt is None:
-                    nxt = children[node][b] = len(children)
-                    children.append({})
-                node = nxt
-            ends.setdefault(node, []).append(w)
-        vocab, longest, follows, words, bytes_of = self.vocab, self.longest.get, self.follows, self.words, self.bytes_of
-        path, last = bytearray(), [-1]
-        todo = [(b, c, 0) for b, c in children[0].items()]
-        while todo:
-            b, node, depth = todo.pop()
-            del path[depth:], last[depth + 1 :]
-            path.append(b)
-            depth += 1
-            own = bytes(path)
-            for size in range(min(depth, longest(own[-3:], 2)), 0, -1):
-                t = vocab.get(own[depth - size :])
-                if t is not None and follows(last[depth - size], t):
-                    break
-            last.append(t)
-            if node in ends:
-                out, at = [], depth
-                while at:
-                    out.append(last[at])
-                    at -= len(bytes_of[last[at]])
-                packed = struct.pack(f"<{len(out)}I", *reversed(out))
-                for w in ends[node]:
-                    words[w] = packed
-            todo += [(x, c, depth) for x, c in children[node].items()]
+        """Puts the encodings of new words into the cache.
+
+        The words are taken in order of their bytes, which walks their trie depth first: each goes down the nodes that
+        it shares with words met before, in this batch or an earlier one, and reads their states; only the nodes that
+        it adds are worked out. A word of more than LONG bytes adds none, as hardly another one would pass them."""
+        import array
+
+        if len(self.state) > NODES:
+            self.edges.clear()
+            del self.state[1:]
+        edges, state, words, bytes_of = self.edges, self.state, self.words, self.bytes_of
+        vocab, longest, follows = self.vocab, self.longest.get, self.follows
+        for own, w in sorted((w.encode("utf-8", "surrogatepass"), w) for w in new):
+            node, depth, n = 0, 0, len(own)
+            last = array.array("i", [-1])  # the last token of each prefix
+            if n <= LONG:
+                for b in own:
+                    nxt = edges.get(node << 8 | b)
+                    if nxt is None:
+                        break
+                    node = nxt
+                    last.append(state[node])
+                depth = len(last) - 1
+            while depth < n:
+                depth += 1
+                for size in range(min(depth, longest(own[max(0, depth - 3) : depth], 2)), 0, -1):
+                    t = vocab.get(own[depth - size : depth])
+                    if t is not None and follows(last[depth - size], t):
+                        break
+                last.append(t)
+                if n <= LONG:
+                    nxt = edges[node << 8 | own[depth - 1]] = len(state)
+                    state.append(t)
+                    node = nxt
+            out = array.array("I")
+            while n:
+                out.append(last[n])
+                n -= len(bytes_of[last[n]])
+            out.reverse()
+            words[w] = out.tobytes()
 
     def _spelt(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, word by word."""
-        if len(self.words) > WORDS:
+        if self.held > WORDS:
             self.words.clear()
+            self.held = 0
         plan = []
         for text in texts:
             at, own = 0, []
@@ -141,15 +145,22 @@ class Codec(tokens.Pieces):
                     own += [*self.split(text[at:i]), self.special[t]]
                     at = i + len(t)
             plan.append(own + self.split(text[at:]))
-        self.learn(list({w for own in plan for w in own if w.__class__ is str and w not in self.words}))
+        new = list({w for own in plan for w in own if w.__class__ is str and w not in self.words})
+        self.learn(new)
         word = self.words
-        return [b"".join([word[w] if w.__class__ is str else w.to_bytes(4, "little") for w in own]) for own in plan]
+        out = [b"".join([word[w] if w.__class__ is str else w.to_bytes(4, "little") for w in own]) for own in plan]
+        for w in new:
+            if len(w) > LONG:
+                del word[w]
+            else:
+                self.held += len(w) + tokens.ENTRY
+        return out
 
     def _whole(self, text: str) -> bytes:
         return self._spelt([text])[0]
 
-    def _library(self, new: list[str], sep: str, cache: dict[str, bytes]) -> None:
-        cache.update(zip(new, self._spelt([" " + p for p in new] if sep == " " else new)))
+    def _words(self, new: list[str], before: str) -> list[bytes]:
+        return self._spelt([" " + p for p in new] if before else new)
 
     def _specials(self, text: str) -> list[tuple[int, str]]:
         """Places of special tokens, the leftmost first and the longest of equals."""
