@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-_PLANS = ["programs", "rules", "texts", "dedup", "joins", "metrics", "pages", "training", "evaluation"]
+_PLANS = ["programs", "rules", "texts", "dedup", "joins", "metrics", "pages", "training", "evaluation", "chains", "assemblies", "audits"]
 
 
 def query(name: str, sql: str | None = None):

@@ -1,44 +1,75 @@
-"""Shares of a text's characters in its most frequent and in its repeated word n-grams. The second is a left-to-right
-scan that jumps over what it has counted, so both go through Arrow batches."""
+"""Shares of a text's characters in its most frequent and in its repeated word n-grams, for n from 2 to 10.
 
-from __future__ import annotations
+Equal n-grams are found by ranking pairs of (equal (n-1)-gram, next word), so no n-gram is ever spelt out and one pass
+gives all sizes; it stops at the size from which nothing repeats. Two measures of repetition are in use: a scan from
+left to right that jumps over what it has counted, and the characters of all words in repeated n-grams. The scan is
+sequential, so texts go through Arrow batches.
+"""
 
-from collections import Counter
+from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
+#: Published limits (fixed values).
 TOP = {2: 0.20, 3: 0.18, 4: 0.16}
 DUPLICATED = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+FIELDS = [*(f"top_{n}" for n in TOP), *(f"dup_{n}" for n in DUPLICATED), *(f"cov_{n}" for n in DUPLICATED)]
 
 
-def fired(text: str) -> list[str]:
+def shares(text: str) -> dict[str, float]:
+    """top_n: the most frequent n-gram's characters, spaces included, times its count, of the text's; dup_n: characters
+    that the jumping scan finds again, of the text's; cov_n: characters of words in repeated n-grams, of all words'."""
+    import numpy as np
+
+    out = dict.fromkeys(FIELDS, 0.0)
     words, n_chars = text.split(), len(text)
-    out = []
-    if not n_chars:
+    if len(words) < 2:
         return out
-    for n, most in TOP.items():
-        grams = Counter(" ".join(words[i : i + n]) for i in range(len(words) - n + 1))
-        if grams:
-            gram, count = max(grams.items(), key=lambda x: (x[1], len(x[0])))
-            if count > 1 and count * len(gram) / n_chars > most:
-                out.append(f"gopher_rep_top_{n}_gram")
-    for n, most in DUPLICATED.items():
-        seen, repeated, i = set(), 0, 0
-        while i <= len(words) - n:
-            gram = "".join(words[i : i + n])
-            if gram in seen:
-                repeated += len(gram)
-                i += n
-            else:
-                seen.add(gram)
-                i += 1
-        if repeated / n_chars > most:
-            out.append(f"gopher_rep_duplicated_{n}_n_grams")
+    seen: dict[str, int] = {}
+    w = np.array([seen.setdefault(x, len(seen)) for x in words])
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in words])])
+    gram = w
+    for n in range(2, 11):
+        if len(words) < n:
+            break
+        gram = np.unique(gram[: len(words) - n + 1] * len(seen) + w[n - 1 :], return_inverse=True)[1]
+        count = np.bincount(gram)[gram]
+        at = np.flatnonzero(count > 1)
+        if not len(at):
+            break
+        size = ends[n:] - ends[:-n]
+        if n in TOP:
+            most = count.max()
+            out[f"top_{n}"] = float(most * (size[count == most].max() + n - 1) / n_chars)
+            continue
+        known, again, free = set(), 0, 0
+        for i, g in zip(at.tolist(), gram[at].tolist()):
+            if i >= free:
+                if g in known:
+                    again += int(size[i])
+                    free = i + n
+                known.add(g)
+        out[f"dup_{n}"] = again / n_chars
+        inside = np.zeros(len(words) + 1, np.int64)
+        np.add.at(inside, at, 1)
+        np.add.at(inside, at + n, -1)
+        covered = np.cumsum(inside[:-1]) > 0
+        out[f"cov_{n}"] = float(np.diff(ends)[covered].sum() / ends[-1])
     return out
 
 
+def fired(text: str) -> list[str]:
+    s = shares(text)
+    return [f"gopher_rep_top_{n}_gram" for n, most in TOP.items() if s[f"top_{n}"] > most] + [f"gopher_rep_duplicated_{n}_n_grams" for n, most in DUPLICATED.items() if s[f"dup_{n}"] > most]
+
+
+@F.pandas_udf(StructType([StructField(f, DoubleType()) for f in FIELDS]))
+def repetition_shares(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([shares(t or "") for t in text], columns=FIELDS)
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def repetition_reasons(text: pd.Series) -> pd.Series:
     return text.map(lambda t: fired(t or ""))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import repetition
 from millrace.functions import text as T
 
 STOP_WORDS = ["the", "be", "to", "of", "and", "that", "have", "with"]
@@ -47,6 +48,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
             per_line(F.size(F.filter("_l", lambda x: x.rlike(r"(\.\.\.|…)$")))).alias("ellipsis_ratio"),
             per_word(F.size(F.filter("_w", lambda x: x.rlike(r"\p{L}")))).alias("alpha_ratio"),
             F.size(F.filter("_w", lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("stop_words"),
+            F.size(F.array_intersect("_w", F.array(*[F.lit(x) for x in STOP_WORDS]))).cast("long").alias("stop_distinct"),
             _dup_share(F.col("_l")).alias("dup_line"),
             _dup_share(F.col("_p")).alias("dup_para"),
             F.when(chars > 0, (_chars(F.col("_l")) - _chars(_first_seen(F.col("_l")))) / chars).otherwise(F.lit(0.0)).alias("dup_line_chars"),
@@ -80,7 +82,7 @@ FINEWEB = [
     ("gopher_qual_bullets", "m.bullet_ratio > 0.9"),
     ("gopher_qual_ellipses", "m.ellipsis_ratio > 0.3"),
     ("gopher_qual_gopher_below_alpha_threshold", "m.alpha_ratio < 0.8"),
-    ("gopher_qual_stop_words", "m.stop_words < 2"),
+    ("gopher_qual_stop_words", "m.stop_distinct < 2"),
     ("fineweb_line_punct_ratio", "m.punct_lines < 0.12"),
     ("fineweb_short_line_ratio", "m.short_lines > 0.67"),
     ("fineweb_char_dup_ratio", "m.dup_line_chars > 0.01"),
@@ -88,9 +90,53 @@ FINEWEB = [
 ]
 
 
+#: The n-gram parts of the repetition rules, over a struct g of `repetition.shares`.
+REPEATED_WORDS = " or ".join([f"g.top_{n} > {v}" for n, v in repetition.TOP.items()] + [f"g.cov_{n} > {v}" for n, v in repetition.DUPLICATED.items()])
+GOPHER_GRAMS = [(f"gopher_rep_top_{n}_gram", f"g.top_{n} > {v}") for n, v in repetition.TOP.items()] + [(f"gopher_rep_duplicated_{n}_n_grams", f"g.dup_{n} > {v}") for n, v in repetition.DUPLICATED.items()]
+#: The filters of the first stack with all parts of the repetition rule.
+REFINEDWEB_WHOLE = [(n, f"{p} or {REPEATED_WORDS}" if n == "repetition" else p) for n, p in REFINEDWEB]
+
+
 def reasons(rules: list[tuple[str, str]]) -> Column:
-    """The names of the rules that fire, in the order of the stack."""
-    return F.filter(F.array(*[F.when(F.expr(p), F.lit(n)) for n, p in rules]), lambda x: x.isNotNull())
+    """The names of the rules that fire, in the order of the stack. A rule that cannot be decided (null) is an error
+    and counts as a drop, under its name and ERROR."""
+    one = lambda n, p: F.when(F.expr(p).isNull(), F.lit(f"{n} ERROR")).when(F.expr(p), F.lit(n))
+    return F.filter(F.array(*[one(n, p) for n, p in rules]), lambda x: x.isNotNull())
+
+
+def stack(config: list[dict]) -> list[tuple[str, str]]:
+    """A stack from a list of {func, kwargs} steps, as rule configurations are written: func names a rule of RULE_TEXTS,
+    kwargs replace its limits."""
+    out = []
+    for step in config:
+        text, limits = RULE_TEXTS[step["func"]]
+        unknown = set(step.get("kwargs", {})) - set(limits)
+        if unknown:
+            raise ValueError(f"{step['func']} has no {', '.join(sorted(unknown))}")
+        out.append((step["func"], text.format(**{**limits, **step.get("kwargs", {})})))
+    return out
+
+
+#: Rules by the name of their step: predicate and published limits (fixed values).
+RULE_TEXTS = {
+    "page_length_filter": ("m.n_words < {min} or m.n_words > {max}", {"min": 50, "max": 100000}),
+    "word_length_filter": ("m.mean_word < {min} or m.mean_word > {max}", {"min": 3, "max": 10}),
+    "symbol_ratio_filter": ("m.symbol_ratio > {max}", {"max": 0.1}),
+    "bullet_count_filter": ("m.bullet_ratio > {max}", {"max": 0.9}),
+    "ellipsis_count_filter": ("m.ellipsis_ratio > {max}", {"max": 0.3}),
+    "alphabetic_word_ratio_filter": ("1 - m.alpha_ratio > {max}", {"max": 0.2}),
+    "stop_word_filter": ("m.stop_words < {min}", {"min": 2}),
+}
+
+
+def cleaned(text: Column) -> Column:
+    """Text modifiers: URLs go, runs of more than two line feeds become two."""
+    return F.regexp_replace(F.regexp_replace(text, r"https?://\S+", ""), "\n{3,}", "\n\n")
+
+
+def shortened(lines: Column) -> Column:
+    """All line modifiers: those that drop lines, then the shop and navigation phrases; lines emptied by that go."""
+    return F.filter(F.transform(modified_lines(lines), lambda x: T.strip(without_substrings(x))), lambda x: x != "")
 
 
 #: Line modifiers of the RefinedWeb stack (fixed values).

@@ -9,11 +9,12 @@ from pyspark.sql.window import Window
 from millrace.functions import text as T
 
 
-def grams(df: DataFrame, keys: list[str], n: int, text: str = "text") -> DataFrame:
-    """keys, g: the 64-bit hash of every run of n lower-case words. Hashes, not words, are what later steps shuffle."""
+def grams(df: DataFrame, keys: list[str], n: int, text: str = "text", distinct: bool = False) -> DataFrame:
+    """keys, g: the 64-bit hash of every run of n lower-case words, or of every distinct one of a row. Hashes, not words,
+    are what later steps shuffle."""
     w = df.withColumn("_w", T.words(F.lower(T.text_of(text)))).where(F.size("_w") >= n)
     g = F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.xxhash64(*[F.get(F.col("_w"), i + j) for j in range(n)]))
-    return w.select(*keys, F.explode(g).alias("g"))
+    return w.select(*keys, F.explode(F.array_distinct(g) if distinct else g).alias("g"))
 
 
 def ngram_dedup(docs: DataFrame, n: int = 13, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -21,13 +22,12 @@ def ngram_dedup(docs: DataFrame, n: int = 13, threshold: float = 0.8, id_col: st
 
     A paragraph goes when at least `threshold` of its distinct n-grams occur in an earlier paragraph (of the order of
     document, then place); a document goes by the same test over its paragraphs' n-grams. Paragraphs under n words
-    never go. The first place of a hash is a partial aggregate; place and document are packed for it in two minima.
+    never go. The first place of a hash is one partial aggregate and one join; repeats in a paragraph go in its row.
     """
     p = docs.select(F.col(id_col).alias("d"), F.posexplode(F.split(T.text_of(text_col), "\n")).alias("k", "para"))
-    g = grams(p, ["d", "k"], n, "para").distinct()
-    in_doc = g.groupBy("g", "d").agg(F.min("k").alias("k0"))
-    first = in_doc.groupBy("g").agg(F.min("d").alias("d0"), F.count("*").alias("docs"))
-    seen = g.join(in_doc, ["g", "d"]).join(first, "g").select("d", "k", ((F.col("d") > F.col("d0")) | (F.col("k") > F.col("k0"))).cast("int").alias("seen"))
+    g = grams(p, ["d", "k"], n, "para", distinct=True)
+    first = g.groupBy("g").agg(F.min(F.struct("d", "k")).alias("first"))
+    seen = g.join(first, "g").select("d", "k", (F.struct("d", "k") > F.col("first")).cast("int").alias("seen"))
     per = seen.groupBy("d", "k").agg(F.count("*").alias("n"), F.sum("seen").alias("s"))
     doc = per.groupBy("d").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count_if(F.col("s") >= threshold * F.col("n")).alias("n_dropped"))
     sizes = docs.select(F.col(id_col).alias("d"), F.size(F.split(T.text_of(text_col), "\n")).cast("long").alias("n_paragraphs"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,14 +17,64 @@ def token_counts(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
     return t.groupBy(key, "tok").agg(F.count("*").alias(name))
 
 
+@F.pandas_udf("n_sys long, n_ref long, n_both long")
+def _shared(system: pd.Series, reference: pd.Series, n: pd.Series) -> pd.DataFrame:
+    out = []
+    for s, r, k in zip(system, reference, n):
+        a, b = s.split(), r.split()
+        if k > 1:
+            a, b = (list(zip(*[x[i:] for i in range(k)])) for x in (a, b))
+        x, y = Counter(a), Counter(b)
+        if len(y) < len(x):
+            x, y = y, x
+        out.append((len(a), len(b), sum(min(c, y[t]) for t, c in x.items() if t in y)))
+    return pd.DataFrame(out, columns=["n_sys", "n_ref", "n_both"])
+
+
+def shared_counts(system: Column, reference: Column, n: int = 1) -> Column:
+    """n_sys, n_ref, n_both of the multisets of n-grams of two token arrays. Both texts are in the row, so they are counted
+    there: the tokens are found by Catalyst, the multisets met in Arrow batches, and nothing is shuffled."""
+    return _shared(F.array_join(system, " "), F.array_join(reference, " "), F.lit(n))
+
+
 def overlap(df: DataFrame, key: str, system: str, reference: str) -> DataFrame:
-    """key, n_sys, n_ref, n_both of the token multisets. Both sides are grouped by (key, token) once, in one aggregate."""
-    s = df.select(key, F.explode(T.tokens(T.text_of(system))).alias("tok"), F.lit(1).alias("s"), F.lit(0).alias("r"))
-    r = df.select(key, F.explode(T.tokens(T.text_of(reference))).alias("tok"), F.lit(0).alias("s"), F.lit(1).alias("r"))
-    c = s.unionByName(r).groupBy(key, "tok").agg(F.sum("s").alias("s"), F.sum("r").alias("r"))
-    per = c.groupBy(key).agg(F.sum("s").alias("n_sys"), F.sum("r").alias("n_ref"), F.sum(F.least("s", "r")).alias("n_both"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return df.select(key).join(per, key, "left").select(key, zero("n_sys"), zero("n_ref"), zero("n_both"))
+    """key, n_sys, n_ref, n_both of the token multisets; a map."""
+    c = df.select(key, shared_counts(T.tokens(T.text_of(system)), T.tokens(T.text_of(reference))).alias("c"))
+    return c.select(key, "c.n_sys", "c.n_ref", "c.n_both")
+
+
+def worth_showing(faith: str, chars: str, words: str, lines: str) -> Column:
+    """Faithful prose of some length, and no list of titles (fixed values)."""
+    n = F.col(words)
+    return (F.col(faith) >= 0.92) & (F.col(chars) > 150) & (F.col(chars) < 6000) & (n >= 60) & (F.col(lines) >= 2) & (n / F.col(lines) >= 12)
+
+
+def candidate_score(faith: str, edu: str, chars: str) -> Column:
+    return F.round(60 * (F.col(faith) - 0.92) + 2 * F.least(F.lit(2.0), edu) + F.when(F.col(chars) > 3000, 1.5).otherwise(0.0), 6)
+
+
+def longest_common(a: list, b: list) -> int:
+    """Length of the longest common subsequence, by bits of one integer a row."""
+    at: dict = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v = full
+    for y in b:
+        u = v & at.get(y, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(a) - v.bit_count()
+
+
+@F.pandas_udf("double")
+def rouge_l(system: pd.Series, reference: pd.Series) -> pd.Series:
+    """F1 of the longest common subsequence of lower-case words."""
+
+    def one(s, r):
+        a, b = (s or "").lower().split(), (r or "").lower().split()
+        return 2 * longest_common(a, b) / (len(a) + len(b)) if a or b else 0.0
+
+    return pd.Series([one(s, r) for s, r in zip(system, reference)], dtype=float)
 
 
 def prf(n_sys: Column, n_ref: Column, n_both: Column) -> tuple[Column, Column, Column]:

@@ -21,6 +21,7 @@ m as (select doc_id, source, t, l, w, len(w) as n_words,
   case when len(l) > 0 then len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)$'))) / len(l) else 0 end as ellipsis_ratio,
   case when len(w) > 0 then len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) / len(w) else 0 end as alpha_ratio,
   len(list_filter(w, lambda x: lower(x) in ('the', 'be', 'to', 'of', 'and', 'that', 'have', 'with'))) as stop_words,
+  len(list_filter(['the', 'be', 'to', 'of', 'and', 'that', 'have', 'with'], lambda x: list_contains(w, x))) as stop_distinct,
   case when len(l) > 0 then 1 - len(list_distinct(l)) / len(l) else 0 end as dup_line,
   case when len(p) > 0 then 1 - len(list_distinct(p)) / len(p) else 0 end as dup_para,
   case when length(t) > 0 then (length(array_to_string(l, '')) - length(array_to_string(list_distinct(l), ''))) / length(t) else 0 end as dup_line_chars,
@@ -31,34 +32,46 @@ m as (select doc_id, source, t, l, w, len(w) as n_words,
 """
 
 
-def _sql_reasons(rules):
-    cases = ", ".join(f"case when {p.replace('m.', '')} then '{n}' end" for n, p in rules)
-    return f"list_filter([{cases}], lambda x: x is not null)"
+#: The rules that fire, written out: limits here are not those of the code under test.
+SQL_RW = """list_filter([case when n_words < 50 or n_words > 100000 then 'page_length' end, case when mean_word < 3 or mean_word > 10 then 'word_length' end,
+ case when symbol_ratio > 0.1 then 'symbol_ratio' end, case when bullet_ratio > 0.9 then 'bullet_count' end, case when ellipsis_ratio > 0.3 then 'ellipsis_count' end,
+ case when alpha_ratio < 0.8 then 'alphabetic_ratio' end, case when stop_words < 2 then 'stop_words' end,
+ case when dup_line > 0.3 or dup_para > 0.3 or dup_line_chars > 0.2 or dup_para_chars > 0.2 then 'repetition' end], lambda x: x is not null)"""
+SQL_FW = """list_filter([case when dup_para > 0.3 then 'gopher_rep_dup_para_frac' end, case when dup_para_chars > 0.2 then 'gopher_rep_dup_para_char_frac' end,
+ case when dup_line > 0.3 then 'gopher_rep_dup_line_frac' end, case when dup_line_chars > 0.2 then 'gopher_rep_dup_line_char_frac' end,
+ case when n_words < 50 then 'gopher_qual_gopher_short_doc' end, case when n_words > 100000 then 'gopher_qual_gopher_long_doc' end,
+ case when mean_word < 3 or mean_word > 10 then 'gopher_qual_mean_word' end, case when symbol_ratio > 0.1 then 'gopher_qual_symbol_ratio' end,
+ case when bullet_ratio > 0.9 then 'gopher_qual_bullets' end, case when ellipsis_ratio > 0.3 then 'gopher_qual_ellipses' end,
+ case when alpha_ratio < 0.8 then 'gopher_qual_gopher_below_alpha_threshold' end, case when stop_distinct < 2 then 'gopher_qual_stop_words' end,
+ case when punct_lines < 0.12 then 'fineweb_line_punct_ratio' end, case when short_lines > 0.67 then 'fineweb_short_line_ratio' end,
+ case when dup_line_chars > 0.01 then 'fineweb_char_dup_ratio' end, case when newline_ratio > 0.3 then 'fineweb_list_ratio' end], lambda x: x is not null)"""
 
 
 def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "source", "text")
 
 
-@query("rw_rule_reasons", f"with {SQL_M}, r as (select doc_id, {_sql_reasons(R.REFINEDWEB)} as r from m) select doc_id, array_to_string(r, ',') as reasons, r[1] as first_reason, len(r) = 0 as kept from r")
+@query("rw_rule_reasons", f"with {SQL_M}, r as (select doc_id, {SQL_RW} as r from m) select doc_id, array_to_string(r, ',') as reasons, r[1] as first_reason, len(r) = 0 as none_fired from r")
 def rw_rule_reasons(spark, sf_dir):
+    """The filters that are Column expressions; `rw_chain` has the whole stack and the verdict."""
     r = R.measured(_docs(spark, sf_dir)).select("doc_id", R.reasons(R.REFINEDWEB).alias("r"))
-    return r.select("doc_id", F.array_join("r", ",").alias("reasons"), F.get("r", F.lit(0)).alias("first_reason"), (F.size("r") == 0).alias("kept"))
+    return r.select("doc_id", F.array_join("r", ",").alias("reasons"), F.get("r", F.lit(0)).alias("first_reason"), (F.size("r") == 0).alias("none_fired"))
 
 
-@query("rw_first_reason_hist", f"with {SQL_M}, r as (select {_sql_reasons(R.REFINEDWEB)}[1] as reason from m) select coalesce(reason, 'kept') as reason, count(*) as n from r group by 1")
+@query("rw_first_reason_hist", f"with {SQL_M}, r as (select {SQL_RW}[1] as reason from m) select coalesce(reason, 'kept') as reason, count(*) as n from r group by 1")
 def rw_first_reason_hist(spark, sf_dir):
     r = R.measured(_docs(spark, sf_dir)).select(F.coalesce(F.get(R.reasons(R.REFINEDWEB), F.lit(0)), F.lit("kept")).alias("reason"))
     return r.groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("fw_rule_flags", f"with {SQL_M}, r as (select doc_id, {_sql_reasons(R.FINEWEB)} as r from m) select doc_id, array_to_string(r, ',') as reasons, r[1] as first_reason, len(r) = 0 as kept from r")
+@query("fw_rule_flags", f"with {SQL_M}, r as (select doc_id, {SQL_FW} as r from m) select doc_id, array_to_string(r, ',') as reasons, r[1] as first_reason, len(r) = 0 as none_fired from r")
 def fw_rule_flags(spark, sf_dir):
+    """The checks that are Column expressions; `fw_chain` has the whole stack and the verdict."""
     r = R.measured(_docs(spark, sf_dir)).select("doc_id", R.reasons(R.FINEWEB).alias("r"))
-    return r.select("doc_id", F.array_join("r", ",").alias("reasons"), F.get("r", F.lit(0)).alias("first_reason"), (F.size("r") == 0).alias("kept"))
+    return r.select("doc_id", F.array_join("r", ",").alias("reasons"), F.get("r", F.lit(0)).alias("first_reason"), (F.size("r") == 0).alias("none_fired"))
 
 
-@query("fw_all_rules_hist", f"with {SQL_M}, r as (select unnest({_sql_reasons(R.FINEWEB)}) as reason from m) select reason, count(*) as n from r group by 1")
+@query("fw_all_rules_hist", f"with {SQL_M}, r as (select unnest({SQL_FW}) as reason from m) select reason, count(*) as n from r group by 1")
 def fw_all_rules_hist(spark, sf_dir):
     r = R.measured(_docs(spark, sf_dir)).select(F.explode(R.reasons(R.FINEWEB)).alias("reason"))
     return r.groupBy("reason").agg(F.count("*").alias("n"))

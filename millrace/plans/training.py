@@ -10,7 +10,7 @@ from millrace.functions import text as T
 from millrace.operators import program as P
 from millrace.operators import training as S
 from millrace.plans.programs import programs
-from millrace.plans.rules import SQL_M, _sql_reasons
+from millrace.plans.rules import SQL_FW, SQL_M, SQL_RW
 from millrace.sources.tables import table
 
 
@@ -53,7 +53,7 @@ def need_list(spark, sf_dir):
     return d.join(deleted, "doc_id", "left_semi").join(d.where("doc_id % 7 = 0").select("h").distinct(), "h", "left_anti").select("doc_id")
 
 
-@query("drop_reasons_judged", f"""with {SQL_M}, r as (select doc_id, {_sql_reasons(R.REFINEDWEB)}[1] as reason from m) select reason, count(*) as n, count_if(l.quality = 1)::bigint as worth_keeping, count_if(l.quality = 1 and l.toxic = 0)::bigint as clean from r join labels l using (doc_id) where reason is not null group by 1""")
+@query("drop_reasons_judged", f"""with {SQL_M}, r as (select doc_id, {SQL_RW}[1] as reason from m) select reason, count(*) as n, count_if(l.quality = 1)::bigint as worth_keeping, count_if(l.quality = 1 and l.toxic = 0)::bigint as clean from r join labels l using (doc_id) where reason is not null group by 1""")
 def drop_reasons_judged(spark, sf_dir):
     """How often a judge would have kept what each rule drops."""
     r = R.measured(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.get(R.reasons(R.REFINEDWEB), F.lit(0)).alias("reason"))
@@ -61,7 +61,7 @@ def drop_reasons_judged(spark, sf_dir):
     return j.where("reason is not null")
 
 
-@query("rule_flags", f"""with {SQL_M}, r as (select doc_id, {_sql_reasons(R.REFINEDWEB)} as rw, {_sql_reasons(R.FINEWEB)} as fw from m)
+@query("rule_flags", f"""with {SQL_M}, r as (select doc_id, {SQL_RW} as rw, {SQL_FW} as fw from m)
 select r.doc_id, l.quality, len(rw) = 0 as rw_kept, len(fw) = 0 as fw_kept, list_contains(rw, 'repetition') or list_contains(fw, 'gopher_rep_dup_line_frac') as repetition, list_contains(rw, 'symbol_ratio') as symbols, list_contains(fw, 'gopher_qual_gopher_short_doc') as short from r left join labels l using (doc_id)""")
 def rule_flags(spark, sf_dir):
     """Both stacks and the judge, one row a page: one pass for the flags, one join for the verdict."""

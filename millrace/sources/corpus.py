@@ -62,6 +62,24 @@ def shard_list(paths: DataFrame, contains: str = "", start: int = 0, count: int
     return k if count is None else k.where(F.col("k") < start + count)
 
 
+def _numbered(stems: DataFrame) -> DataFrame:
+    """stem, idx: places in the sorted list of shards, which is a list of file names."""
+    from pyspark.sql.window import Window
+
+    return stems.select("stem", (F.row_number().over(Window.orderBy("stem")) - 1).cast("long").alias("idx"))
+
+
+def todo(stems: DataFrame, outputs: DataFrame) -> DataFrame:
+    """stem, idx, damaged of shards without a readable output; `outputs` has stem and readable."""
+    j = _numbered(stems).join(outputs.select("stem", "readable"), "stem", "left")
+    return j.where("readable is null or not readable").select("stem", "idx", F.col("readable").isNotNull().alias("damaged"))
+
+
+def strided(stems: DataFrame, workers: int) -> DataFrame:
+    """stem, idx, worker: worker w takes the shards w, w + workers, ... of the sorted list."""
+    return _numbered(stems).withColumn("worker", F.pmod("idx", F.lit(workers)))
+
+
 def row_counts(spark: SparkSession, **legs: str) -> DataFrame:
     """stem and the rows of each Parquet leg, to validate that legs agree; a shard that a leg lacks has null there."""
     out = None
@@ -85,8 +103,18 @@ def rank_log(spark: SparkSession, path: str) -> DataFrame:
     return t.select("file", x(1).cast("long").alias("rank"), x(2).alias("stem"), x(3).cast("long").alias("pages"), x(4).cast("long").alias("kept"), F.from_json(F.regexp_replace(x(5), "'", '"'), "map<string,bigint>").alias("counters"))
 
 
-def accounting(spark: SparkSession, path: str) -> DataFrame:
-    """Bar-separated job accounting rows with a header, and gpu_hours from elapsed seconds and the allocated devices."""
-    a = spark.read.option("sep", "|").option("header", "true").csv(path)
+def with_gpu_hours(rows: DataFrame) -> DataFrame:
+    """Adds gpus and gpu_hours to accounting rows (AllocTRES, ElapsedRaw)."""
     gpus = F.coalesce(F.regexp_extract("AllocTRES", r"gres/gpu=(\d+)", 1).try_cast("long"), F.lit(0))
-    return a.withColumn("gpus", gpus).withColumn("gpu_hours", F.col("ElapsedRaw").cast("long") * gpus / 3600)
+    return rows.withColumn("gpus", gpus).withColumn("gpu_hours", F.col("ElapsedRaw").cast("long") * gpus / 3600)
+
+
+def parsed_accounting(lines: DataFrame, header: str, value: str = "value") -> DataFrame:
+    """Bar-separated accounting rows by the names of their header, with gpus and gpu_hours."""
+    cells = F.split(value, r"\|")
+    return with_gpu_hours(lines.select(*[F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(header.split("|"))]))
+
+
+def accounting(spark: SparkSession, path: str) -> DataFrame:
+    """Bar-separated job accounting rows of a file with a header, and gpu_hours from elapsed seconds and the devices."""
+    return with_gpu_hours(spark.read.option("sep", "|").option("header", "true").csv(path))
