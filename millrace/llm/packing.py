@@ -1,14 +1,16 @@
 """Best-fit packing of token pieces into fixed-length sequences, with certified bin counts.
 
-Pieces are dealt by hash into partitions of bounded size; each packs its own by best-fit decreasing and compares the
-number of bins with lower bounds from dual-feasible functions. A partition whose bins leave room, which is every one
-whose bins exceed its bound, has a gap: it keeps its full bins and gives up the pieces of its emptiest ones. Those of several
-partitions meet in one, which packs them again, and so on until one partition is left or nothing is given up. Each
-partition gives up a bounded number of bins, so every task stays small however large the corpus is. `certificate`
-compares the final count with the bound for all pieces, which needs only the histogram of lengths.
+Pieces are dealt by a hash of their row numbers into partitions of bounded size. Each packs its own by best-fit
+decreasing and compares the number of bins with lower bounds from dual-feasible functions. A partition that meets its
+bound is certified. One with a gap gives up bins in proportion to it: their pieces are dealt anew among the
+partitions of the next round, which rerun best-fit decreasing. The bound for all pieces, which needs only the histogram
+of lengths, decides whether that goes on: once it is met everything stands; where the gaps of partitions do not explain
+what is above it, because their surpluses differ (one has too many long pieces, another too many short ones),
+certified partitions give up their share too. Rounds end when one wins nothing, or after ROUNDS; no task grows with the
+corpus. `certificate` states the final count and the bound.
 
 Defined results: a null or empty text is the end id alone, one piece; rows with a null id and rows that repeat an id
-are packed like all others; ties in length are broken by a hash of the id, then by the id and piece; other columns are
+are packed like all others; ties in length are broken by row number; other columns are
 ignored; an empty table gives no pieces.
 """
 
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from millrace.llm import store, tokens
 
 PART = 20_000  #: pieces that one partition packs, about
-GIVE = 64  #: bins that a partition gives up at most
-FAN = 16  #: partitions whose given-up pieces meet in one
+GIVE = 64  #: bins that are given up for each bin above a bound
+ROUNDS = 8  #: of packing, at most
 
 
 def cut(n: int, most: int) -> list[tuple[int, int]]:
@@ -101,10 +103,33 @@ def best_fit(lengths, capacity: int) -> list[list[int]]:
     return bins
 
 
-_ROWS = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, sequence_id long, offset long, bins long, bound long"
+def packed_part(lengths, capacity: int):
+    """Best-fit decreasing of one partition's lengths, which must not ascend: (bin of each, offset of each, rank of each
+    bin, bins, bound). Rank is the order in which bins are given up: the emptiest and, between them, those of the
+    most pieces, as large pieces alone leave no choice."""
+    import numpy as np
+
+    bins = best_fit(lengths.tolist(), capacity)
+    bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+    where, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    fill, size = np.zeros(len(bins), np.int64), np.zeros(len(bins), np.int64)
+    for b, members in enumerate(bins):
+        own = lengths[members]
+        where[members] = b
+        offset[members] = np.cumsum(own) - own
+        fill[b], size[b] = own.sum(), len(members)
+    rank = np.full(len(bins), 2 * len(bins), np.int64)
+    order = np.argsort(fill, kind="stable")
+    rank[order] = 2 * np.arange(len(bins))
+    order = np.argsort(-size, kind="stable")
+    rank[order] = np.minimum(rank[order], 2 * np.arange(len(bins)) + 1)
+    return where, offset, rank, len(bins), bound
+
 
+_ROWS = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, part int, bin long, offset long, rank long, bins long, bound long"
 
-def _pack(capacity: int, round_no: int, last: bool):
+
+def _pack(capacity: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -113,27 +138,10 @@ def _pack(capacity: int, round_no: int, last: bool):
         if not batches:
             return
         table = pa.Table.from_batches(batches)
-        part = table.column("part")[0].as_py()
-        lengths = table.column("length").to_numpy()
-        order = np.argsort(-lengths, kind="stable")
-        bins = best_fit(lengths[order].tolist(), capacity)
-        bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        fill = np.array([lengths[order[b]].sum() for b in bins])
-        free = int(capacity * len(bins) - fill.sum())
-        give: set[int] = set()
-        if not last and (len(bins) > bound or free):
-            worst = np.argsort(fill, kind="stable")[:GIVE]
-            give = {int(b) for b in worst if fill[b] < capacity}
-        seq, off = np.full(len(lengths), -1, dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
-        for b, members in enumerate(bins):
-            if b in give:
-                continue
-            at = 0
-            for i in order[members].tolist():
-                seq[i], off[i] = round_no << 58 | part << 32 | b, at
-                at += int(lengths[i])
-        n = len(lengths)
-        yield from table.append_column("sequence_id", pa.array(seq, mask=seq < 0)).append_column("offset", pa.array(off, mask=seq < 0)).append_column("bins", pa.array(np.full(n, len(bins)))).append_column("bound", pa.array(np.full(n, bound))).to_batches()
+        where, offset, rank, bins, bound = packed_part(table.column("length").to_numpy(), capacity)
+        for name, values in (("bin", where), ("offset", offset), ("rank", rank[where]), ("bins", np.full(len(where), bins)), ("bound", np.full(len(where), bound))):
+            table = table.append_column(name, pa.array(values))
+        yield from table.to_batches()
 
     return run
 
@@ -141,27 +149,42 @@ def _pack(capacity: int, round_no: int, last: bool):
 def pack(rows: DataFrame, capacity: int = 1024) -> DataFrame:
     """Adds sequence_id and offset to pieces of at most `capacity` ids.
 
-    `rows` needs doc_id, piece, start, length, ids_crc32. Each round is written to the shared folder.
+    `rows` needs doc_id, piece, start, length, ids_crc32. Each round is written to the shared folder; only sums over
+    partitions and the histogram of lengths reach the driver.
     """
     spark = rows.sparkSession
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    rows = store.written(rows.select(*cols), "pieces")
-    whole = rows.where(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    rows = store.written(rows.select(*cols).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    places = [*cols, "sequence_id", "offset"]
+    done = [rows.where(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.col("row")).withColumn("offset", F.lit(0).cast("long")).select(*places)]
     todo = rows.where(F.col("length") < capacity)
-    done = [whole.select(*cols, "sequence_id", "offset")]
-    parts = -(-todo.count() // PART)
-    round_no = 0
-    while parts:
-        mix = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
-        part = F.pmod(mix, F.lit(parts)) if round_no == 0 else F.floor(F.col("part") / FAN)
-        dealt = todo.withColumn("part", part.cast("int")).repartitionById(parts, F.col("part")).withColumn("_mix", mix).sortWithinPartitions(F.desc("length"), "_mix", "doc_id", "piece", "start").drop("_mix")
-        packed = store.written(dealt.select(*cols, "part").mapInArrow(_pack(capacity, round_no, parts == 1), _ROWS), f"packed-{round_no}")
-        done.append(packed.where("sequence_id is not null").select(*cols, "sequence_id", "offset"))
-        if parts == 1:
+    histogram = [0] * (capacity + 1)
+    for r in todo.groupBy("length").count().collect():
+        histogram[r.length] = r["count"]
+    least, n, kept, given, before = lower_bound(histogram, capacity), sum(histogram), 0, None, None
+    for round_no in range(ROUNDS):
+        parts = -(-n // PART)
+        if not parts:
+            break
+        dealt = todo.select(*cols, "row", F.pmod(F.xxhash64("row", F.lit(round_no)), F.lit(parts)).cast("int").alias("part"))
+        dealt = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions(F.desc("length"), "row")
+        packed = store.written(dealt.mapInArrow(_pack(capacity), _ROWS), f"packed-{round_no}")
+        placed = packed.withColumn("sequence_id", F.lit(round_no << 58) + F.shiftleft(F.col("part").cast("long"), 32) + F.col("bin"))
+        bins, gaps = packed.groupBy("part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound")).agg(F.coalesce(F.sum("bins"), F.lit(0)), F.coalesce(F.sum(F.col("bins") - F.col("bound")), F.lit(0))).first()
+        if given is not None and bins >= given:
+            done.append(before.select(*places))  # nothing is won, so the bins stay as they were
+            break
+        excess = kept + bins - least
+        if excess <= 0 or parts == 1 or round_no == ROUNDS - 1:
+            done.append(placed.select(*places))
             break
-        todo = packed.where("sequence_id is null").select(*cols, "part")
-        parts = -(-parts // FAN) if not todo.isEmpty() else 0
-        round_no += 1
+        share = -(-GIVE * (excess - gaps) // parts) if excess > gaps else 0
+        quota = F.when(F.col("bins") > F.col("bound"), GIVE * (F.col("bins") - F.col("bound"))).otherwise(F.lit(0)) + F.lit(share)
+        done.append(placed.where(F.col("rank") >= quota).select(*places))
+        before = placed.where(F.col("rank") < quota)
+        n, given = before.agg(F.count("*"), F.count_distinct("sequence_id")).first()
+        kept += bins - given
+        todo = before.select(*cols, "row")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
