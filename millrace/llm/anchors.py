@@ -18,8 +18,9 @@ from millrace.llm import shards, store
 from millrace.llm import words as W
 
 SENT = 400_000  #: segments that a task gathers and makes distinct before it sends them
-BUCKET_BYTES = 200 << 20  #: text bytes of the corpus whose segments one bucket takes, about
+BUCKET_BYTES = 64 << 20  #: text bytes of the corpus whose segments one bucket takes, about
 ANCHOR_BITS = 40  #: what is kept of an anchor; segments are told apart by 64 more bits
+COLUMNS = ["shard", "anchor", "key", "first_id", "again", "edge", "source"]
 _FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -97,7 +98,7 @@ def _sent(units, width: int, gram: int, buckets: int, fold: bool):
                 s = slice(int(ends[b]), int(ends[b + 1]))
                 f = flags[s]
                 rows.append((b, f.astype("<u4").tobytes() + (f >> np.uint64(32)).astype("<u2").tobytes() + key[s].astype("<u8").tobytes() + (ids[s] - base).astype(kind).tobytes(), len(f)))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([shard] * len(rows), pa.int32()), pa.array([base] * len(rows), pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "shard", "base", "n", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([shard] * len(rows), pa.int64()), pa.array([base] * len(rows), pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "shard", "base", "n", "blob"])
 
         parts, size, shard = [], 0, None
         for batch in batches:
@@ -135,7 +136,7 @@ def _met(within: bool):
                 f = np.frombuffer(blob, "<u4", n).astype(np.uint64) | (np.frombuffer(blob, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32))
                 key = np.frombuffer(blob, "<u8", n, 6 * n).copy()
                 ids = np.frombuffer(blob, "<u4" if len(blob) == 18 * n else "<u8", n, 14 * n).astype(np.int64) + base
-                parts.append((f, key, ids, np.full(n, shard, np.int32)))
+                parts.append((f, key, ids, np.full(n, shard, np.int64)))
         if not parts:
             return
         f, key, ids, shard = (np.concatenate([p[i] for p in parts]) for i in range(4))
@@ -166,36 +167,38 @@ def _met(within: bool):
         high = np.maximum.reduceat(i, head)
         g, sh, low = g[head], sh[head], i[head]
         later = again[g] & ((high > first_id[g]) | (flags & np.uint64(4) > 0) | (within & ((flags & np.uint64(1)) > 0)))
-        at_first = edge[g] & (low == first_id[g])
-        on = later | at_first
+        at_first = low == first_id[g]
+        edged, source = edge[g] & at_first, again[g] & at_first
+        on = later | edged | source
         g, sh = g[on], sh[on]
         for k in range(0, len(g), 100_000):
             s = slice(k, k + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(sh[s]), pa.array(anchor[start[g[s]]].view(np.int64)), pa.array(key[start[g[s]]].view(np.int64)), pa.array(first_id[g[s]]), pa.array(later[on][s]), pa.array(at_first[on][s])], names=["shard", "anchor", "key", "first_id", "again", "edge"])
+            yield pa.RecordBatch.from_arrays([pa.array(sh[s]), pa.array(anchor[start[g[s]]].view(np.int64)), pa.array(key[start[g[s]]].view(np.int64)), pa.array(first_id[g[s]]), pa.array(later[on][s]), pa.array(edged[on][s]), pa.array(source[on][s])], names=COLUMNS)
 
     return run
 
 
-def routes(copy: DataFrame, units, width: int, gram: int, within: bool) -> str:
-    """Path of a companion table: for each shard of `copy`, the segments that matter there. `again`: later documents of
-    the shard (or, if `within`, later places) repeat it; `edge`: its first document is here, and other segments share
-    its anchor (or, if `within`, its own windows may be equal), so its windows must be compared one by one."""
+def routes(copy: DataFrame, units, width: int, gram: int, within: bool) -> shards.Companion:
+    """For each shard of `copy`, the segments that matter there. `again`: later documents of the shard (or, if `within`,
+    later places) repeat it; `source`: its first document is here, and it is repeated somewhere; `edge`: its first
+    document is here, and other segments share its anchor (or, if `within`, its own windows may be equal), so its
+    windows must be compared one by one."""
     spark = copy.sparkSession
     size = copy.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(2 * store.partitions(spark), size // BUCKET_BYTES))
-    sent = copy.select("id", "text", "shard").mapInArrow(_sent(units, width, gram, buckets, within), "bucket int, shard int, base long, n int, blob binary")
-    met = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_met(within), "shard int, anchor long, key long, first_id long, again boolean, edge boolean")
+    sent = copy.select("id", "text", "shard").mapInArrow(_sent(units, width, gram, buckets, within), "bucket int, shard long, base long, n int, blob binary")
+    met = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_met(within), "shard long, anchor long, key long, first_id long, again boolean, edge boolean, source boolean")
     return shards.companions(met, "routes")
 
 
-def route_of(path: str, shard: int):
-    """(anchor, key, first_id, again, edge) arrays of a shard, in order of key; None if nothing matters there."""
+def route_of(routes: shards.Companion, shard: int):
+    """(anchor, key, first_id, again, edge, source) arrays of a shard, in order of key; None if nothing matters there."""
     import numpy as np
 
-    table = shards.companion(path, shard, ["anchor", "key", "first_id", "again", "edge"])
-    if table is None or not table.num_rows:
+    table = routes.rows(shard, COLUMNS[1:])
+    if table is None:
         return None
-    cols = [table.column(c).to_numpy() for c in ("anchor", "key", "first_id", "again", "edge")]
+    cols = [table.column(c).to_numpy() for c in COLUMNS[1:]]
     order = np.argsort(cols[1], kind="stable")
     return [c[order] for c in cols]
 

@@ -6,21 +6,26 @@ all windows would move the corpus several times over, so:
 1. Every window is represented by its least-hashed run of GRAM words, and consecutive windows with the same such anchor
    form a segment. Equal windows have equal anchors, so they lie in segments with the same anchor. Each task sends one
    row a distinct segment, which also keeps a passage that a third of all documents share from making a hot key.
-2. Where an anchor recurs, its segments are confirmed: a segment that occurs again is a recurring passage, and segments
-   that differ but share an anchor may still share windows. What concerns a shard of documents goes to that shard.
-3. Each shard compiles automata of its recurring passages, block by block so that their size is bounded, with one
-   character for each distinct word of a passage, and streams its documents through them, which gives every occurrence by its words.
-   An occurrence in a later document than the first, or later in the same one, is removed.
-4. First occurrences of such segments give their windows, hashed to 128 bits; a window that
-   starts earlier elsewhere is removed too. These are only the edges of repeated passages.
+2. Where an anchor recurs, its segments are confirmed: a segment that occurs again is a recurring passage. Its words are
+   read off its first document and go to the shards of documents that were found to hold it.
+3. Each shard compiles its passages, which come from documents anywhere in the corpus, into automata of bounded size,
+   one character for each distinct word, and streams all its documents through them. Patterns are the HEAD first words
+   of passages; every occurrence is confirmed by all its words. One in a later document than the first, or later in the
+   same one, is removed.
+4. Segments that differ but share an anchor may still share windows. Their first occurrences give their windows,
+   hashed to 128 bits; a window that starts earlier elsewhere is removed too. These are only the edges of repeated
+   passages. Two different windows with one hash would be taken for equal; among n of them that has a probability of
+   n**2 / 2**129, 1e-15 at 1e12.
 
 Defined results: null or empty texts have no words; rows with a null id are kept whole; rows that repeat an id are
-separate, and neither is earlier than the other; other columns are ignored; an empty table gives no rows.
+separate, and neither is earlier than the other; a very long text is handled alone, as arrays; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +35,10 @@ from millrace.llm import shards, store
 from millrace.llm import words as W
 
 GRAM = 6
-BLOCK = 3 << 20  #: bytes of text that one automaton serves
-LETTERS = 1_000_000  #: distinct words of one automaton; more passages make further automata
-OTHER = "\x01"  #: stands for every word that is in no passage
+BLOCK = 3 << 20  #: bytes of text that are streamed through an automaton at once
+HEAD = 8  #: words of a passage that its automaton looks for; the others are compared where they are found
+LETTERS = 1_000_000  #: words in the patterns of one automaton; more passages make further automata
+SPAN = "id long, tag long, shard long, start int, n int, w1 long, w2 long, anchor long, key long, body binary"
 
 
 def word_units(texts: list[bytes]):
@@ -40,140 +46,208 @@ def word_units(texts: list[bytes]):
     return h, bounds
 
 
-def located(docs_words, route, width: int):
-    """Occurrences of the recurring passages in a block of documents, by one automaton.
+def _opened(routes: shards.Companion, width: int):
+    """Rows of two kinds: the words of recurring passages, from their first documents (anchor, key, body), and the
+    windows of edge segments (id, tag, shard, start, n, w1, w2; without hashes where a window repeats in its segment's own
+    document, which is a range to remove)."""
 
-    docs_words: per document (hashes, words as bytes); route: (anchors, keys, first ids, again, edge) with keys sorted.
-    Yields per document (occurrences as (start word, words, first id), edge segments as (first window, windows))."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        names = [x.split()[0] for x in SPAN.split(", ")]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+        def windows(parts):
+            """parts: (id, tag, shard, starts, w1, w2), the last two null where the range is to go."""
+            n = [len(p[3]) for p in parts]
+            fixed = [np.repeat(np.array([p[k] for p in parts], dtype=np.int64), n) for k in range(3)]
+            starts = np.concatenate([np.asarray(p[3], dtype=np.int32) for p in parts])
+            none = np.repeat([p[4] is None for p in parts], n).astype(bool)
+            hashes = [np.concatenate([np.zeros(len(p[3]), np.int64) if p[k] is None else p[k] for p in parts]) for k in (4, 5)]
+            total = len(starts)
+            cols = [pa.array(x) for x in (*fixed, starts, np.full(total, width, np.int32))] + [pa.array(x, mask=none) for x in hashes] + [pa.nulls(total, k) for k in kinds[7:]]
+            return pa.RecordBatch.from_arrays(cols, names=names)
+
+        def passages(rows):
+            n = len(rows)
+            a, k, b = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, t) for t in kinds[:7]] + [pa.array(a, pa.int64()), pa.array(k, pa.int64()), pa.array(b, pa.binary())], names=names)
+
+        shard, route, told = None, None, set()
+        for batch in batches:
+            ids, tags, of = (batch.column(k).to_pylist() for k in (0, 2, 3))
+            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+            for s, e in W.slices(texts):
+                h, bounds, starts, ends, joined = W.scan(texts[s:e])
+                parts, found = [], []
+                for k in range(s, e):
+                    i = ids[k]
+                    if of[k] != shard:
+                        shard, route, told = of[k], A.route_of(routes, of[k]), set()
+                    if route is None or i is None:
+                        continue
+                    at0 = int(bounds[k - s])
+                    own = h[at0 : bounds[k - s + 1]]
+                    anchor, key, first, count = A.segments(own, width, GRAM)
+                    if not len(key):
+                        continue
+                    hit, at = A.looked_up(route, anchor, key)
+                    here = route[2][at] == i
+                    hit, at = hit[here], at[here]
+                    for x, r in zip(hit[route[5][at]].tolist(), at[route[5][at]].tolist()):
+                        if r not in told:
+                            told.add(r)
+                            a = at0 + int(first[x])
+                            z = a + int(count[x]) + width - 1
+                            found.append((int(route[0][r]), int(route[1][r]), b" ".join(joined[starts[a] : ends[z - 1]].split())))
+                    edges = hit[route[4][at]]
+                    if len(edges):
+                        n = count[edges]
+                        at = np.arange(int(n.sum())) + np.repeat(first[edges] - (np.cumsum(n) - n), n)
+                        w1 = W.grams(own, width)[at].view(np.int64)
+                        w2 = W.grams(W.mix(own ^ np.uint64(0x2545F4914F6CDD1D)), width)[at].view(np.int64)
+                        order = np.lexsort((at, w2, w1))
+                        again = np.zeros(len(at), bool)
+                        again[order[1:]] = (w1[order[1:]] == w1[order[:-1]]) & (w2[order[1:]] == w2[order[:-1]])
+                        if again.any():
+                            parts.append((i, tags[k], shard, at[again], None, None))
+                        parts.append((i, tags[k], shard, at[~again], w1[~again], w2[~again]))
+                if parts:
+                    yield windows(parts)
+                if found:
+                    yield passages(found)
+
+    return run
+
+
+def spelt(code, base: int) -> str:
+    """Words as text, given by their numbers, -1 for words in no passage. A number is three characters, each from a set of
+    its own, so that matches begin at words and a node of an automaton, which is searched in line, has few
+    branches; every other word is one character."""
+    import numpy as np
+
+    n = np.where(code < 0, 1, 3)
+    at = np.cumsum(n) - n
+    out = np.ones(int(n.sum()), "<u4")
+    known = code >= 0
+    k, at = code[known], at[known]
+    out[at] = 2 + k // (base * base)
+    out[at + 1] = 2 + base + k // base % base
+    out[at + 2] = 2 + 2 * base + k % base
+    return out.tobytes().decode("utf-32-le")
+
+
+def automata(passages: list[tuple[bytes, int]]):
+    """Automata over (words joined by spaces, first document id): (hashes of the words in order, base of their spelling,
+    automaton). A pattern is the HEAD first words of passages, or fewer of a shorter one; its value, by number of words,
+    has the passages that begin so, with their first document ids."""
     import ahocorasick
+    import numpy as np
 
-    r_first, r_again, r_edge = route[2:]
-    found: dict[tuple, int] = {}
-    edges, hits = [], []
-    for h, own in docs_words:
-        anchor, key, first, count = A.segments(h, width, GRAM)
-        hit, at = A.looked_up(route, anchor, key)
-        for i, r in zip(hit.tolist(), at.tolist()):
-            a, n, first_id = int(first[i]), int(count[i]), int(r_first[r])
-            if r_again[r]:
-                found[tuple(own[a : a + n + width - 1])] = first_id
-        edges.append([(int(first[i]), int(count[i]), int(r_first[r])) for i, r in zip(hit.tolist(), at.tolist()) if r_edge[r]])
-        hits.append([])
-    passages = list(found.items())
-    while passages:
-        letter: dict[bytes, str] = {}
+    at = 0
+    while at < len(passages):
+        some, n = [], 0
+        while at < len(passages) and (not some or n < LETTERS):
+            some.append(passages[at])
+            n += min(HEAD, passages[at][0].count(b" ") + 1)
+            at += 1
+        heads = [b" ".join(p.split(b" ", HEAD)[:HEAD]) for p, _ in some]
+        h, bounds, *_ = W.scan(heads)
+        words, code = np.unique(h, return_inverse=True)
+        base = max(2, math.ceil(len(words) ** (1 / 3)))
+        text, at3 = spelt(code, base), 3 * bounds
+        patterns: dict[str, dict[int, dict[bytes, int]]] = {}
+        for (p, first_id), a, b in zip(some, at3[:-1].tolist(), at3[1:].tolist()):
+            own = patterns.setdefault(text[a:b], {}).setdefault(p.count(b" ") + 1, {})
+            own[p] = min(first_id, own.get(p, first_id))
         automaton = ahocorasick.Automaton()
-        done = 0
-        for words, first_id in passages:
-            if len(letter) + len(words) > LETTERS and done:
-                break
-            for w in words:
-                if w not in letter:
-                    n = len(letter) + 2
-                    letter[w] = chr(n if n < 0xD800 else n + 0x800)
-            automaton.add_word("".join([letter[w] for w in words]), (len(words), first_id))
-            done += 1
-        passages = passages[done:]
+        for pattern, value in patterns.items():
+            automaton.add_word(pattern, (len(pattern) // 3, value))
         automaton.make_automaton()
-        get = letter.get
-        for (_, own), mine in zip(docs_words, hits):
-            mine += [(end - n + 1, n, first_id) for end, (n, first_id) in automaton.iter("".join([get(w, OTHER) for w in own]))]
-    yield from zip(hits, edges)
+        yield words, base, automaton
 
 
-def _covered(path: str, width: int):
-    """(id, tag, shard, start, n, w1, w2): word ranges to remove (w1 null), and windows of edge segments."""
+def occurrences(passages: list[tuple[bytes, int]], texts: list[bytes]) -> list[list[tuple[int, int, int, bytes]]]:
+    """For each text, every (first word, words, first document id, passage) at which a passage occurs in it. Where an
+    automaton meets the head of passages, the words there are looked up among them."""
+    import numpy as np
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        def batch_of(parts):
-            """parts: (id, tag, shard, starts, lengths, w1, w2), the last two null where the range is to go."""
-            n = [len(p[3]) for p in parts]
-            fixed = [np.repeat(np.array([p[k] for p in parts], dtype=t), n) for k, t in ((0, np.int64), (1, np.int64), (2, np.int32))]
-            starts, lengths = (np.concatenate([np.asarray(p[k], dtype=np.int32) for p in parts] or [np.zeros(0, np.int32)]) for k in (3, 4))
-            none = np.repeat([p[5] is None for p in parts], n).astype(bool)
-            hashes = [np.concatenate([np.zeros(len(p[3]), np.int64) if p[k] is None else p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in (5, 6)]
-            cols = [pa.array(x) for x in (*fixed, starts, lengths)] + [pa.array(x, mask=none) for x in hashes]
-            return pa.RecordBatch.from_arrays(cols, names=["id", "tag", "shard", "start", "n", "w1", "w2"])
-
-        def block(rows):
-            h, bounds, starts, ends, joined = W.scan([r[1] for r in rows])
-            spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
-            docs = [(h[a:b], [joined[s:e] for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist())]) for a, b in spans]
-            for (i, _, tag, shard), (own, _), (hits, edges) in zip(rows, docs, located(docs, route, width)):
-                seen, runs = set(), []
-                for start, n, first_id in hits:
-                    if i < first_id:  # here it is part of a longer segment, whose windows are compared below
-                        continue
-                    if i == first_id:
-                        name = own[start : start + n].tobytes()
-                        if name not in seen:
-                            seen.add(name)
+    out: list[list] = [[] for _ in texts]
+    groups, first, size = [], 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > BLOCK:
+            groups.append((first, i))
+            first, size = i, 0
+        size += len(t)
+    groups.append((first, len(texts)))
+    scanned: dict = {}
+    for words, base, automaton in automata(passages):
+        low = np.zeros(1 << 16, bool)  # most words are in no passage; their hashes' high bits tell most of them
+        low[(words >> np.uint64(48)).astype(np.int64)] = True
+        for a, b in groups:
+            if a not in scanned:
+                if len(scanned) == 4:
+                    scanned.clear()
+                h, bounds, starts, ends, joined = W.scan(texts[a:b])
+                scanned[a] = h, bounds.tolist(), starts.tolist(), ends.tolist(), joined
+            h, bounds, starts, ends, joined = scanned[a]
+            maybe = np.flatnonzero(low[(h >> np.uint64(48)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(words, h[maybe]), len(words) - 1)
+            code = np.full(len(h), -1)
+            code[maybe] = np.where(words[at] == h[maybe], at, -1)
+            text = spelt(code, base)
+            size = np.where(code < 0, 1, 3)
+            word_of = np.repeat(np.arange(len(h)), size)
+            chars = np.concatenate([[0], np.cumsum(size)])[bounds].tolist()
+            for k, (s, e) in enumerate(zip(bounds[:-1], bounds[1:])):
+                if s == e:
+                    continue
+                mine = out[a + k]
+                for end, (head, sizes) in automaton.iter(text, chars[k], chars[k + 1]):
+                    at = int(word_of[end]) - head + 1
+                    for n, known in sizes.items():
+                        if at + n > e:
                             continue
-                    runs.append((start, start + n))
-                if runs:
-                    at = np.array(sorted(runs))
-                    high = np.maximum.accumulate(at[:, 1])
-                    new = np.flatnonzero(np.concatenate([[True], at[1:, 0] > high[:-1]]))
-                    yield i, tag, shard, at[new, 0], high[np.concatenate([new[1:], [len(at)]]) - 1] - at[new, 0], None, None
-                edges = [np.arange(s, s + n) for s, n, first_id in edges if first_id == i]
-                if edges:
-                    at = np.concatenate(edges)
-                    w1 = W.grams(own, width)[at].view(np.int64)
-                    w2 = W.grams(W.mix(own ^ np.uint64(0x2545F4914F6CDD1D)), width)[at].view(np.int64)
-                    order = np.lexsort((at, w2, w1))
-                    again = np.zeros(len(at), bool)
-                    again[order[1:]] = (w1[order[1:]] == w1[order[:-1]]) & (w2[order[1:]] == w2[order[:-1]])
-                    if again.any():
-                        yield i, tag, shard, at[again], np.full(int(again.sum()), width), None, None
-                    yield i, tag, shard, at[~again], np.full(int((~again).sum()), width), w1[~again], w2[~again]
-
-        def blocks():
-            rows, size = [], 0
-            for batch in batches:
-                for i, text, tag, s in zip(*[c.to_pylist() for c in batch.columns]):
-                    if rows and (s != rows[0][3] or size >= BLOCK):
-                        yield rows
-                        rows, size = [], 0
-                    if i is not None and text:
-                        data = text.encode("utf-8", "surrogatepass")
-                        rows.append((i, data, tag, s))
-                        size += len(data)
-            if rows:
-                yield rows
-
-        shard, route = None, None
-        for rows in blocks():
-            if rows[0][3] != shard:
-                shard = rows[0][3]
-                route = A.route_of(path, shard)
-            if route is not None and (parts := list(block(rows))):
-                yield batch_of(parts)
+                        body = joined[starts[at] : ends[at + n - 1]]
+                        first_id = known.get(body)
+                        if first_id is None:  # white space other than single spaces
+                            body = b" ".join(body.split())
+                            first_id = known.get(body)
+                        if first_id is not None:
+                            mine.append((at - s, n, first_id, body))
+    return out
 
-    return run
 
+def removals(doc_id: int, found: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int]]:
+    """The (first word, words) ranges that go from a document, given the occurrences of passages in it."""
+    seen, out = set(), []
+    for start, n, first_id, body in sorted(found, key=lambda x: x[0]):
+        if doc_id < first_id:  # here it is part of a longer segment, whose windows are compared
+            continue
+        if doc_id == first_id and body not in seen:
+            seen.add(body)
+            continue
+        out.append((start, n))
+    return out
 
-def _removed(path: str, with_text: bool):
+
+def _removed(passages: shards.Companion, covers: shards.Companion, with_text: bool):
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        shard, spans = None, {}
         names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.string()] * with_text
-        for batch in batches:
-            out = [[] for _ in names]
-            for i, text, tag, s in zip(*[c.to_pylist() for c in batch.columns[:4]]):
-                if s != shard:
-                    shard, spans = s, {}
-                    table = shards.companion(path, s, ["id", "tag", "start", "n"])
-                    if table is not None:
-                        for a, b, c, d in zip(*[table.column(k).to_pylist() for k in ("id", "tag", "start", "n")]):
-                            spans.setdefault((a, b), []).append((c, d))
-                own = text.encode("utf-8", "surrogatepass").split()
-                n, gone = len(own), spans.get((i, tag))
+
+        def stretch(shard, rows, spans, known):
+            """The results of some rows of a shard."""
+            texts = [r[1].encode("utf-8", "surrogatepass") for r in rows]
+            found = occurrences(known, [t if r[0] is not None else b"" for r, t in zip(rows, texts)]) if known else [()] * len(rows)
+            out = []
+            for (i, text, tag), data, hits in zip(rows, texts, found):
+                own = data.split()
+                n, gone = len(own), removals(i, hits) + list(spans.get((i, tag), ()))
                 if gone:
                     drop = np.zeros(n + 1, dtype=np.int32)
                     for c, d in gone:
@@ -181,10 +255,29 @@ def _removed(path: str, with_text: bool):
                         drop[c + d] -= 1
                     own = [w for w, k in zip(own, (np.cumsum(drop[:-1]) == 0).tolist()) if k]
                 kept = b" ".join(own)
-                row = (i, n, n - len(own), hashlib.sha256(kept).hexdigest()) + ((kept.decode("utf-8", "surrogatepass") if gone else text,) if with_text else ())
-                for c, v in zip(out, row):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, kinds)] + batch.columns[4:], names=names + [f"x_{k}" for k in range(len(batch.columns) - 4)])
+                out.append((i, n, n - len(own), hashlib.sha256(kept).hexdigest()) + ((kept.decode("utf-8", "surrogatepass") if gone else text,) if with_text else ()))
+            return out
+
+        shard, spans, known = None, {}, []
+        for batch in batches:
+            ids, texts, tags, of = (c.to_pylist() for c in batch.columns[:4])
+            out, at = [], 0
+            while at < len(ids):
+                end = at
+                while end < len(ids) and of[end] == of[at]:
+                    end += 1
+                if of[at] != shard:
+                    shard, spans = of[at], {}
+                    table = covers.rows(shard, ["id", "tag", "start", "n"])
+                    if table is not None:
+                        for a, b, c, d in zip(*[table.column(k).to_pylist() for k in ("id", "tag", "start", "n")]):
+                            spans.setdefault((a, b), []).append((c, d))
+                    table = passages.rows(shard, ["body", "first_id"])
+                    known = [] if table is None else list(dict.fromkeys(zip(*[table.column(k).to_pylist() for k in ("body", "first_id")])))
+                out += stretch(shard, list(zip(ids[at:end], texts[at:end], tags[at:end])), spans, known)
+                at = end
+            cols = list(zip(*out)) if out else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds)] + batch.columns[4:], names=names + [f"x_{k}" for k in range(len(batch.columns) - 4)])
 
     return run
 
@@ -193,15 +286,20 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_words, n_removed and kept_sha256, of the words left, joined by single spaces. With `with_text` also
     kept_text: that string, or the text as it was where nothing goes. `extra` columns are passed through."""
     spark = docs.sparkSession
-    store.arrow_rows(spark, 512)
+    store.arrow_rows(spark, 2048)
     copy = shards.sharded(docs, id_col, text_col, extra)
     routes = A.routes(copy, word_units, width, GRAM, True)
-    found = store.written(copy.select("id", "text", "tag", "shard").mapInArrow(_covered(routes, width), "id long, tag long, shard int, start int, n int, w1 long, w2 long"), "covers")
+    found = store.written(copy.select("id", "text", "tag", "shard").mapInArrow(_opened(routes, width), SPAN), "spans")
+    sources = found.where("body is not null").select("anchor", "key", "body")
+    wanted = routes.frame(spark).where("again").select("shard", "anchor", "key", "first_id")
+    passages = shards.companions(wanted.join(sources.hint("merge"), ["anchor", "key"]).select("shard", "body", "first_id"), "passages")
     windows = found.where("w1 is not null")
     earliest = windows.groupBy("w1", "w2").agg(F.min("id").alias("first_id"), F.max("id").alias("_last")).where("first_id < _last")
     later = windows.join(earliest, ["w1", "w2"]).where("id > first_id").select("id", "tag", "shard", "start", "n")
-    covers = shards.companions(found.where("w1 is null").select("id", "tag", "shard", "start", "n").unionByName(later), "removals")
+    covers = shards.companions(found.where("w1 is null and body is null").select("id", "tag", "shard", "start", "n").unionByName(later), "removals")
+    store.remove(spark, routes.path)
+    store.dropped(found)
     passed = [f"x_{k}" for k in range(len(extra))]
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text + "".join(f", {p} {copy.schema[p].dataType.simpleString()}" for p in passed)
-    out = copy.select("id", "text", "tag", "shard", *passed).mapInArrow(_removed(covers, with_text), schema)
+    out = copy.select("id", "text", "tag", "shard", *passed).mapInArrow(_removed(passages, covers, with_text), schema)
     return out.withColumnsRenamed(dict(zip(passed, extra)))

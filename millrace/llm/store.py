@@ -10,11 +10,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
-_MADE: dict[str, list[str]] = {}
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,15 +36,27 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if (paths := _SCOPE.get()) is not None:
+        paths.append(path)
     return path
 
 
-def sweep(spark: SparkSession) -> None:
-    """Removes all that operators have put into the shared folder for this application so far. Only for a caller whose
-    earlier results have been written elsewhere: lazy results still read their intermediate tables."""
-    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+@contextmanager
+def scope():
+    """The list of the paths that operators called inside make. Their lazy results read what is left there, so a caller
+    passes the list to `clear` once those results are written elsewhere; nothing else is ever removed by that."""
+    paths: list[str] = []
+    token = _SCOPE.set(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPE.reset(token)
+
+
+def clear(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
         remove(spark, path)
+    paths.clear()
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

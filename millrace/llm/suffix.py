@@ -4,12 +4,16 @@ A byte goes if a string of `width` bytes over it also starts in a document with
 of equal anchors tell where the corpus recurs: a segment that an earlier document has is repeated as a whole, and only
 segments that differ but share an anchor, which are the edges of repeated passages, need their strings compared. Their
 bytes, of their first documents alone, meet by anchor in shards. Each shard is sorted into a suffix array: suffixes are
-classed as S or L, the leftmost S substrings are sorted and named, the shorter string of names is sorted in turn, and
-everything else is induced from it, bucket by bucket. Permuted common prefixes then give the runs of suffixes that
-share `width` bytes, and the smallest id in each run.
+classed as S or L, the leftmost S substrings are sorted and named, the shorter string of names is sorted in the same way
+in turn, and everything else is induced from it: bucket by bucket where the alphabet is small, all buckets at once where
+it is large. Permuted common prefixes then give the runs of suffixes that share `width` bytes, and the smallest id
+in each run. Runs of one character take no more rounds than other text.
+
+Whole segments are told to be equal by 104 bits of hashes; among n distinct ones two would be mistaken with a
+probability of n**2 / 2**105, 2e-8 at 1e12. Edges are compared byte by byte.
 
 Defined results: a null or empty text is no bytes; rows with a null id are kept whole; rows that repeat an id do not
-remove each other's bytes; matches never cross documents; other columns are ignored; an empty table gives no rows.
+remove each other's bytes; matches never cross documents; a very long text is handled alone, as arrays; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +28,11 @@ from millrace.llm import shards, store
 from millrace.llm import words as W
 
 GRAM = 20  #: bytes of an anchor; shorter ones recur by chance in ordinary text, which makes edges of nothing
-SHARD = 256 << 10  #: bytes that one suffix array takes at least; all segments of an anchor go to the same one
-SMALL = 2048  #: alphabets up to this size are sorted by induction; larger ones, deeper down, by doubling ranks
+SHARD = 1 << 20  #: bytes that one suffix array takes at least; all segments of an anchor go to the same one
+HOT = 2 << 20  #: bytes of edge segments with one anchor that are dealt on by longer anchors
+LONGER = 36  #: bytes of those
+TASK = 64 << 20  #: bytes of edge segments in one task, about
+FEW = 512  #: alphabets up to this size are induced bucket by bucket, larger ones, of names, all buckets at once
 
 
 def _types(s):
@@ -42,15 +49,33 @@ def _types(s):
     return out
 
 
+def _run(cur, reach):
+    """What a bucket puts into itself, in order: from each of `cur` the places before it while the character stays the
+    same, `reach` of them; the nearest ones of all first."""
+    import numpy as np
+
+    if not reach.any():
+        return cur
+    n = reach + 1
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return (np.repeat(cur, n) - step)[np.argsort(step, kind="stable")]
+
+
 def _induce(s, is_s, lms, k: int):
     """The suffix array that the leftmost S suffixes, given in order, induce. One step handles a whole bucket: what it
-    puts into the same bucket is handled next, and all else is dealt stably to its buckets."""
+    puts into the same bucket, which are the runs of its character, is handled at once, and all else is dealt stably
+    to its buckets."""
     import numpy as np
 
+    n = len(s)
+    small = s.astype(np.uint16, copy=False) if k < 1 << 16 else s  # sorted by radix
+    change = np.concatenate([[True], s[1:] != s[:-1]])
+    reach = np.arange(n) - np.maximum.accumulate(np.where(change, np.arange(n), 0))  # equal characters before each place
+
     def deal(prev, pending):
         if not len(prev):
             return
-        chars = s[prev]
+        chars = small[prev]
         order = np.argsort(chars, kind="stable")
         prev, chars = prev[order], chars[order]
         cuts = np.flatnonzero(np.concatenate([[True], chars[1:] != chars[:-1]]))
@@ -63,62 +88,84 @@ def _induce(s, is_s, lms, k: int):
     pending = [[] for _ in range(k)]
     large = [none] * k
     for c in range(k):
-        done, cur = [], np.concatenate(pending[c]) if pending[c] else none
-        away = []
-        while len(cur):
-            done.append(cur)
-            prev = cur[cur > 0] - 1
-            prev = prev[~is_s[prev]]
-            same = s[prev] == c
-            away.append(prev[~same])
-            cur = prev[same]
-        own = np.concatenate(seeds[c]) if seeds[c] else none
+        done = none
+        if pending[c]:
+            cur = np.concatenate(pending[c])
+            done = _run(cur, reach[cur])
+        large[c] = done
+        own = np.concatenate([done, *seeds[c]])
         prev = own[own > 0] - 1
-        away.append(prev[~is_s[prev]])
-        deal(np.concatenate(away), pending)
-        large[c] = np.concatenate(done) if done else none
+        deal(prev[~is_s[prev] & (s[prev] != c)], pending)
     pending = [[] for _ in range(k)]
     out = [none] * k
     for c in range(k - 1, -1, -1):
-        done, cur = [], np.concatenate(pending[c]) if pending[c] else none
-        away = []
-        while len(cur):
-            done.append(cur)
-            prev = cur[cur > 0] - 1
-            prev = prev[is_s[prev]]
-            same = s[prev] == c
-            away.append(prev[~same])
-            cur = prev[same]
-        down = large[c][::-1]
-        prev = down[down > 0] - 1
-        away.append(prev[is_s[prev]])
-        deal(np.concatenate(away), pending)
-        small = np.concatenate(done)[::-1] if done else none
-        out[c] = np.concatenate([large[c], small])
-    out[0] = np.array([len(s) - 1])
+        done = none
+        if pending[c]:
+            cur = np.concatenate(pending[c])
+            done = _run(cur, reach[cur])
+        own = np.concatenate([done, large[c][::-1]])
+        prev = own[own > 0] - 1
+        deal(prev[is_s[prev] & (s[prev] != c)], pending)
+        out[c] = np.concatenate([large[c], done[::-1]])
+    out[0] = np.array([n - 1])
     return np.concatenate(out)
 
 
-def _doubled(s):
-    """The suffix array of a short string over a large alphabet, by doubling the length that ranks stand for."""
+def _induce_names(s, is_s, lms, k: int):
+    """As `_induce`, for large alphabets: all buckets at once. A suffix is placed by its first character, the length of
+    that character's run and the place of what follows the run; that of a leftmost S suffix is given. Places of
+    followers are refined until none changes, each time only where some are still equal, so there are as many rounds
+    as a falling or rising stretch has distinct characters."""
     import numpy as np
 
     n = len(s)
-    rank, step = s.astype(np.int64), 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - step)] = rank[step:] + 1
-        key = rank * (int(rank.max()) + 2 if n else 1) + second if int(rank.max(initial=0)) < 1 << 30 else None
-        if key is None:
-            _, rank = np.unique(rank, return_inverse=True)
-            continue
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
-        step *= 2
+    place = np.arange(n)
+    last = np.concatenate([s[1:] != s[:-1], [True]])
+    end = np.minimum.accumulate(np.where(last, place, n)[::-1])[::-1] + 1  # one past the run of each place
+    run = end - place
+
+    def induced(members, seeds, least_first: bool):
+        """`members` in the order that the ordered `seeds`, each before or after all members of its bucket, induce."""
+        both = np.concatenate([members, seeds])
+        m, total = len(members), len(members) + len(seeds)
+        own = run[both] if least_first else n - run[both]
+        own[m:] = np.arange(len(seeds)) + (n + 1 if least_first else -len(seeds))
+        key = s[both].astype(np.int64) * (2 * n + 2 * total + 2) + own
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        place_of = np.flatnonzero(new)[np.cumsum(new) - 1]
+        at = np.empty(total, np.int64)
+        at[order] = place_of
+        where = np.zeros(n + 1, np.int64)
+        where[both] = at
+        one = new & np.concatenate([new[1:], [True]])
+        tied = order[~one]
+        group = place_of[~one]
+        while len(tied):
+            key = group * (total + 1) + where[end[both[tied]]]
+            sub = np.argsort(key)
+            tied, key, group = tied[sub], key[sub], group[sub]
+            head = np.concatenate([[True], group[1:] != group[:-1]])
+            fresh = np.concatenate([[True], key[1:] != key[:-1]])
+            at = np.arange(len(tied))
+            start = np.maximum.accumulate(np.where(head, at, 0))
+            order[group + at - start] = tied
+            moved = group + np.maximum.accumulate(np.where(fresh, at, 0)) - start
+            if (moved == group).all():
+                break
+            where[both[tied]] = moved
+            open_ = ~(fresh & np.concatenate([fresh[1:], [True]]))
+            tied, group = tied[open_], moved[open_]
+        return both[order]
+
+    by_char = lms[np.argsort(s[lms], kind="stable")]
+    place_l = np.flatnonzero(~is_s)
+    large = induced(place_l, by_char, True)
+    large = large[~is_s[large]]
+    inner = np.flatnonzero(is_s[:-1])
+    small = induced(inner, np.concatenate([[n - 1], large]), False)
+    return small
 
 
 def suffix_array(s, k: int):
@@ -130,9 +177,10 @@ def suffix_array(s, k: int):
         return np.zeros(1, np.int64)
     is_s = _types(s)
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    induce = _induce if k <= FEW else _induce_names
     if len(lms) <= 1:
-        return _induce(s, is_s, lms, k)
-    first = _induce(s, is_s, lms, k)
+        return induce(s, is_s, lms, k)
+    first = induce(s, is_s, lms, k)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     ordered = first[is_lms[first]]
@@ -141,31 +189,74 @@ def suffix_array(s, k: int):
     a, b = ordered[:-1], ordered[1:]
     la, lb = end[a] - a, end[b] - b
     equal = la == lb
-    live, j = np.flatnonzero(equal), 0
-    while len(live):
-        bad = s[a[live] + j] != s[b[live] + j]
-        equal[live[bad]] = False
-        j += 1
-        live = live[~bad]
-        live = live[la[live] > j]
+    live = np.flatnonzero(equal)
+    same = shared(s, a[live], b[live], la[live])
+    equal[live] = same >= la[live]
     name = np.empty(n, np.int64)
     name[ordered] = np.concatenate([[0], np.cumsum(~equal)])
     reduced = name[lms]
     top = int(reduced.max()) + 1
     if top == len(lms):
         order = np.argsort(reduced, kind="stable")
-    elif top <= SMALL:
-        order = suffix_array(reduced, top)
     else:
-        order = _doubled(reduced)
-    return _induce(s, is_s, lms[order], k)
+        order = suffix_array(reduced, top)
+    return induce(s, is_s, lms[order], k)
+
+
+def shared(s, a, b, most):
+    """How many characters s has in common from each place of a and of b on, up to `most` of them: all pairs at once,
+    one character at a time, and where more than 64 are shared, pair by pair on growing stretches of bytes."""
+    import numpy as np
+
+    out = np.zeros(len(a), np.int64)
+    live, j = np.flatnonzero(most > 0), 0
+    if len(s) and int(s.max()) < 1 << 15:  # four characters in one
+        four = np.concatenate([s, np.zeros(3, s.dtype)]).astype(np.int64)
+        four = four[:-1] << 15 | four[1:]
+        four = four[:-2] << 30 | four[2:]
+        x, y, left = a[live], b[live], most[live]
+        while len(live) and j < 64:
+            on = (left >= j + 4) & (four[x + j] == four[y + j])
+            off = live[~on]
+            if len(off):
+                tail, i = off, j
+                while len(tail):
+                    tail = tail[most[tail] > i]
+                    tail = tail[s[a[tail] + i] == s[b[tail] + i]]
+                    i += 1
+                    out[tail] = i
+            j += 4
+            live, x, y, left = live[on], x[on], y[on], left[on]
+            out[live] = j
+        live = live[most[live] > j]
+    while len(live) and j < 64:
+        live = live[s[a[live] + j] == s[b[live] + j]]
+        j += 1
+        out[live] = j
+        live = live[most[live] > j]
+    if len(live):
+        width = s.dtype.itemsize
+        data = memoryview(np.ascontiguousarray(s)).cast("B")
+        for i, x, y, m in zip(live.tolist(), a[live].tolist(), b[live].tolist(), most[live].tolist()):
+            j, step = 64, 256
+            while j < m:
+                e = min(m, j + step)
+                if data[(x + j) * width : (x + e) * width] == data[(y + j) * width : (y + e) * width]:
+                    j, step = e, step * 2
+                elif e - j == 1:
+                    break
+                else:
+                    step = (e - j) // 2
+                    m = e
+            out[i] = j
+    return out
 
 
 def permuted_lcp(s, sa):
     """PLCP[i]: how many characters suffix i shares with the one before it in the array.
 
     Where the two are preceded by the same character the value is its left neighbour's less one; only the others are
-    compared, all at once, one character at a time."""
+    compared."""
     import numpy as np
 
     n = len(s)
@@ -177,13 +268,7 @@ def permuted_lcp(s, sa):
     known[1:] &= before[:-1] >= 0
     plcp = np.zeros(n, np.int64)
     live = np.flatnonzero(~known & (before >= 0))
-    j = 0
-    while len(live):
-        far = np.maximum(live, before[live]) + j
-        live = live[far < n]
-        live = live[s[live + j] == s[before[live] + j]]
-        plcp[live] += 1
-        j += 1
+    plcp[live] = shared(s, live, before[live], n - np.maximum(live, before[live]))
     base = np.where(known, -1, plcp + i)  # along a run of known places PLCP[i] + i stays what it was
     return np.maximum(np.maximum.accumulate(base) - i, 0) if n else plcp
 
@@ -203,8 +288,8 @@ def repeated_strings(parts: list[tuple[int, bytes]], width: int):
     joined = b"".join(p + b"\x00" for _, p in parts)
     lens = np.array([len(p) for _, p in parts])
     start = np.concatenate([[0], np.cumsum(lens + 1)])
-    s = np.zeros(len(joined) + 1, np.int64)
-    s[:-1] = np.frombuffer(joined, dtype=np.uint8).astype(np.int64) + 2
+    s = np.zeros(len(joined) + 1, np.uint16)
+    s[:-1] = np.frombuffer(joined, dtype=np.uint8).astype(np.uint16) + np.uint16(2)
     s[start[1:] - 1] = 1  # behind each part
     sa = suffix_array(s, 258)
     plcp = permuted_lcp(s, sa)
@@ -222,10 +307,10 @@ def repeated_strings(parts: list[tuple[int, bytes]], width: int):
     return [hit[start[k] : start[k + 1] - 1] for k in range(len(parts))]
 
 
-_SPAN = "id long, tag long, shard int, start long, n long, anchor long, body binary"
+_SPAN = "id long, tag long, shard long, start long, n long, anchor long, body binary"
 
 
-def _covered(path: str, width: int):
+def _covered(routes: shards.Companion, width: int):
     """Byte ranges that earlier documents have as whole segments, and the bytes of edge segments (with their anchors)."""
 
     def run(batches):
@@ -233,13 +318,13 @@ def _covered(path: str, width: int):
         import pyarrow as pa
 
         shard, route = None, None
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         names = [x.split()[0] for x in _SPAN.split(", ")]
         for batch in batches:
             out: list = [[] for _ in names]
             for i, text, tag, s in zip(*[c.to_pylist() for c in batch.columns]):
                 if s != shard:
-                    shard, route = s, A.route_of(path, s)
+                    shard, route = s, A.route_of(routes, s)
                 if route is None or i is None or not text:
                     continue
                 data = text.encode("utf-8", "surrogatepass")
@@ -285,7 +370,7 @@ def _compared(width: int):
                 for x, y in zip(at[new].tolist(), at[np.concatenate([new[1:], [len(at)]]) - 1].tolist()):
                     for c, v in zip(out, (r[0], r[1], r[2], r[3] + x, y - x + width)):
                         c.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=names)
 
         rows, size = [], 0
         for batch in batches:
@@ -301,7 +386,72 @@ def _compared(width: int):
     return run
 
 
-def _removed(path: str, with_text: bool):
+def _longer(width: int, gram: int):
+    """Edge segments cut further: runs of windows whose least-hashed run of `gram` bytes is the same, too."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            out: list = [[] for _ in batch.columns]
+            for i, tag, shard, start, n, anchor, body in zip(*[c.to_pylist() for c in batch.columns]):
+                h, _ = byte_units([body])
+                m, step, span = W.grams(h, gram), 1, width - gram + 1
+                while 2 * step <= span:
+                    m = np.minimum(m[: len(m) - step], m[step:])
+                    step *= 2
+                windows = n - width + 1
+                m = np.minimum(m[:windows], m[span - step : span - step + windows])
+                first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+                size = np.diff(np.concatenate([first, [windows]])) + width - 1
+                both = W.mix(m[first] ^ np.uint64(anchor & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
+                for x, k, a in zip(first.tolist(), size.tolist(), both.tolist()):
+                    for c, v in zip(out, (i, tag, shard, start + x, k, a, body[x : x + k])):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, batch.schema)], names=batch.schema.names)
+
+    return run
+
+
+def _compared_edges(edges: DataFrame, width: int) -> DataFrame:
+    """(id, tag, shard, start, n) of what earlier documents' edge segments have too.
+
+    An anchor with more than HOT bytes of segments would make one task too large: its segments are cut by longer
+    anchors, and what is still too much then into single windows, whose bytes are compared by a partial aggregate
+    and a join. So the largest suffix array takes HOT + SHARD bytes, whatever the corpus."""
+    spark, out = edges.sparkSession, []
+    spans = ["id", "tag", "shard", "start", "n"]
+    for gram in (LONGER, width):
+        hot = store.written(edges.groupBy("anchor").agg(F.sum("n").alias("_b")).where(F.col("_b") > HOT).select("anchor"), "hot")
+        if hot.isEmpty():
+            break
+        out.append(edges.join(hot, "anchor", "left_anti"))
+        cut = edges.join(hot, "anchor", "left_semi").select(*spans, "anchor", "body")
+        edges = store.written(cut.mapInArrow(_longer(width, gram), _SPAN), "edges")
+    else:
+        # runs of equal windows, such as a run of one byte, share a row; all their windows are the same
+        unit = F.substring("body", 1, width).alias("unit")
+        windows = edges.select("id", "tag", "shard", "start", "n", unit)
+        earliest = windows.groupBy("unit").agg(F.min("id").alias("first_id"), F.max("id").alias("_last")).where("first_id < _last")
+        later = windows.join(earliest, "unit").where("id > first_id").select(*spans)
+        edges = None
+    arrays = out + ([edges] if edges is not None else [])
+    found = []
+    for e in arrays:
+        e = e.select(*spans, "anchor", "body")
+        size = e.agg(F.sum("n")).first()[0] or 0
+        dealt = e.repartition(max(store.partitions(spark), int(size // TASK)), "anchor").sortWithinPartitions("anchor", "id", "start")
+        found.append(dealt.mapInArrow(_compared(width), "id long, tag long, shard long, start long, n long"))
+    if edges is None:
+        found.append(later)
+    union = found[0]
+    for f in found[1:]:
+        union = union.unionByName(f)
+    return union
+
+
+def _removed(covers: shards.Companion, with_text: bool):
     def run(batches):
         import pyarrow as pa
 
@@ -313,7 +463,7 @@ def _removed(path: str, with_text: bool):
             for i, text, tag, s in zip(*[c.to_pylist() for c in batch.columns]):
                 if s != shard:
                     shard, spans = s, {}
-                    table = shards.companion(path, s, ["id", "tag", "start", "n"])
+                    table = covers.rows(s, ["id", "tag", "start", "n"])
                     if table is not None:
                         for a, b, c, d in zip(*[table.column(k).to_pylist() for k in ("id", "tag", "start", "n")]):
                             spans.setdefault((a, b), []).append((c, c + d))
@@ -343,8 +493,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copy = shards.sharded(docs, id_col, text_col)
     routes = A.routes(copy, byte_units, width, GRAM, False)
     found = store.written(copy.select("id", "text", "tag", "shard").mapInArrow(_covered(routes, width), _SPAN), "spans")
-    edges = found.where("anchor is not null").repartition(store.partitions(spark), "anchor").sortWithinPartitions("anchor", "id", "start")
-    compared = edges.mapInArrow(_compared(width), "id long, tag long, shard int, start long, n long")
+    compared = _compared_edges(found.where("anchor is not null"), width)
     covers = shards.companions(found.where("anchor is null").select("id", "tag", "shard", "start", "n").unionByName(compared), "removals")
+    store.remove(spark, routes.path)
+    store.dropped(found)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return copy.select("id", "text", "tag", "shard").mapInArrow(_removed(covers, with_text), schema)
