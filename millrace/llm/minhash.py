@@ -8,9 +8,14 @@ time n + K log K instead of n K.
 Steps, none of which puts a group into one task or lists all pairs of one:
 1. documents with equal sets are one node (a partial aggregate over 128-bit set digests);
 2. bands of R coordinates give buckets; each member is compared, on full sets, with its bucket's smallest member;
-3. confirmed links are joined into components; buckets that still span components compare, in blocks, only members of
-   different components, first by sketch estimate and then, if they come near, on full sets.
-A pair at the threshold meets in no bucket with probability (1 - t**R)**B, 5e-6 for the defaults at 0.75.
+3. members of buckets that are larger than HOT, such as those of pages with one template, get longer keys, of LONG
+   coordinates, whose buckets step 2 handles in turn; few unlike documents share one;
+4. confirmed links are joined into components; buckets that still span components compare, in blocks, only members of
+   different components, first by sketch estimate and then, if they come near, on full sets. A member of a bucket of
+   HOT is copied to HOT / BLOCK blocks at most.
+A pair at the threshold meets in no bucket with probability (1 - t**R)**B, 5e-6 for the defaults at 0.75, and under no
+longer key with 4e-6. Sets are those of 64-bit hashes of shingles: of two different sets, one in about 2**64 / n
+would count a shingle as shared that is not.
 
 Defined results: texts without words are in no group (component_id is the own id); a text of fewer words than a
 shingle is one shingle; rows that repeat an id are one node, linked if any of its rows is; rows with a null id keep
@@ -31,6 +36,8 @@ from millrace.llm.components import components
 R, B = 4, 32
 K = 512  #: coordinates; the first R * B make the bands, all of them, cut to 8 bits, the estimates
 BLOCK = 256  #: members of a bucket that are compared with one another, or with another block, in one step
+HOT = 4096  #: members of a bucket beyond which it is dealt again by LONG coordinates
+LONG = 6
 
 
 def shingle_sets(texts: list[bytes], width: int = 5):
@@ -146,7 +153,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> Da
 
 
 def _across(blocks: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in each (key, i, j) group of rows sorted by it, whose sketches come near."""
+    """Pairs of different components in each (key, i, j) group of rows sorted by it, whose sketches come near. Rows:
+    key, i, j, own, id, comp, low, bands (null under longer keys)."""
     t = percent / 100
     least = max(0.0, t - 5 * (t * (1 - t) / K) ** 0.5)  # five standard deviations below the threshold
 
@@ -160,13 +168,19 @@ def _across(blocks: DataFrame, percent: int) -> DataFrame:
             if not left or not right:
                 return
             sa, sb = (np.frombuffer(b"".join(r[6] for r in x), dtype=np.uint8).reshape(len(x), K) for x in (left, right))
-            ba, bb = (np.frombuffer(b"".join(r[7] for r in x), dtype=">i8").reshape(len(x), B) for x in (left, right))
+            longer = rows[0][7] is None
+            if not longer:
+                ba, bb = (np.frombuffer(b"".join(r[7] for r in x), dtype=">i8").reshape(len(x), B) for x in (left, right))
             comp_b = np.array([r[5] for r in right])
             for k, r in enumerate(left):
                 hit = ((sb == sa[k]).sum(axis=1) >= least * K) & (comp_b != r[5])
                 if left is right:
                     hit[: k + 1] = False
                 hit = np.flatnonzero(hit)
+                if longer:
+                    for m in hit.tolist():
+                        yield (min(r[4], right[m][4]), max(r[4], right[m][4]))
+                    continue
                 # two members share several buckets; only the first of them tells of the pair
                 shared = (bb[hit] == ba[k]).argmax(axis=1)
                 for m in hit[ba[k][shared] == r[0]].tolist():
@@ -210,28 +224,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = store.written(joined.select("id", "n_shingles", "node", F.when(own, F.col("bands")).alias("bands"), F.when(own, F.col("low")).alias("low")), "nodes")
     store.dropped(sketched)
 
-    bands = _exploded(nodes.where("bands is not null"))
-    leaders = store.written(bands.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("_last"), F.count("*").alias("m")).where("b < _last").select("key", "b", "m"), "leaders")
-    members = store.written(bands.join(leaders, "key").select("key", "id", "b", "m"), "members")
-    pairs = members.where("id <> b").selectExpr("id as a", "b").distinct()
-    links = store.written(_verified(pairs, base, percent, width), "links")
+    def led(keys: DataFrame, told: DataFrame | None, name: str):
+        """(members, pairs, links): buckets of at least two, members with their leaders, and what is confirmed of it."""
+        leaders = store.written(keys.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("_last"), F.count("*").alias("m")).where("b < _last").select("key", "b", "m"), f"leaders-{name}")
+        members = store.written(keys.join(leaders, "key").select("key", "id", "b", "m"), f"members-{name}")
+        store.dropped(leaders)
+        pairs = members.where("id <> b").selectExpr("b as a", "id as b").distinct()
+        new = pairs if told is None else pairs.join(told, ["a", "b"], "left_anti")
+        return members, pairs, store.written(_verified(new, base, percent, width), f"links-{name}")
+
+    members, pairs, links = led(_exploded(nodes.where("bands is not null")), None, "short")
+    made = [members, links]
+    if members.where(F.col("m") > HOT).isEmpty():
+        wide = members.withColumn("longer", F.lit(False))
+    else:
+        hot = members.where(F.col("m") > HOT).select("id").distinct()
+        slots = f"transform(sequence(0, {K // LONG - 1}), i -> xxhash64(i, substring(low, {LONG} * i + 1, {LONG})))"
+        keys = nodes.where("low is not null").select("id", "low").join(hot, "id").select("id", F.explode(F.expr(slots)).alias("key"))
+        second, more_pairs, more_links = led(keys, pairs, "long")
+        made += [second, more_links]
+        wide = members.where(F.col("m") <= HOT).withColumn("longer", F.lit(False)).unionByName(second.withColumn("longer", F.lit(True)))
+        pairs, links = pairs.unionByName(more_pairs), links.unionByName(more_links)
 
     comp = components(links, "near")
-    labelled = members.join(comp, "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("comp"))
-    split = labelled.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("key")
-    open_members = store.written(labelled.join(split, "key"), "open")
+    labelled = wide.join(comp, "id", "left").select("key", "longer", "id", "m", F.coalesce("component", "id").alias("comp"))
+    split = labelled.groupBy("key", "longer").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("key", "longer")
+    open_members = store.written(labelled.join(split, ["key", "longer"]), "open")
+    made.append(open_members)
     if not open_members.isEmpty():
         n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
         mine = F.pmod(F.xxhash64("id"), n_blocks).cast("int")
         with_block = open_members.withColumn("n", n_blocks).withColumn("own", mine)
-        to = with_block.select("key", "id", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-        dealt = to.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp")
-        with_low = dealt.join(nodes.where("low is not null").select("id", "low", "bands"), "id").select("key", "i", "j", "own", "id", "comp", "low", "bands")
-        blocks = with_low.repartition(store.partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        more = _across(blocks, percent).join(pairs.selectExpr("least(a, b) a", "greatest(a, b) b"), ["a", "b"], "left_anti")
+        to = with_block.select("key", "longer", "id", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+        dealt = to.select("key", "longer", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp")
+        sketches = nodes.where("low is not null").select("id", "low", "bands")
+        with_low = dealt.join(sketches, "id").select("key", "i", "j", "own", "id", "comp", "low", F.when(~F.col("longer"), F.col("bands")).alias("bands"))
+        blocks = with_low.repartition(store.partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", F.col("bands").isNull())
+        more = _across(blocks, percent).distinct().join(pairs, ["a", "b"], "left_anti")
         found = store.written(_verified(more, base, percent, width), "links")
+        made.append(found)
         if not found.isEmpty():
             comp = components(links.unionByName(found), "near")
-    out = nodes.select(F.col("id").alias("doc_id"), "n_shingles", "node").join(comp.withColumnRenamed("id", "node"), "node", "left")
     component = F.coalesce("component", "node")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = nodes.select("id", "n_shingles", "node").join(comp.select(F.col("id").alias("node"), "component"), "node", "left")
+    result = store.written(out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")), "near")
+    for table in [nodes, *made]:
+        store.dropped(table)
+    return result
