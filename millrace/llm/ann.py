@@ -3,7 +3,8 @@
 Vectors are rotated by one random orthonormal matrix, so that the first d of D coordinates give an unbiased estimate of
 a distance whose error shrinks as 1/sqrt(d). A list is kept as blocks of columns. For a query, partial squared
 distances grow block by block, and after each block the candidates are dropped for which a test rejects, at EPSILON,
-that their distance is within the query's tenth best so far. What is left is measured exactly on the original vectors.
+that their distance is within the query's tenth best so far. What is left is measured exactly on the original vectors,
+which tightens the threshold for the rest of the list, and for the lists that the same task scans for the query later.
 
 The index covers every row: the k-means centroids and the number of lists to probe are fitted on at most SAMPLE rows (a bound, not a share),
 those with the smallest hashes wherever they are stored, then every vector is put into its nearest centroid's list. Equal vectors are one entry that carries its smallest ids, k + 1 of them,
@@ -28,6 +29,8 @@ SAMPLE = 20_000
 LISTS = 1024
 COVER = 0.97
 BLOCK = 4096
+CHUNK = 512
+CARRIED = 200_000  #: queries whose best distances a task carries from list to list
 COLUMNS = 16
 EPSILON = 2.1
 
@@ -79,31 +82,44 @@ def calibrated(x, centroids, k: int, cover: float = COVER) -> int:
     return int(ranks[min(len(ranks) - 1, int(cover * len(ranks)))]) + 1
 
 
-def scan(query, tau_ids, columns, exact, q_exact, k: int):
-    """(entry indices, scores) of the k entries nearest to a query, nearest first, ties to the smaller id.
+def scan(query, least_ids, columns, exact, q_exact, k: int, tau: float = float("inf")):
+    """(entry indices, scores) of the k entries nearest to a query, nearest first, ties to the smaller id; entries farther
+    than `tau`, the k-th best distance that the query has elsewhere, may be left out.
 
-    `columns` holds the rotated block by column blocks, `exact` the original vectors, `tau_ids` the entries' least ids.
+    `columns` holds the rotated block by column blocks, `exact` the original vectors, `least_ids` the entries' least ids.
+    Entries are taken CHUNK at a time; what a chunk leaves is measured exactly, and the k-th best so far is the next
+    chunk's threshold.
     """
     import numpy as np
 
     m, dim = exact.shape
-    seed = min(m, max(4 * k, 32))
-    first = np.sqrt(((exact[:seed] - q_exact) ** 2).sum(1))
-    tau = np.partition(first, k - 1)[k - 1] if seed >= k else np.inf
-    active = np.arange(m)
-    part = np.zeros(m)
-    d = 0
-    for block in columns[:-1]:
-        if len(active) <= 2 * k:
-            break
-        w = block.shape[1]
-        part = part + ((block[active] - query[d : d + w]) ** 2).sum(1)
-        d += w
-        ok = part * (dim / d) <= (tau * (1 + EPSILON / np.sqrt(d))) ** 2
-        active, part = active[ok], part[ok]
-    score = np.sqrt(((exact[active] - q_exact) ** 2).sum(1))
-    order = np.lexsort((tau_ids[active], score))[:k]
-    return active[order], score[order]
+    kept, scores = np.zeros(0, np.int64), np.zeros(0)
+    at = 0
+    while at < m:
+        size = CHUNK if tau < np.inf else max(4 * k, 32)  # the first few are measured outright
+        active = np.arange(at, min(m, at + size))
+        at += size
+        if tau < np.inf:
+            part, d = np.zeros(len(active)), 0
+            for block in columns[:-1]:
+                if len(active) <= 2:
+                    break
+                w = block.shape[1]
+                part = part + ((block[active] - query[d : d + w]) ** 2).sum(1)
+                d += w
+                ok = part * (dim / d) <= (tau * (1 + EPSILON / np.sqrt(d))) ** 2
+                active, part = active[ok], part[ok]
+            if not len(active):
+                continue
+        kept = np.concatenate([kept, active])
+        scores = np.concatenate([scores, np.sqrt(((exact[active] - q_exact) ** 2).sum(1))])
+        if len(kept) > k:
+            order = np.lexsort((least_ids[kept], scores))[:k]
+            kept, scores = kept[order], scores[order]
+        if len(kept) >= k:
+            tau = min(tau, float(scores.max()))
+    order = np.lexsort((least_ids[kept], scores))[:k]
+    return kept[order], scores[order]
 
 
 def _valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -175,6 +191,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec
         import pyarrow as pa
 
         group, ids, raw, ready = None, [], [], None
+        best: dict = {}  # of a query: the k + 1 least distances that this task has found so far, in any list
         for batch in batches:
             out = [[], [], []]
             flat = np.asarray(batch.column("v").flatten()).reshape(-1, dim)
@@ -192,8 +209,13 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec
                     r = exact @ turn
                     ready = exact, [np.ascontiguousarray(r[:, s : s + COLUMNS]) for s in range(0, dim, COLUMNS)], np.array([x[0] for x in ids])
                 exact, columns, least = ready
-                q = flat[i]
-                for e, s in zip(*scan(q @ turn, least, columns, exact, q, min(k + 1, len(ids)))):
+                q, who = flat[i], (own[0], flat[i].tobytes())
+                known = best.get(who, ())
+                entries, scores = scan(q @ turn, least, columns, exact, q, k + 1, known[k] if len(known) > k else float("inf"))
+                if len(best) >= CARRIED:
+                    best.clear()
+                best[who] = sorted([*known, *scores.tolist()])[: k + 1]
+                for e, s in zip(entries, scores):
                     for other in ids[e]:
                         if other != own[0]:
                             for c, value in zip(out, (own[0], other, float(s))):
