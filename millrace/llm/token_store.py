@@ -412,7 +412,7 @@ def reconstruct(manifest: DataFrame, root: str) -> DataFrame:
     """doc_id, start and the ids themselves (binary, little-endian 32-bit), for readers that want the streams."""
     joined = read_recipes(manifest, root).drop("n").join(read_chunks(manifest, root, True).select("digest", "ids").hint("merge"), "digest")
     parts = F.array_sort(F.collect_list(F.struct("seq", "ids")))
-    return joined.groupBy("doc_id", "start").agg(F.max("n_tokens").alias("n_tokens"), parts.alias("_p")).select("doc_id", "start", "n_tokens", F.expr("aggregate(_p, cast('' as binary), (a, x) -> concat(a, x.ids))").alias("ids"))
+    return joined.groupBy("doc_id", "start").agg(F.max("n_tokens").alias("n_tokens"), parts.alias("_p")).select("doc_id", "start", "n_tokens", F.expr("unhex(array_join(transform(_p, x -> hex(x.ids)), ''))").alias("ids"))
 
 
 def encode_and_read(spark: SparkSession, docs: DataFrame) -> DataFrame:

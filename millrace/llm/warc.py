@@ -8,7 +8,7 @@ executors and repeated attempts leave nothing half written.
 
 Equal payloads are found on digests alone: a partial aggregate, then a join of small rows that adaptive execution can
 split when one payload is very common. What the join finds travels in the same exchange as the payloads, which are
-therefore shuffled once.
+therefore shuffled once. Payloads are read twice, for their sizes and digests and for the records.
 
 Defined results: a null html is an empty payload; a null url becomes urn:page:<id>; rows with a null id come first and
 are always responses; rows that repeat both an id and a payload have the same type and the same reference; other
@@ -124,18 +124,20 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
     spark = pages.sparkSession
     store.arrow_rows(spark, 256)
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    hashed = base.where(F.col("page_id").isNotNull() & (F.octet_length("payload") >= min_payload)).select("page_id", F.sha1("payload").alias("digest"))
+    keys = store.written(base.select("page_id", F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("digest")), "payload-keys")
+    hashed = keys.where(F.col("page_id").isNotNull() & (F.col("bytes") >= min_payload))
     owners = hashed.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("_last")).where("_last > refers_to")
     refs = hashed.join(owners, "digest").where(F.col("page_id") > F.col("refers_to")).select("page_id", "digest", "refers_to")
-    parallel = store.partitions(spark)
-    size = F.octet_length("payload") + 512
-    total = base.agg(F.sum(size)).first()[0] or 0
-    bounds = ranges.cuts(base, "page_id", size, max(-(-total // SHARD_BYTES), min(parallel, total >> 22)))
+    size = F.col("bytes") + 512
+    total = keys.agg(F.sum(size)).first()[0] or 0
+    bounds = ranges.cuts(keys, "page_id", size, max(-(-total // SHARD_BYTES), min(store.partitions(spark), total >> 22)))
     shard = ranges.shard_of("page_id", bounds).alias("shard")
     rows = base.select(shard, F.lit(1).alias("kind"), "page_id", "url", F.sha1("payload").alias("digest"), "payload", F.lit(None).cast("long").alias("refers_to"))
     rows = rows.unionByName(refs.select(shard, F.lit(0).alias("kind"), "page_id", F.lit(None).cast("string").alias("url"), "digest", F.lit(None).cast("binary").alias("payload"), "refers_to"))
     placed = rows.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "kind", "url", "digest")
-    return store.written(placed.mapInArrow(_write(root, roll_bytes, date), MANIFEST), "manifest", f"{root}/manifest")
+    manifest = store.written(placed.mapInArrow(_write(root, roll_bytes, date), MANIFEST), "manifest", f"{root}/manifest")
+    store.dropped(keys)
+    return manifest
 
 
 def _members(stream):
