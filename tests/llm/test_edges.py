@@ -163,6 +163,19 @@ def test_warc_is_deterministic_and_rolls(spark):
     assert key(a) == key(b) and a.count() > 3
 
 
+def test_ranges_of_clustered_keys(spark):
+    """Keys in many tight clusters far apart: every range comes near its share."""
+    from pyspark.sql import functions as F
+
+    from millrace.llm import ranges
+
+    df = spark.range(6000).selectExpr("pmod(id, 60) * 1000000000000 + shiftright(id, 2) as k")
+    bounds = ranges.cuts(df, "k", F.lit(1), 200)
+    sizes = [r["count"] for r in df.groupBy(ranges.shard_of("k", bounds)).count().collect()]
+    assert 150 <= len(sizes) <= 201 and max(sizes) <= 60
+    assert bounds == sorted(set(bounds)) and ranges.cuts(df.limit(0), "k", F.lit(1), 5) == []
+
+
 def near_brute(texts):
     sets = {}
     for i, t in texts.items():
@@ -186,9 +199,13 @@ def test_near_duplicates(spark, docs, empty, odd):
     assert len(rows) == 6 and {r.component_id for r in rows if r.doc_id is not None} == {1}
 
 
-def test_near_duplicates_random_groups(spark):
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_near_duplicates_random_groups(spark, monkeypatch, hot):
+    """With a low limit, members of large buckets meet by longer keys."""
     import random
 
+    monkeypatch.setattr(minhash, "HOT", hot)
+
     rng = random.Random(4)
     texts, k = {}, 0
     for g in range(12):
@@ -240,6 +257,28 @@ def test_ann(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_ann_scan_narrows():
+    """The threshold narrows while a list is scanned: far entries behind near ones are not measured to the end."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(40, 64)), 0.1 * rng.normal(size=(600, 64)), rng.normal(size=(3000, 64))])
+    seen = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, k):
+            if isinstance(k, np.ndarray):
+                seen.append(len(k))
+            return super().__getitem__(k)
+
+    columns = [x[:, s : s + 16] for s in range(0, 64, 16)]
+    q = np.zeros(64)
+    got, scores = ann.scan(q, np.arange(len(x)), columns, x.view(Counted), q, 11)
+    want = np.argsort((x**2).sum(1))[:11]
+    assert got.tolist() == want.tolist() and np.allclose(scores, np.sqrt((x[want] ** 2).sum(1)))
+    assert sum(seen) < 800
+    none, _ = ann.scan(q, np.arange(len(x)), columns, x, q, 11, tau=float(scores[10]) / 4)
+    assert len(none) <= 11
+
+
 def test_ann_sample_is_spread(spark, monkeypatch):
     """A table stored cluster by cluster, a little under twice the sample: every cluster is fitted and found."""
     rng = np.random.default_rng(4)
@@ -344,9 +383,13 @@ def test_suffix(spark, docs, empty, odd):
     assert len(rows) == 6 and {r.n_removed for r in rows if r.doc_id == 2} == {len(COPY)} and {r.n_removed for r in rows if r.doc_id != 2} == {0}
 
 
-def test_suffix_random(spark):
+@pytest.mark.parametrize("hot", [2 << 20, 300])
+def test_suffix_random(spark, monkeypatch, hot):
+    """With a low limit, hot anchors are cut by longer ones and then into windows."""
     import random
 
+    monkeypatch.setattr(suffix, "HOT", hot)
+
     rng = random.Random(9)
     pool = ["".join(rng.choices("abc ", k=300)) for _ in range(5)]
     texts = {}
@@ -357,13 +400,16 @@ def test_suffix_random(spark):
             a = rng.randrange(250)
             t += s[a : a + rng.randint(1, 160)] + "".join(rng.choices("xyz", k=rng.randint(0, 30)))
         texts[i] = t
+    texts[40], texts[41], texts[42] = "y" * 900, "x" + "y" * 700 + "x", "q" + "yz" * 300
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.without_repeats(table(spark, list(texts.items()))).collect()}
     assert got == suffix_brute(texts)
 
 
-def test_suffix_array_and_plcp():
+@pytest.mark.parametrize("few", [0, 512])
+def test_suffix_array_and_plcp(monkeypatch, few):
     import random
 
+    monkeypatch.setattr(suffix, "FEW", few)
     rng = random.Random(3)
     for _ in range(200):
         k, n = rng.choice([2, 3, 5, 250]), rng.randint(0, 200)
@@ -377,6 +423,26 @@ def test_suffix_array_and_plcp():
             assert plcp[b] == n
 
 
+def test_suffix_array_recurses(monkeypatch):
+    """Ordinary text of many distinct names is sorted by induction at every level, and long runs of a byte take no more
+    rounds than other text."""
+    import random
+
+    rng = random.Random(6)
+    x = np.array([rng.randint(1, 26) for _ in range(60_000)] + [0], dtype=np.uint16)
+    alphabets, real = [], suffix.suffix_array
+    monkeypatch.setattr(suffix, "suffix_array", lambda s, k: alphabets.append(k) or real(s, k))
+    raw = x.astype(np.uint8).tobytes()
+    sa = suffix.suffix_array(x, 27)
+    assert len(alphabets) > 1 and alphabets[1] > 2048
+    assert sa.tolist() == np.array(sorted(range(len(x)), key=lambda i: raw[i:])).tolist()
+    runs = suffix.repeated_strings([(0, b"a" * 300_000), (1, b"a" * 300_000), (2, b"b" * 60)], 50)
+    assert [int(r.sum()) for r in runs] == [0, 299_951, 0]
+    monkeypatch.setattr(suffix, "_induce_names", None)
+    with pytest.raises(TypeError):
+        suffix.suffix_array(x, 27)
+
+
 def test_packing(spark, docs, empty, odd, tok, monkeypatch):
     for part in (20_000, 3):
         monkeypatch.setattr(packing, "PART", part)
