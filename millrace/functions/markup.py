@@ -67,6 +67,75 @@ def read_lines(html: str) -> list[tuple[str, bool, str]]:
     return out
 
 
+class _Elements(HTMLParser):
+    """(characters, words, label) of the text of every block element, inner ones too."""
+
+    MOST, LONGEST = 4000, 6000
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, str, list[str]]] = []
+        self.found: list[tuple[int, str, str]] = []
+        self.started = 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in VOID:
+            return
+        self.open.append((tag, _Reader._label(self, tag, attrs), []))
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _, _ in self.open):
+            while self._closed() != tag:
+                pass
+
+    def handle_data(self, data):
+        for _, _, parts in self.open:
+            parts.append(data)
+
+    def _closed(self) -> str:
+        tag, label, parts = self.open.pop()
+        text = " ".join(" ".join(parts).split()).lower()
+        if tag in BLOCKS and 0 < len(text) <= self.LONGEST and len(self.found) < self.MOST:
+            self.found.append((len(text), text, label))
+        return tag
+
+    def all(self) -> list[tuple[int, str, str]]:
+        while self.open:
+            self._closed()
+        return sorted(self.found)
+
+
+def attributed(html: str, lines: list[str]) -> list[str]:
+    """For each line the label of the smallest block that contains it or, if none does, of the block of 12 characters or
+    more that has most of its words, 0.6 of them at least; empty if there is none either."""
+    e = _Elements()
+    e.feed(html)
+    e.close()
+    blocks = e.all()
+    words = [(frozenset(t.split()), label) for n, t, label in blocks if n >= 12]
+    out = []
+    for line in lines:
+        low = " ".join(line.split()).lower()
+        label = next((label for n, t, label in blocks if n >= len(low) and low in t), "") if low else ""
+        own = set(low.split())
+        if own and not label:
+            share, _, label = max(((len(own & w) / len(own), -k, x) for k, (w, x) in enumerate(words)), default=(0.0, 0, ""))
+            label = label if share >= 0.6 else ""
+        out.append(label)
+    return out
+
+
+def annotated_lines(html: str, text: str) -> str:
+    lines = [x.strip() for x in text.split("\n") if x.strip()]
+    return "\n".join(f"<lid:{i}{'|' + n if n else ''}> {x}" for i, (n, x) in enumerate(zip(attributed(html, lines), lines), 1))
+
+
+@F.pandas_udf(StringType())
+def annotated(html: pd.Series, text: pd.Series) -> pd.Series:
+    """Numbered lines of a text with the labels of the blocks that they come from."""
+    return pd.Series([None if t is None else annotated_lines(h or "", t) for h, t in zip(html, text)], dtype=object)
+
+
 def _each(f):
     def run(s: pd.Series) -> pd.Series:
         out = []

@@ -7,6 +7,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from millrace.functions import text as T
 
@@ -17,7 +18,7 @@ def token_counts(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
     return t.groupBy(key, "tok").agg(F.count("*").alias(name))
 
 
-@F.pandas_udf("n_sys long, n_ref long, n_both long")
+@F.pandas_udf(StructType([StructField(n, LongType()) for n in ("n_sys", "n_ref", "n_both")]))
 def _shared(system: pd.Series, reference: pd.Series, n: pd.Series) -> pd.DataFrame:
     out = []
     for s, r, k in zip(system, reference, n):
@@ -66,7 +67,7 @@ def longest_common(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rouge_l(system: pd.Series, reference: pd.Series) -> pd.Series:
     """F1 of the longest common subsequence of lower-case words."""
 
@@ -88,3 +89,47 @@ def index_quantile(values: Column, p: float) -> Column:
     """xs[int(p * n)] of the ascending values, not interpolated."""
     xs = F.array_sort(F.collect_list(values))
     return F.element_at(xs, F.least(F.size(xs), F.floor(F.lit(p) * F.size(xs)).cast("int") + 1))
+
+
+_POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582]  # the distribution function of mean 1
+
+
+def bootstrap(df: DataFrame, key: str, ratios: dict[str, tuple[Column, Column]], replicates: int) -> DataFrame:
+    """metric, low, mean, high: 95 % percentile intervals of ratios of sums over resampled rows. The weight of a row in a
+    replicate is a Poisson draw made from the hash of its key and the replicate's number, so results do not depend on how
+    rows are split."""
+    names = list(ratios)
+
+    def sums(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros((2 * len(names), replicates))
+        number = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            values = np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], dtype=np.float64).reshape(2 * len(names), -1)
+            for k in range(0, len(h), 512):
+                x = h[k : k + 512, None] ^ number[None, :]
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+                u = (x >> np.uint64(11)).astype(np.float64) / (1 << 53)
+                total += values[:, k : k + 512] @ np.searchsorted(_POISSON, u, side="right").astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(names)), replicates).astype("int32")), pa.array(np.tile(np.arange(replicates), len(names)).astype("int32")), pa.array(total[0::2].ravel()), pa.array(total[1::2].ravel())], names=["k", "b", "x", "y"])
+
+    cols = [F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"c{i}{j}") for i, n in enumerate(names) for j, c in enumerate(ratios[n])]
+    rows = df.select(F.xxhash64(key).alias("h"), *cols).mapInArrow(sums, "k int, b int, x double, y double")
+    each = rows.groupBy("k", "b").agg((F.sum("x") / F.sum("y")).alias("r"))
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("k") + 1)
+    return each.groupBy(name.alias("metric")).agg(F.percentile("r", 0.025).alias("low"), F.avg("r").alias("mean"), F.percentile("r", 0.975).alias("high"))
+
+
+def exact_match(system: Column, reference: Column, case: bool = False, punctuation: bool = False, digits: bool = False, drop: str | None = None) -> Column:
+    """Whether two texts are equal once what the options name is left out: case, ASCII punctuation, digits, a pattern."""
+
+    def bare(c):
+        for on, pattern in ((drop is not None, drop), (punctuation, r"[!-/:-@\[-`{-~]"), (digits, "[0-9]")):
+            c = F.regexp_replace(c, pattern, "") if on else c
+        return F.lower(c) if case else c
+
+    return bare(system) == bare(reference)

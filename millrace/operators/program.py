@@ -114,19 +114,19 @@ def emitted(tag: Column, final: Column) -> Column:
 
 #: Post-filter (fixed patterns and tags).
 OP_LINE = r"(?m)^(rm \d+(-\d+)?(:\d+)?|sub \d+: )"
-LEAD_BAD = ["<extract>", "<edit>", "<delete>", "<keep>"]
-TAG_OK = ["<extract>", "<refine>", "<rewrite>"]
-STANDALONE = ["<extract>", "<refine>", "<rewrite>", "<delete>", "<edit>"]
+BAD_STARTS = ["<extract>", "<edit>", "<delete>", "<keep>"]
+EMITTED_TAGS = ["<extract>", "<refine>", "<rewrite>"]
+BARE_TAGS = ["<extract>", "<refine>", "<rewrite>", "<delete>", "<edit>"]
 
 
 def postfilter(text: Column, tag: Column) -> Column:
     """The names of the post-filter rules that a document breaks: A2 leaked operations, A3 tag, A5 a bare tag line."""
     lead = F.lit(False)
-    for t in LEAD_BAD:
+    for t in BAD_STARTS:
         lead = lead | strip(text).startswith(t)
     a2 = (F.regexp_count(text, F.lit(OP_LINE)) >= 2) | (lead & (F.length(text) < 200))
-    a3 = ~F.coalesce(tag.isin(*TAG_OK), F.lit(False))
-    a5 = F.exists(F.split(text, "\n"), lambda x: strip(x).isin(*STANDALONE))
+    a3 = ~F.coalesce(tag.isin(*EMITTED_TAGS), F.lit(False))
+    a5 = F.exists(F.split(text, "\n"), lambda x: strip(x).isin(*BARE_TAGS))
     return F.filter(F.array(F.when(a2, F.lit("A2")), F.when(a3, F.lit("A3")), F.when(a5, F.lit("A5"))), lambda x: x.isNotNull())
 
 

@@ -13,57 +13,54 @@ from millrace.operators import diffs
 _ROW = StructType([StructField("program", StringType()), StructField("kind", StringType())])
 
 
-def _stage_one(full: str, extracted: str) -> tuple[list[int] | None, str]:
-    """The numbers of the page lines that the extraction keeps, or why it is no pure line removal."""
-    ops = diffs.make_program(full, extracted)
-    if ops is None:
-        return None, "stage1_not_subset"
-    if any(o.startswith("sub ") for o in ops.split("\n")):
-        return None, "stage1_has_sub"
-    gone: set[int] = set()
-    for o in filter(None, ops.split("\n")):
-        a, _, b = o[3:].partition("-")
-        gone.update(range(int(a), int(b or a) + 1))
-    kept = [i for i in range(1, len(diffs.split_lines(full)) + 1) if i not in gone]
-    return (kept, ops) if len(kept) == len(diffs.split_lines(extracted)) else (None, "stage1_len_mismatch")
-
-
-def _on_page(ops: str, kept: list[int]) -> str:
-    """Operations on extracted lines as operations on page lines; removed runs split where the page has a gap."""
-    out: list[str] = []
-    for o in ops.split("\n"):
-        if o.startswith("sub "):
-            n, _, rest = o[4:].partition(": ")
-            out.append(f"sub {kept[int(n) - 1]}: {rest}")
-            continue
-        a, _, b = o[3:].partition("-")
-        run: list[int] = []
-        for i in [kept[k - 1] for k in range(int(a), int(b or a) + 1)] + [None]:
-            if run and (i is None or i != run[-1] + 1):
-                out.append(f"rm {run[0]}" if len(run) == 1 else f"rm {run[0]}-{run[-1]}")
-                run = []
-            if i is not None:
-                run.append(i)
-    return "\n".join(out)
+def _runs(numbers: list[int]) -> list[tuple[int, int]]:
+    """(first, last) of the runs of consecutive ascending numbers."""
+    starts = [i for i, n in enumerate(numbers) if i == 0 or n != numbers[i - 1] + 1]
+    return [(numbers[i], numbers[j - 1]) for i, j in zip(starts, [*starts[1:], len(numbers)])]
+
+
+class _Extraction:
+    """A page's lines that an extraction keeps. `fault` says why it is no pure line removal (fixed names)."""
+
+    def __init__(self, full: str, extracted: str):
+        page, self.lines = diffs.split_lines(full), diffs.split_lines(extracted)
+        self.removed = diffs.edits(page, self.lines)
+        self.fault = None
+        if self.removed is None:
+            self.fault = "stage1_not_subset"
+        elif any(e.text is not None for e in self.removed):
+            self.fault = "stage1_has_sub"
+        else:
+            gone = {n for e in self.removed for n in range(e.first, e.last + 1)}
+            self.kept = [n for n in range(1, len(page) + 1) if n not in gone]
+            if len(self.kept) != len(self.lines):
+                self.fault = "stage1_len_mismatch"
+
+    def on_page(self, found: list[diffs.Edit]) -> list[diffs.Edit]:
+        """Edits of the extraction as edits of the page; lines removed together may lie apart there."""
+        out = []
+        for e in found:
+            numbers = self.kept[e.first - 1 : e.last]
+            out += [diffs.Edit(a, b, e.text) for a, b in _runs(numbers)]
+        return out
 
 
 def staged(full: str, extracted: str, target: str) -> tuple[str | None, str]:
     """(program, kind): the extraction as line removals, then the target's decision with page line numbers."""
-    kept, ops = _stage_one(full, extracted)
-    if kept is None:
-        return None, ops
-    head = "<extract>" + ("\n" + ops if ops else "")
-    target = target.lstrip()
-    tag, _, body = target.partition("\n")
-    tag = tag.strip()
-    if tag in ("<delete>", "<extract>"):
-        return head + ("\n<delete>" if tag == "<delete>" else "\n<keep>"), "delete" if tag == "<delete>" else "keep"
-    if tag == "<rewrite>":
-        return f"{head}\n<rewrite>\n{body.strip()}", "rewrite"
-    edit = diffs.make_program(extracted, body)
-    if edit is None:
-        return f"{head}\n<edit>\n{body.strip()}", "edit_fulltext_fallback"
-    return (f"{head}\n<edit>\n{_on_page(edit, kept)}", "edit_ops") if edit else (head + "\n<keep>", "refine_noop_to_keep")
+    x = _Extraction(full, extracted)
+    if x.fault:
+        return None, x.fault
+    parts = ["<extract>", *map(str, x.removed)]
+    head, _, body = target.lstrip().partition("\n")
+    decided = {"<delete>": ("<delete>", "delete"), "<extract>": ("<keep>", "keep"), "<rewrite>": ("<rewrite>", "rewrite")}.get(head.strip())
+    if decided is None:
+        found = diffs.edits(x.lines, diffs.split_lines(body))
+        decided = ("<edit>", "edit_fulltext_fallback" if found is None else "edit_ops") if found is None or found else ("<keep>", "refine_noop_to_keep")
+        if found:
+            body = "\n".join(map(str, x.on_page(found)))
+    tag, kind = decided
+    parts += [tag, body.strip()] if tag in ("<edit>", "<rewrite>") else [tag]
+    return "\n".join(parts), kind
 
 
 @F.pandas_udf(_ROW)

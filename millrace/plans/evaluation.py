@@ -85,10 +85,18 @@ def chunk_merge_parity(spark, sf_dir):
     return g.groupBy("source").agg(F.count("*").alias("n_tasks"), F.count_if((F.col("a") > 0) & (F.col("b") > 0)).alias("in_both"), F.sum(F.col("a") + F.col("b")).alias("total"))
 
 
-@query("exact_match_metric", "select lang, avg(cast(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g')) = lower(regexp_replace(left(text, 1000), '[^\\p{L}\\p{N}]+', '', 'g')) as int))::double as exact_match from documents group by lang")
+@query("exact_match_metric", r"""with p as (select lang, text as ref, case doc_id % 4 when 0 then translate(text, 'aeiou', 'AEIOU') when 1 then replace(text, ',', ';') when 2 then regexp_replace(text, '[0-9]', '', 'g') || ' 7' else substr(text, 2) end as gen from documents),
+n as (select lang, ref = gen as plain, lower(ref) = lower(gen) as no_case, regexp_replace(ref, '[!-/:-@\[-`{-~]', '', 'g') = regexp_replace(gen, '[!-/:-@\[-`{-~]', '', 'g') as no_punct, regexp_replace(ref, '[0-9]|\s', '', 'g') = regexp_replace(gen, '[0-9]|\s', '', 'g') as no_digits from p)
+select lang, avg(plain::int)::double as plain, avg(no_case::int)::double as no_case, avg(no_punct::int)::double as no_punct, avg(no_digits::int)::double as no_digits from n group by lang""")
 def exact_match_metric(spark, sf_dir):
-    norm = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
-    return _docs(spark, sf_dir).groupBy("lang").agg(F.avg((norm(F.col("text")) == norm(F.substring("text", 1, 1000))).cast("int")).alias("exact_match"))
+    """Share of generations that equal their references, with each of the metric's options."""
+    from millrace.operators.metrics import exact_match
+
+    k = F.col("doc_id") % 4
+    gen = F.when(k == 0, F.translate("text", "aeiou", "AEIOU")).when(k == 1, F.replace("text", F.lit(","), F.lit(";"))).when(k == 2, F.concat(F.regexp_replace("text", "[0-9]", ""), F.lit(" 7"))).otherwise(F.expr("substring(text, 2)"))
+    p = _docs(spark, sf_dir).select("lang", F.col("text").alias("ref"), gen.alias("gen"))
+    same = {"plain": {}, "no_case": {"case": True}, "no_punct": {"punctuation": True}, "no_digits": {"digits": True, "drop": r"\s"}}
+    return p.groupBy("lang").agg(*[F.avg(exact_match(F.col("gen"), F.col("ref"), **o).cast("int")).alias(n) for n, o in same.items()])
 
 
 @query("loop_counts", r"""with w as (select doc_id, n_chars, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') as w from documents), g as (select n_chars, case when len(w) >= 40 then list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')) end as g from w),

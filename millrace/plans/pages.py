@@ -9,6 +9,7 @@ from millrace.functions import markup as K
 from millrace.functions import text as T
 from millrace.operators import diffs, fitting, prox
 from millrace.operators import program as P
+from millrace.sources import corpus
 from millrace.sources.tables import table
 
 
@@ -62,21 +63,29 @@ def bfd_pack(spark, sf_dir):
     return packed.groupBy("shard").agg(F.count_distinct("bin").alias("bins"), F.count("*").alias("n"), F.sum("length").alias("total"))
 
 
-@query("line_chunks", r"""with l as (select doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, E' \t\r')), lambda x: x <> '') as l from documents)
-select doc_id, sum(len(l))::bigint as n_lines from l where len(l) > 0 group by doc_id""")
+@query("line_chunks", r"""with recursive l as (select doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, E' \t\r')), lambda x: x <> '') as l from documents),
+c(doc_id, i, used, chunk) as (select doc_id, 1, length(l[1]), 1 from l where len(l) > 0
+  union all select c.doc_id, i + 1, case when used + length(l[i + 1]) <= 1500 then used + length(l[i + 1]) else length(l[i + 1]) end, case when used + length(l[i + 1]) <= 1500 then chunk else chunk + 1 end from c join l using (doc_id) where i < len(l))
+select doc_id, chunk::bigint as chunk, count(*) as n_lines, max(used)::bigint as chars from c group by 1, 2""")
 def line_chunks(spark, sf_dir):
-    """Chunks of lines within 1,500 characters; together they hold every line once."""
+    """Chunks of consecutive lines within 1,500 characters."""
     lines = T.lines_of(T.text_of("text"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(fitting.line_chunks(lines, F.length, 1500)).alias("chunk"))
-    return d.groupBy("doc_id").agg(F.sum(F.size("chunk")).alias("n_lines"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(fitting.line_chunks(lines, F.length, 1500)).alias("k", "chunk"))
+    return d.select("doc_id", (F.col("k") + 1).cast("long").alias("chunk"), F.size("chunk").cast("long").alias("n_lines"), F.length(F.array_join("chunk", "")).cast("long").alias("chars"))
 
 
-@query("accounting_hours", "select event_type as state, sum(value * (user_id % 8)) / 3600 as gpu_hours, count(*) as n from events group by 1")
+@query("accounting_hours", "select event_type as state, sum(cast(floor(abs(value) * 10) as bigint) * (user_id % 8)) / 3600 as gpu_hours, count(*) as n, count_if(user_id % 8 = 0)::bigint as without_gpus from events group by 1")
 def accounting_hours(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.groupBy(F.col("event_type").alias("state")).agg((F.sum(F.col("value") * (F.col("user_id") % 8)) / 3600).alias("gpu_hours"), F.count("*").alias("n"))
-
-
-@query("manifest_tokens", "select source, count(*) as num_sequences, count(*) * 2049 as num_tokens from documents group by source")
-def manifest_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("num_sequences")).withColumn("num_tokens", F.col("num_sequences") * 2049)
+    """Accounting lines with a header's names, read by the accounting reader."""
+    seconds, devices = F.floor(F.abs("value") * 10).cast("string"), (F.col("user_id") % 8).cast("string")
+    gpus = F.when(F.col("user_id") % 8 == 0, F.lit("billing=4,cpu=4")).otherwise(F.concat(F.lit("billing=4,cpu=4,gres/gpu="), devices, F.lit(",node=1")))
+    lines = table(spark, sf_dir, "events").select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type", seconds, gpus).alias("value"))
+    e = corpus.parsed_accounting(lines, "JobID|State|ElapsedRaw|AllocTRES")
+    return e.groupBy(F.col("State").alias("state")).agg(F.sum("gpu_hours").alias("gpu_hours"), F.count("*").alias("n"), F.count_if(F.col("gpus") == 0).alias("without_gpus"))
+
+
+@query("annotated_lines")
+def annotated_lines(spark, sf_dir):
+    """Lines of rendered pages with the labels of the smallest blocks that hold them."""
+    p = table(spark, sf_dir, "pages").where("html is not null").select("page_id", K.annotated("html", K.render("html")).alias("t"))
+    return p.select("page_id", F.regexp_count("t", F.lit(r"(?m)^<lid:\d+\|")).cast("long").alias("n_labelled"), F.size(T.lines_of(T.text_of("t"))).cast("long").alias("n_lines"), F.md5("t").alias("text_md5"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from millrace.catalog import query
 from millrace.functions import rules as R
 from millrace.functions import text as T
+from millrace.operators import metrics as M
 from millrace.operators import program as P
 from millrace.operators import training as S
+from millrace.plans.metrics import SQL_PAIR, _pairs
 from millrace.plans.programs import programs
 from millrace.plans.rules import SQL_FW, SQL_M, SQL_RW
 from millrace.sources.tables import table
@@ -27,9 +29,17 @@ def staged_rows(spark, sf_dir):
     return e.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(same).alias("n_same"))
 
 
-@query("norw_gate", "select count(*) as n, 0::bigint as decision_mismatch, 0::bigint as no_extract, 0::bigint as rewrites from documents")
+@query("norw_gate", """with k as (select doc_id, doc_id % 5 as k, case when doc_id % 11 = 0 then 'tag' when doc_id % 13 = 0 then 'extract' when doc_id % 17 = 0 then 'rewrite' end as fault from documents)
+select count(*) as n, count_if((fault = 'tag' and k not in (2, 3)) or fault = 'extract')::bigint as decision_mismatch, count_if(fault = 'extract')::bigint as no_extract, count_if(fault = 'rewrite')::bigint as rewrites from k""")
 def norw_gate(spark, sf_dir):
-    return S.gate(programs(spark, sf_dir).withColumn("program", S.fold_rewrite(F.col("program"))))
+    """The structural gate over programs without rewrites, into which faults were put: another second decision, no extract
+    block, a rewrite."""
+    k = F.col("doc_id")
+    fault = F.when(k % 11 == 0, "tag").when(k % 13 == 0, "extract").when(k % 17 == 0, "rewrite")
+    p = programs(spark, sf_dir).withColumn("program", S.fold_rewrite(F.col("program")))
+    other = F.regexp_replace("program", r"(?s)\A(<[a-z]+>\n<extract>.*?\n)<(?:keep|edit|delete)>", "$1<delete>")
+    bad = F.when(fault == "tag", other).when(fault == "extract", F.replace("program", F.lit("<extract>\n"))).when(fault == "rewrite", F.lit("<rewrite>\n<extract>\n<rewrite>\nx")).otherwise(F.col("program"))
+    return S.gate(p.withColumn("program", bad))
 
 
 @query("stage2_relabel", "with s as (select doc_id, doc_id % 5 as k, case when doc_id % 2 = 0 then (doc_id % 40) / 10.0 end as edu, case when doc_id % 3 = 0 then 'better' end as rw from documents) select case when k <> 2 then 'other' when edu is null then 'no_decision' when edu >= 1.5 then 'flip_keep' when rw is not null and edu >= 1.0 then 'flip_rewrite' else 'unchanged' end as outcome, count(*) as n from s group by 1")
@@ -73,13 +83,15 @@ def rule_flags(spark, sf_dir):
 
 @query("bootstrap_accuracy")
 def bootstrap_accuracy(spark, sf_dir):
-    """Percentile interval of the share of good labels over 200 resamplings: hashed Poisson weights stand in for drawing
-    pages, so replicates are partial sums and nothing is collected."""
-    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("b"))
-    u = F.pmod(F.xxhash64("doc_id", "b"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    weight = sum((F.when(u > c, 1).otherwise(0) for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015)), F.lit(0))
-    rep = lab.groupBy("b").agg((F.sum(weight * F.col("quality")) / F.sum(weight)).alias("acc"))
-    return rep.agg(F.percentile("acc", 0.025).alias("low"), F.avg("acc").alias("mean"), F.percentile("acc", 0.975).alias("high"))
+    """Percentile intervals over 1,000 resamplings of pages: share of good labels, recall of kept pages, and token recall
+    of the compared system. Hashed Poisson weights stand in for drawing pages, so replicates are partial sums: a task
+    adds all of its pages to an array of 1,000 sums a metric, and no row is made a thousand times."""
+    pairs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.col("text").alias("ref"), F.substring_index("text", "\n", 3).alias("sys"))
+    c = M.overlap(pairs, "doc_id", "sys", "ref")
+    j = table(spark, sf_dir, "labels").join(c, "doc_id").join(pairs.select("doc_id", "n_chars"), "doc_id")
+    kept = (F.col("n_chars") > 1200).cast("long")
+    ratios = {"good": (F.col("quality"), F.lit(1)), "recall": (F.col("quality") * kept, F.col("quality")), "tokens": (F.col("n_both"), F.col("n_ref"))}
+    return M.bootstrap(j, "doc_id", ratios, 1000)
 
 
 @query("operation_statistics", r"""with l as (select doc_id, doc_id % 5 as k, len(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, E' \t\r')), lambda x: x <> '')) as n from documents),
@@ -103,8 +115,12 @@ def quality_score_parse(spark, sf_dir):
     return d.select("doc_id", "s.domain", F.get("s.scores", F.lit(13)).alias("overall"), "s.valid")
 
 
-@query("paired_differences", "with s as (select d.source, avg(case when l.quality = 1 then n_chars end)::double as a, avg(case when l.quality = 0 then n_chars end)::double as b from documents d join labels l using (doc_id) group by 1) select count(*) as n, avg(a - b)::double as mean_difference, count_if(a > b)::bigint as wins from s where a is not null and b is not null")
+@query("paired_differences", f"with {SQL_PAIR}, a as (select doc_id, case when n_ref = 0 then 1.0 else n_both / n_ref end as x from o), b as (select doc_id, case when length(text) = 0 then 1.0 else least(1.0, 900 / length(text)) end as y from documents), j as (select doc_id, x - y as d from a join b using (doc_id)) select count(*) as n, avg(d)::double as mean_difference, count_if(d > 0)::bigint as wins, count_if(d = 0)::bigint as ties, (stddev_samp(d) / sqrt(count(*)))::double as standard_error from j")
 def paired_differences(spark, sf_dir):
-    j = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
-    s = j.groupBy("source").agg(F.avg(F.when(F.col("quality") == 1, F.col("n_chars"))).alias("a"), F.avg(F.when(F.col("quality") == 0, F.col("n_chars"))).alias("b")).where("a is not null and b is not null")
-    return s.agg(F.count("*").alias("n"), F.avg(F.col("a") - F.col("b")).alias("mean_difference"), F.count_if(F.col("a") > F.col("b")).alias("wins"))
+    """Token recall of two systems, page by page: without the first line, and the first 900 characters' share."""
+    o = M.overlap(_pairs(spark, sf_dir), "doc_id", "sys", "ref")
+    x = o.select("doc_id", F.when(F.col("n_ref") == 0, F.lit(1.0)).otherwise(F.col("n_both") / F.col("n_ref")).alias("x"))
+    n = F.length("text")
+    y = table(spark, sf_dir, "documents").select("doc_id", F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 900 / n)).alias("y"))
+    d = x.join(y, "doc_id").select((F.col("x") - F.col("y")).alias("d"))
+    return d.agg(F.count("*").alias("n"), F.avg("d").alias("mean_difference"), F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") == 0).alias("ties"), (F.stddev_samp("d") / F.sqrt(F.count("*"))).alias("standard_error"))
