@@ -525,3 +525,31 @@ def test_quality(spark, docs, empty, odd):
     costs = {r.rule: r for r in quality.ablations(quality.ledger(docs)).collect()}
     few = costs["too_few_words"]
     assert few.n_docs == len(TEXTS) and few.n_kept == sum(r.kept for r in judged) and few.n_failed == sum(r.n_words < 50 for r in judged)
+
+
+def test_quality_very_long_texts(spark):
+    """Millions of distinct words: no window is taken for another; one repeat is found."""
+    n = 1_500_000
+    once = " ".join(map(str, range(n)))
+    df = spark.createDataFrame([(1, once), (2, once + " 77 78 79")], "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.n_words, r.n_repeat_words, r.word_chars) for r in quality.ledger(df).collect()}
+    chars = len(once) - n + 1
+    assert got == {1: (n, 0, chars), 2: (n + 3, 6, chars + 6)}
+
+
+def test_long_texts_of_one_word_and_of_no_spaces(tok):
+    """A word of a million letters, tabs, and text without spaces: exact, and in bounded time and memory."""
+    import time
+
+    import public_tokenizers
+
+    from millrace.llm.tokens import Encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, codec = Encoder(path), trie_bpe.Codec(path)
+    for text in ("abcdefghij" * 100_000, "col\tumn\t\tx\n" * 40_000, "".join(chr(0x4E00 + i % 800) for i in range(200_000))):
+        began = time.process_time()
+        assert codec.encode([text]) == encoder.encode([text]) == [encoder._whole(text)]
+        assert time.process_time() - began < 60
+    held = sum(len(k) + len(v) for c in (encoder.cache, codec.cache, codec.words) for k, v in c.items())
+    assert held < 1 << 20 and max(map(len, [*encoder.cache, *codec.words])) <= 128
