@@ -29,11 +29,14 @@ def _first_seen(items: Column) -> Column:
 
 
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds m, a struct of page measurements."""
+    """Adds m, a struct of page measurements. What concerns words is counted in the text by pattern, without an array of
+    them; lines and paragraphs are arrays."""
     d = df.withColumn("_t", T.text_of(text))
-    d = d.withColumn("_w", T.words(F.col("_t"))).withColumn("_l", T.lines_of(F.col("_t")))
+    d = d.withColumn("_l", T.lines_of(F.col("_t")))
     d = d.withColumn("_p", F.filter(F.transform(F.split("_t", r"\n{2,}"), T.strip), lambda x: x != ""))
-    n = F.size("_w")
+    d = d.withColumn("_n", F.regexp_count("_t", F.lit(f"{T.SOLID}+")))
+    whole = rf"(?<!{T.SOLID})({'|'.join(STOP_WORDS)})(?!{T.SOLID})"
+    n = F.col("_n")
     per_word = lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))
     lines = F.size("_l")
     per_line = lambda x: F.when(lines > 0, x / lines).otherwise(F.lit(0.0))
@@ -42,13 +45,13 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         "m",
         F.struct(
             n.cast("long").alias("n_words"),
-            per_word(_chars(F.col("_w"))).alias("mean_word"),
+            per_word(F.length(F.regexp_replace("_t", f"{T.WS}+", ""))).alias("mean_word"),
             per_word(F.regexp_count("_t", F.lit(r"#|\.\.\.|…"))).alias("symbol_ratio"),
             per_line(F.size(F.filter("_l", lambda x: F.instr(F.lit(BULLETS), F.substring(x, 1, 1)) > 0))).alias("bullet_ratio"),
             per_line(F.size(F.filter("_l", lambda x: x.rlike(r"(\.\.\.|…)$")))).alias("ellipsis_ratio"),
-            per_word(F.size(F.filter("_w", lambda x: x.rlike(r"\p{L}")))).alias("alpha_ratio"),
-            F.size(F.filter("_w", lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("stop_words"),
-            F.size(F.array_intersect("_w", F.array(*[F.lit(x) for x in STOP_WORDS]))).cast("long").alias("stop_distinct"),
+            per_word(F.regexp_count("_t", F.lit(rf"{T.SOLID}*?\p{{L}}{T.SOLID}*"))).alias("alpha_ratio"),
+            F.regexp_count(F.lower("_t"), F.lit(whole)).cast("long").alias("stop_words"),
+            F.size(F.array_distinct(F.regexp_extract_all("_t", F.lit(whole), 1))).cast("long").alias("stop_distinct"),
             _dup_share(F.col("_l")).alias("dup_line"),
             _dup_share(F.col("_p")).alias("dup_para"),
             F.when(chars > 0, (_chars(F.col("_l")) - _chars(_first_seen(F.col("_l")))) / chars).otherwise(F.lit(0.0)).alias("dup_line_chars"),
@@ -57,7 +60,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
             per_line(F.size(F.filter("_l", lambda x: F.length(x) <= 30))).alias("short_lines"),
             per_word(F.regexp_count("_t", F.lit("\n"))).alias("newline_ratio"),
         ),
-    ).drop("_t", "_w", "_l", "_p")
+    ).drop("_t", "_n", "_l", "_p")
 
 
 REFINEDWEB = [

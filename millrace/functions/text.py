@@ -1,11 +1,13 @@
-"""Text functions as Column expressions. White space is Unicode white space and the separators 0x1C to 0x1F."""
+"""Text functions as Column expressions. White space is Unicode white space and the separators 0x1C to 0x1F, spelt out
+as ranges, which the matcher looks up in a bit set."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+_SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS, SOLID = f"[{_SPACES}]", f"[^{_SPACES}]"
 #: Line ends of a universal line splitter.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 #: Residual markup in extracted text (fixed pattern).

@@ -36,14 +36,22 @@ def ngram_dedup(docs: DataFrame, n: int = 13, threshold: float = 0.8, id_col: st
 
 
 def stratified(df: DataFrame, by: str, rare: str, share: float, seed: str, key: str = "doc_id") -> DataFrame:
-    """All rows of the rare stratum, and of the others, in proportion, as many as make it `share` of the whole. Counts by
-    stratum are the only thing that is broadcast: one row a stratum."""
+    """All rows of the rare stratum, and of the others, in proportion, as many as make it `share` of the whole: those with
+    the smallest hashes.
+
+    Rows are counted by the first 16 bits of the hash. Whole classes are taken until the quota falls inside one, and
+    only that class is sorted, so no task sorts a stratum."""
     c = df.groupBy(by).agg(F.count("*").alias("n"))
-    t = c.agg(F.sum(F.when(F.col(by) == rare, F.col("n")).otherwise(0)).alias("r"), F.sum(F.when(F.col(by) == rare, 0).otherwise(F.col("n"))).alias("o"))
-    want = F.bround(F.col("r") * (1 - share) / share, 0)
-    q = c.join(F.broadcast(t)).select(by, F.when(F.col(by) == rare, F.col("n")).otherwise(F.least(F.col("n"), F.bround(want * F.col("n") / F.col("o"), 0))).alias("quota"))
-    w = Window.partitionBy(by).orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key)
-    return df.withColumn("_k", F.row_number().over(w)).join(F.broadcast(q), by).where("_k <= quota").select(key, by)
+    r, o = (c.agg(F.sum(F.when(F.col(by) == rare, x).otherwise(y))).scalar() for x, y in ((F.col("n"), F.lit(0)), (F.lit(0), F.col("n"))))
+    want = F.bround(r * (1 - share) / share, 0)
+    quotas = c.select(by, F.when(F.col(by) == rare, F.col("n")).otherwise(F.least(F.col("n"), F.bround(want * F.col("n") / o, 0))).alias("_quota"))
+    h = df.withColumn("_h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))).withColumn("_c", F.substring("_h", 1, 4))
+    classes = h.groupBy(by, "_c").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = classes.withColumn("_before", before).join(quotas, by).where("_before < _quota").select(by, "_c", (F.col("_quota") - F.col("_before")).alias("_left"), "_n")
+    rows = h.join(taken, [by, "_c"])
+    edge = rows.where("_n > _left").withColumn("_k", F.row_number().over(Window.partitionBy(by, "_c").orderBy("_h", key))).where("_k <= _left")
+    return rows.where("_n <= _left").select(key, by).unionByName(edge.select(key, by))
 
 
 def merge_intervals(df: DataFrame, key: str, a: str, b: str) -> DataFrame:

@@ -101,5 +101,5 @@ def manifest_merge(spark, sf_dir):
     d = _docs(spark, sf_dir).select("source", (F.size(T.words(T.text_of("text"))) + 1).alias("n"))
     s = d.groupBy("source").agg(F.floor(F.sum("n") / 2049).cast("long").alias("num_sequences"))
     m = records.merged_manifests(s.select((F.length("source") % 3).alias("part"), F.col("source").alias("shard"), "num_sequences"))
-    total = m.agg(F.sum("num_sequences").alias("total_sequences"))
-    return m.withColumn("num_tokens", F.col("num_sequences") * 2049).join(F.broadcast(total), how="cross")
+    total = m.agg(F.sum("num_sequences")).scalar()
+    return m.withColumn("num_tokens", F.col("num_sequences") * 2049).withColumn("total_sequences", total)

@@ -40,8 +40,8 @@ def rescue_breakdown(spark, sf_dir):
     j = e.join(table(spark, sf_dir, "labels"), "doc_id").join(_docs(spark, sf_dir).select("doc_id", edu), "doc_id").where("tag = '<rewrite>'")
     band = F.when(F.col("edu").isNull(), "missing").when(F.col("edu") < 0.5, "below 0.5").when(F.col("edu") < 1.0, "0.5 to 1.0").otherwise("1.0 and up")
     per = j.groupBy(band.alias("band")).agg(F.count_if(F.col("quality") == 0).alias("rewritten"), F.count("*").alias("_n"))
-    total = per.agg(F.sum("_n").alias("rewrites_total"))
-    return per.where("rewritten > 0").join(F.broadcast(total), how="cross").drop("_n")
+    total = per.agg(F.sum("_n")).scalar()
+    return per.where("rewritten > 0").withColumn("rewrites_total", total).drop("_n")
 
 
 @query("system_statuses", "with d as (select doc_id, case when doc_id % 9 = 0 then '  ' else text end as t, doc_id % 5 <> 1 as found, case when doc_id % 4 = 0 then chr(10) when doc_id % 4 = 1 then null else text end as cleaned, doc_id % 6 = 0 as failed from documents), s as (select case when trim(coalesce(t, ''), E' \\t\\r\\n') = '' then 'no_input' when not found then 'not_found' when trim(coalesce(cleaned, ''), E' \\t\\r\\n') = '' then 'deleted' else 'kept' end as status, failed from d) select status, count(*) as n, count_if(failed and status in ('kept', 'deleted'))::bigint as failed_programs from s group by 1")

@@ -119,10 +119,9 @@ def top_documents(spark, sf_dir):
 @query("tag_frequency_prompt", "with c as (select lang, count(*) as n, sum(count(*)) over () as total from documents group by 1) select string_agg(lang || ' ' || case when 100.0 * n / total >= 1 then cast(cast(round_even(100.0 * n / total, 0) as int) as varchar) else cast(round_even(100.0 * n / total, 1) as varchar) end || '%', ', ' order by lang) as line from c")
 def tag_frequency_prompt(spark, sf_dir):
     c = _docs(spark, sf_dir).groupBy("lang").count()
-    t = c.agg(F.sum("count").alias("total"))
-    p = 100.0 * F.col("count") / F.col("total")
+    p = 100.0 * F.col("count") / c.agg(F.sum("count")).scalar()
     s = F.concat("lang", F.lit(" "), F.when(p >= 1, F.bround(p, 0).cast("int").cast("string")).otherwise(F.bround(p, 1).cast("string")), F.lit("%"))
-    return c.join(F.broadcast(t)).select(s.alias("s")).agg(F.array_join(F.array_sort(F.collect_list("s")), ", ").alias("line"))
+    return c.select(s.alias("s")).agg(F.array_join(F.array_sort(F.collect_list("s")), ", ").alias("line"))
 
 
 @query("interval_merge", r"""with e as (select user_id, floor(epoch(ts) / 60)::bigint as a, floor(epoch(ts) / 60)::bigint + event_id % 50 as b from events), m as (select *, max(b) over (partition by user_id order by a, b rows between unbounded preceding and 1 preceding) as prev from e),

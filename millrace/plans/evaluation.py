@@ -71,11 +71,11 @@ def log_length_density(spark, sf_dir):
     grid multiplies distinct lengths and not documents."""
     x = _docs(spark, sf_dir).where("n_chars > 0").groupBy("n_chars").agg(F.count("*").alias("c")).withColumn("x", F.ln("n_chars"))
     n, m, q = F.sum("c"), F.sum(F.col("c") * F.col("x")), F.sum(F.col("c") * F.col("x") * F.col("x"))
-    s = x.agg(n.alias("n"), (F.sqrt((q - m * m / n) / (n - 1)) * F.pow(n.cast("double"), F.lit(-0.2))).alias("h"))
+    s = x.agg(F.struct(n.alias("n"), (F.sqrt((q - m * m / n) / (n - 1)) * F.pow(n.cast("double"), F.lit(-0.2))).alias("h"))).scalar()
     grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: (4 + i * 0.5).cast("double")))
-    j = x.select("x", "c", grid.alias("point")).join(F.broadcast(s))
-    k = F.sum(F.col("c") * F.exp(-0.5 * F.pow((F.col("point") - F.col("x")) / F.col("h"), F.lit(2.0))))
-    return j.groupBy("point").agg((k / (F.max("n") * F.max("h") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
+    j = x.select("x", "c", grid.alias("point"), s.alias("s"))
+    k = F.sum(F.col("c") * F.exp(-0.5 * F.pow((F.col("point") - F.col("x")) / F.col("s.h"), F.lit(2.0))))
+    return j.groupBy("point").agg((k / (F.max("s.n") * F.max("s.h") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
 
 
 @query("chunk_merge_parity", "with a as (select source, lang, count(*) as n from documents where doc_id % 2 = 0 group by 1, 2), b as (select source, lang, count(*) as n from documents where doc_id % 2 = 1 group by 1, 2) select coalesce(a.source, b.source) as source, count(*) as n_tasks, count_if(a.n is not null and b.n is not null)::bigint as in_both, sum(coalesce(a.n, 0) + coalesce(b.n, 0))::bigint as total from a full join b on a.source = b.source and a.lang = b.lang group by 1")

@@ -40,11 +40,11 @@ def fidelity_by_length_quartile(spark, sf_dir):
     """Equal-count quartiles by length. The global rank is a rank inside length groups plus a running count over the
     distinct lengths, so no task ever sorts all pages."""
     o = M.overlap(_pairs(spark, sf_dir), "doc_id", "sys", "ref")
-    n = o.agg(F.count("*").alias("n"))
+    n = o.agg(F.count("*")).scalar()
     lengths = o.groupBy("n_ref").agg(F.count("*").alias("c"))
     before = F.coalesce(F.sum("c").over(Window.orderBy("n_ref").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rank = o.withColumn("k", F.row_number().over(Window.partitionBy("n_ref").orderBy("doc_id"))).join(lengths.select("n_ref", before.alias("b")), "n_ref")
-    q = rank.join(F.broadcast(n)).withColumn("quartile", F.floor((4 * (F.col("b") + F.col("k") - 1) + 3) / F.col("n")))
+    q = rank.withColumn("n", n).withColumn("quartile", F.floor((4 * (F.col("b") + F.col("k") - 1) + 3) / F.col("n")))
     return q.groupBy("quartile").agg(F.count("*").alias("n_pages"), F.min("n_ref").alias("shortest"), F.max("n_ref").alias("longest"), (F.sum("n_both") / F.sum("n_ref")).alias("recall"))
 
 
