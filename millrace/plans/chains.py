@@ -11,18 +11,24 @@ from millrace.functions.repetition import repetition_shares
 from millrace.plans.rules import SQL_M, SQL_RW
 from millrace.sources.tables import table
 
-#: Word n-grams that repeat, from 2 to 10 words: which pages exceed a limit of the repetition rule, written out.
-SQL_GRAMS = r"""
-n as (select unnest(range(2, 11)) as n),
-gi as (select doc_id, n.n, w, unnest(range(1, len(w) - n.n + 2)) as i from m, n where len(w) >= n.n),
-gg as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as g from gi),
-gc as (select doc_id, n, g, count(*) as c from gg group by 1, 2, 3 having count(*) > 1),
-top as (select doc_id, n, max({'c': c, 'k': length(g)}) as t from gc where n <= 4 group by 1, 2),
-pos as (select distinct gg.doc_id, gg.n, gg.i + j as p from gg join gc on gg.doc_id = gc.doc_id and gg.n = gc.n and gg.g = gc.g, range(10) r(j) where gg.n >= 5 and j < gg.n),
-cov as (select pos.doc_id, pos.n, sum(length(m.w[pos.p])) as k from pos join m on pos.doc_id = m.doc_id group by 1, 2),
+#: Word n-grams that repeat, from 2 to 10 words, each size from the one before it, as only repeated ones can repeat
+#: when they grow: which pages exceed a limit of the repetition rule, written out.
+SQL_GRAMS = (
+    """wd as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from m),
+p1 as (select doc_id, p as i, x as g from wd),
+"""
+    + "\n".join(
+        f"""p{n} as (select p{n - 1}.doc_id, i, g || ' ' || x as g, count(*) over (partition by p{n - 1}.doc_id, g || ' ' || x) as c from p{n - 1} join wd on wd.doc_id = p{n - 1}.doc_id and wd.p = i + {n - 1} qualify c > 1),"""
+        for n in range(2, 11)
+    )
+    + """
+top as (select doc_id, n, max({'c': c, 'k': length(g)}) as t from (select 2 as n, * from p2 union all select 3, * from p3 union all select 4, * from p4) group by 1, 2),
+pos as (select distinct doc_id, n, i + j as p from (select 5 as n, * from p5 union all select 6, * from p6 union all select 7, * from p7 union all select 8, * from p8 union all select 9, * from p9 union all select 10, * from p10), range(10) r(j) where j < n),
+cov as (select pos.doc_id, n, sum(length(x)) as k from pos join wd on pos.doc_id = wd.doc_id and pos.p = wd.p group by 1, 2),
 over_top as (select distinct top.doc_id from top join m on top.doc_id = m.doc_id where top.t.c * top.t.k / length(m.t) > case n when 2 then 0.2 when 3 then 0.18 else 0.16 end),
 over_cov as (select distinct cov.doc_id from cov join m on cov.doc_id = m.doc_id where k / length(array_to_string(m.w, '')) > case n when 5 then 0.15 when 6 then 0.14 when 7 then 0.13 when 8 then 0.12 when 9 then 0.11 else 0.10 end)
 """
+)
 SQL_LEFT = rf"""
 mods as (select doc_id, list_filter(list_transform(list_filter(l, lambda x: length(regexp_replace(x, '[^A-Z]', '', 'g')) <= 0.5 * length(x) and length(regexp_replace(x, '[^0-9]', '', 'g')) <= 0.999999 * length(regexp_replace(x, '\s', '', 'g'))
   and not regexp_matches(x, '{R.COUNTER}') and len(list_filter(string_split_regex(x, '\s+'), lambda y: y <> '')) >= 2),
