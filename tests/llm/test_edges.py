@@ -553,3 +553,50 @@ def test_long_texts_of_one_word_and_of_no_spaces(tok):
         assert time.process_time() - began < 60
     held = sum(len(k) + len(v) for c in (encoder.cache, codec.cache, codec.words) for k, v in c.items())
     assert held < 1 << 20 and max(map(len, [*encoder.cache, *codec.words])) <= 128
+
+
+def test_phrases_come_from_the_automata(monkeypatch):
+    """Occurrences are found by the automata alone, by words, at any white space, several automata or one."""
+    passage = " ".join(f"w{i}" for i in range(25)).encode()
+    short = b"one two three four five six seven"
+    texts = [b"x y " + passage.replace(b" ", b"\n ") + b" z", b"", b"w0 w1 w2", short + b" " + short, passage + b" " + passage]
+    known = [(passage, 3), (short, 1), (passage + b" tail", 9)]
+    want = [[(2, 25, 3)], [], [], [(0, 7, 1), (7, 7, 1)], [(0, 25, 3), (25, 25, 3)]]
+    for letters in (1_000_000, 1):
+        monkeypatch.setattr(phrases, "LETTERS", letters)
+        found = phrases.occurrences(known, texts)
+        assert [sorted(x[:3] for x in f) for f in found] == want
+    assert phrases.removals(3, found[4]) == [(25, 25)] and phrases.removals(4, found[4]) == [(0, 25), (25, 25)] and phrases.removals(2, found[4]) == []
+    monkeypatch.setattr(phrases, "automata", lambda passages: iter(()))
+    assert phrases.occurrences(known, texts) == [[]] * 5
+
+
+def test_phrases_across_shards(spark, monkeypatch):
+    """Passages from the documents of one shard are removed in others, and only through the automata."""
+    monkeypatch.setattr(phrases.shards, "ROWS_BITS", 0)
+    texts = {i: " ".join(f"s{i % 4}w{k}" for k in range(60)) + f" own{i}" for i in range(12)}
+    df = table(spark, list(texts.items()))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in phrases.without_repeats(df).collect()}
+    assert got == phrases_brute(texts) and sum(v[1] for v in got.values()) >= 8 * 60
+    monkeypatch.setattr(phrases.shards.Companion, "frame", lambda self, spark, real=phrases.shards.Companion.frame: real(self, spark).limit(0))
+    without = {r.doc_id: r.n_removed for r in phrases.without_repeats(df).collect()}
+    assert sum(without.values()) < sum(v[1] for v in got.values())
+
+
+def test_packing_exchanges_by_the_bound(spark, monkeypatch):
+    """Partitions with differing surpluses exchange until the bound is met; if the bound were met at once, they would not."""
+    monkeypatch.setattr(packing, "PART", 500)
+    rows = spark.range(4000).selectExpr("id doc_id", "0 piece", "0L start", "if(id % 2 = 0, 600L, 424L) length", "id ids_crc32")
+    count = lambda: packing.pack(rows).select("sequence_id").distinct().count()
+    assert count() == 2000
+    monkeypatch.setattr(packing, "lower_bound", lambda histogram, capacity: 10**9)
+    assert count() > 2000
+
+
+def test_packing_deals_equal_rows_apart(spark, monkeypatch):
+    """Rows that are equal in all columns are dealt by their row numbers."""
+    monkeypatch.setattr(packing, "PART", 100)
+    rows = spark.range(1000).selectExpr("cast(null as bigint) doc_id", "0 piece", "0L start", "1L length", "5L ids_crc32")
+    packed = packing.pack(rows)
+    assert packed.count() == 1000 and packed.select("sequence_id").distinct().count() <= 10
+    assert packed.select("sequence_id", "offset").distinct().count() == 1000
