@@ -58,8 +58,9 @@ def prox_execute(spark, sf_dir):
 
 @query("bfd_pack")
 def bfd_pack(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    packed = fitting.pack(d, "source", "doc_id", "n_chars", 32768)
+    shard = F.concat_ws("-", "source", F.floor(F.col("doc_id") / 2048).cast("string")).alias("shard")  # bounded, as files are
+    d = table(spark, sf_dir, "documents").select(shard, "doc_id", "n_chars")
+    packed = fitting.pack(d, "shard", "doc_id", "n_chars", 32768)
     return packed.groupBy("shard").agg(F.count_distinct("bin").alias("bins"), F.count("*").alias("n"), F.sum("length").alias("total"))
 
 
@@ -84,6 +85,21 @@ def accounting_hours(spark, sf_dir):
     return e.groupBy(F.col("State").alias("state")).agg(F.sum("gpu_hours").alias("gpu_hours"), F.count("*").alias("n"), F.count_if(F.col("gpus") == 0).alias("without_gpus"))
 
 
+@query("length_batches", "with d as (select doc_id, n_chars from documents where n_chars is not null), o as (select *, row_number() over (order by n_chars, doc_id) - 1 as k, sum(n_chars) over (order by n_chars, doc_id) - n_chars as before from d) select k // 50 as rows_batch, (before // 200000)::bigint as size_batch, count(*) as n, sum(n_chars)::bigint as chars, max(n_chars) as longest from o group by 1, 2")
+def length_batches(spark, sf_dir):
+    """Batches of rows of like length, for a model's input."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars").where("n_chars is not null")
+    b = fitting.length_batches(d, "doc_id", "n_chars", 50, 200_000)
+    return b.groupBy(F.col("batch.rows").alias("rows_batch"), F.col("batch.total").alias("size_batch")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest"))
+
+
+@query("shard_schedule")
+def shard_schedule(spark, sf_dir):
+    """Shards to four workers, the largest first."""
+    s = table(spark, sf_dir, "documents").groupBy("source").agg(F.sum("n_chars").alias("size"))
+    return fitting.scheduled(s, "source", "size", 4)
+
+
 @query("annotated_lines")
 def annotated_lines(spark, sf_dir):
     """Lines of rendered pages with the labels of the smallest blocks that hold them."""

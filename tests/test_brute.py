@@ -122,7 +122,7 @@ def test_bfd_pack(spark, docs):
     by = collections.defaultdict(list)
     for r in docs.values():
         if r.n_chars and 0 < r.n_chars <= 32768:
-            by[r.source].append(r.n_chars)
+            by[f"{r.source}-{r.doc_id // 2048}"].append(r.n_chars)
     for source, sizes in by.items():
         rooms = []
         for n in sorted(sizes, reverse=True):
@@ -135,6 +135,16 @@ def test_bfd_pack(spark, docs):
         assert got[source] == (len(rooms), len(sizes), sum(sizes))
 
 
+def test_shard_schedule(spark, docs):
+    sizes, load, want = collections.Counter(), [0] * 4, {}
+    for r in docs.values():
+        sizes[r.source] += r.n_chars or 0
+    for name, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        want[name] = load.index(min(load))
+        load[want[name]] += size
+    assert {r.name: r.worker for r in catalog.QUERIES["shard_schedule"](spark, SF).collect()} == want
+
+
 def test_derived_programs(spark, docs):
     r = catalog.QUERIES["make_ops_roundtrip"](spark, SF).first()
     assert r.n == len(docs) and r.n_exact == r.n_same >= 0.99 * r.n
