@@ -145,3 +145,18 @@ def candidate_scores(spark, sf_dir):
     d = _docs(spark, sf_dir).select("doc_id", "n_chars", F.size(T.words(T.text_of("text"))).alias("words"), F.size(T.lines_of(T.text_of("text"))).alias("lines"), (0.9 + F.col("n_chars") % 100 / F.lit(1000.0)).alias("faith"), (F.col("n_chars") % 300 / F.lit(100.0)).alias("edu"))
     j = d.join(table(spark, sf_dir, "labels"), "doc_id")
     return j.select("doc_id", M.candidate_score("faith", "edu", "n_chars").alias("score"), M.worth_showing("faith", "n_chars", "words", "lines").alias("ok"), "quality", "toxic").where("ok and quality = 1 and toxic = 0").select("doc_id", "score")
+
+
+@query("template_scores", r"""with t(template, every, part) as (values ('plain', 2, 2), ('system', 1, 3), ('chat', 4, 1)), d as (select template, every, part, doc_id, coalesce(text, '') as text from documents, t),
+r as (select template, doc_id % every = 0 as has, text, case part when 1 then '' when 2 then substr(text, 1, length(text) // 2) else text end as l from d),
+w as (select template, has, trim(l, E' \t\r\n') <> '' as has_left, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) as n, len(list_filter(string_split_regex(l, '\s+'), lambda x: x <> '')) as k from r),
+g as (select template, count_if(has) / count(*) as ops, count_if(has_left) / count(*) as kept, coalesce(sum(k) filter (where has_left), 0) / greatest(1, coalesce(sum(n) filter (where has_left), 0)) as words from w group by 1)
+select *, ops >= 0.5 and kept >= 0.5 and words between 0.30 and 0.999 as ok from g""")
+def template_scores(spark, sf_dir):
+    """Three prompt templates and what came of them: every second page gets calls and half of it stays; every page gets
+    calls that change nothing; every fourth page gets calls and nothing stays."""
+    rows = F.array(*[F.struct(F.lit(n).alias("template"), F.lit(e).alias("every"), F.lit(p).alias("part")) for n, e, p in (("plain", 2, 2), ("system", 1, 3), ("chat", 4, 1))])
+    d = _docs(spark, sf_dir).select("doc_id", T.text_of("text").alias("text"), F.explode(rows).alias("t")).select("doc_id", "text", "t.*")
+    program = F.when(F.col("doc_id") % F.col("every") == 0, F.lit("x\n remove_lines(start=0, end=1)")).otherwise(F.lit("nothing"))
+    left = F.when(F.col("part") == 1, F.lit("")).when(F.col("part") == 2, F.expr("substring(text, 1, length(text) div 2)")).otherwise(F.col("text"))
+    return records.template_scores(d.select("template", "text", program.alias("program"), left.alias("left")), "template", "text", "program", "left")

@@ -151,3 +151,9 @@ def test_first_texts_in_a_stream(spark, tmp_path):
     q = s.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_best_template(spark):
+    s = spark.createDataFrame([("a", 0.6, True), ("b", 0.9, True), ("c", 1.0, False), ("aa", 0.9, True)], "t string, ops double, ok boolean")
+    assert [r.t for r in records.best_template(s, "t").collect()] == ["aa"]
+    assert records.best_template(s.where("not ok"), "t").count() == 0
