@@ -53,7 +53,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def kept() -> DataFrame:
         gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
-        return docs.join(gone.distinct(), "doc_id", "left_anti").select(*COLUMNS)
+        # the ids grow with the corpus: a plan that holds at every size, not a broadcast while they are few
+        return docs.join(gone.distinct().hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
 
     return _noted(spark, docs, kept)
 
