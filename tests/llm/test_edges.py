@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from millrace.llm import ann, chat, minhash, packing, phrases, quality, suffix, token_store, trie_bpe, warc
+from millrace.llm import anchors, ann, chat, minhash, packing, phrases, quality, suffix, token_store, trie_bpe, warc
 from millrace.llm import store
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -405,6 +405,22 @@ def test_suffix_random(spark, monkeypatch, hot):
     assert got == suffix_brute(texts)
 
 
+@pytest.mark.parametrize("units, width, gram, fold", [(suffix.byte_units, 50, suffix.GRAM, False), (phrases.word_units, 20, phrases.GRAM, True)])
+def test_buckets_of_anchors_are_even(units, width, gram, fold):
+    """Anchors are least hashes, but no bucket takes many times the segments of another."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(40_000)) for _ in range(2)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(texts), pa.array([0, 0])], names=["id", "text", "shard"])
+    n = np.zeros(16, int)
+    for sent in anchors._sent(units, width, gram, len(n), fold)([batch]):
+        n[sent.column("bucket").to_numpy()] += sent.column("n").to_numpy()
+    assert n.sum() > 1000 and n.max() < 1.5 * n.mean()
+
+
 @pytest.mark.parametrize("few", [0, 512])
 def test_suffix_array_and_plcp(monkeypatch, few):
     import random
