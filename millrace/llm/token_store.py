@@ -41,7 +41,7 @@ def _gear():
     x = np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    return (x ^ (x >> np.uint64(32))).astype(np.uint32)  # a cut is told by bits below 32, and carries go up only
 
 
 def cut_points(ids, bounds, gear) -> list[list[int]]:
@@ -53,12 +53,13 @@ def cut_points(ids, bounds, gear) -> list[list[int]]:
     """
     import numpy as np
 
-    h = gear[ids & np.uint32(0xFFFF)] + (ids >> np.uint32(16)).astype(np.uint64)
+    h = gear.take(ids & np.uint32(0xFFFF))
+    h += ids >> np.uint32(16)
     step = 1
     while step < WINDOW:
-        h[step:] = h[step:] + (h[:-step] << np.uint64(step))
+        h[step:] += h[:-step] << np.uint32(step)
         step *= 2
-    marks = np.flatnonzero((h >> np.uint64(20)) & np.uint64(MEAN - 1) == 0) + 1
+    marks = np.flatnonzero(h & np.uint32(MEAN - 1 << 20) == 0) + 1
     out = []
     spans = np.searchsorted(marks, bounds)
     for k in range(len(bounds) - 1):
@@ -107,6 +108,11 @@ def _widen(data: bytes) -> bytes:
     return np.frombuffer(data, dtype="<u2", offset=1).astype("<u4").tobytes() if data[:1] == b"\x02" else data[1:]
 
 
+def _values(column) -> list:
+    """What to_pylist() gives for a column without nulls, several times as fast."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _split(encoder_path: str, end_id: int, packs: int):
     def run(batches):
         import numpy as np
@@ -195,7 +201,9 @@ def _write(root: str, packs: int):
             out.append((kind, name, part if part < packs else part - packs, len(names), ids, file.size, file.commit(), merkle(names).hex(), first, final))
 
         for batch in batches:
-            for p, order, doc_id, digest, n, body in zip(*[c.to_pylist() for c in batch.columns]):
+            part_of, _, doc_id_of, *others = batch.columns
+            doc_ids = doc_id_of.to_pylist() if doc_id_of.null_count < len(doc_id_of) else [None] * len(doc_id_of)
+            for p, doc_id, digest, n, body in zip(_values(part_of), doc_ids, *map(_values, others)):
                 if p != part:
                     close()
                     part, last, names, ids, first, final = p, None, [], 0, None, None
@@ -226,7 +234,7 @@ def _write(root: str, packs: int):
 def write_store(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, docs_per_recipe_file: int = 1_000_000) -> DataFrame:
     """Encodes `docs` into a store below `root` and returns its manifest."""
     spark = docs.sparkSession
-    store.arrow_rows(spark, 512)
+    store.arrow_rows(spark, 1024)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     packs = store.partitions(spark)
     n = base.count()

@@ -141,6 +141,39 @@ def test_trie_bpe_random(tok):
     assert Encoder(public_tokenizers.path("byte_bpe_50k.json")).encode(texts) == want
 
 
+def test_distinct_pieces_are_looked_up_once(tok, monkeypatch):
+    """Op 1, round 2: repeated pieces of a group of texts cost one look-up and one encoding; words go to the model unsplit
+    between marks, with the library's ids, whatever letters and closing punctuation stand together."""
+    import public_tokenizers
+
+    from millrace.llm.tokens import Encoder
+
+    texts = ["über dem Fluß, the river (el río!) the river", "the river. über dem Fluß, no?! no", "", "à l'été; naïve###\nthe river"] * 30
+    texts += [f"w{'abcdefghij'[k % 10]}ä{'xyzuvß'[k % 6]}{'' if k % 3 else '...'} the river" for k in range(300)]
+    want = [ids_of(tok, t).tobytes() for t in texts]
+    asked, taught, looked_up, words = [], [], Encoder._looked_up, Encoder._words
+    monkeypatch.setattr(Encoder, "_looked_up", lambda self, pieces: asked.append(list(pieces)) or looked_up(self, pieces))
+    monkeypatch.setattr(Encoder, "_words", lambda self, new, before: taught.extend((before, p) for p in new) or words(self, new, before))
+    encoder = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert encoder.encode(texts) == want
+    assert asked and all(len(x) == len(set(x)) for x in asked) and taught and len(taught) == len(set(taught))
+    assert len(encoder.marks) == 2
+    other = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    other.marks = []  # as for a vocabulary without control characters that stand alone
+    assert other.encode(texts) == want
+
+
+def test_white_space_before_special_tokens(tok):
+    import public_tokenizers
+
+    from millrace.llm.tokens import Encoder
+
+    texts = ["a \n\n<|endoftext|>b", "  <|endoftext|>", "x  <|endoftext|>  y\n", "\n\n\n<|endoftext|>\n\n"]
+    want = [ids_of(tok, t).tobytes() for t in texts]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert Encoder(path).encode(texts) == want and trie_bpe.Codec(path).encode(texts) == want
+
+
 def test_warc(spark):
     pages = {1: ("http://a/x y\n", "<p>a</p>"), 2: (None, "<p>a</p>"), 3: ("u", None), 4: ("v", ""), 5: ("w", "ü" * 3000)}
     df = table(spark, [(i, u, h) for i, (u, h) in pages.items()] + [(None, "n", "<p>a</p>"), (2, None, "<p>a</p>")], "page_id long, url string, html string")
