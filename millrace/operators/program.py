@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import collapse, lines_of, strip, text_of
+from millrace.functions.text import collapse, lines_of, settled, strip, text_of
 
 OP = r"^(rm \d+(-\d+)?|sub \d+: [^\n]*)$"
 TAGS = {"<keep>": "<extract>", "<edit>": "<refine>", "<delete>": "<delete>", "<rewrite>": "<rewrite>"}
@@ -50,14 +50,15 @@ def _drop_first(line: Column, s: Column) -> Column:
     return F.when((s == "") | (at == 0), line).otherwise(F.concat(F.substring(line, F.lit(1), at - 1), F.substring(line, at + F.length(s), F.length(line))))
 
 
-def apply_ops(src: Column, ranges: Column, subs: Column) -> Column:
-    """Lines of `src` after the operations, joined by line feeds; empty lines go."""
+def apply_ops(src: Column, ranges: Column, subs: Column, plain: Column) -> Column:
+    """Lines of `src` after the operations, joined by line feeds; empty lines go. `plain` has the lines collapsed: what
+    those that lose no string become."""
 
     def edited(x, i):
         mine = F.filter(subs, lambda s: s.getField("line") == i + 1)
         cut = F.aggregate(mine, x, lambda acc, s: _drop_first(acc, s.getField("s")))
         gone = F.exists(ranges, lambda r: (i + 1 >= r.getField("a")) & (i + 1 <= r.getField("b")))
-        return F.when(gone, F.lit("")).otherwise(collapse(cut))
+        return F.when(gone, F.lit("")).when(F.size(mine) == 0, F.get(plain, i)).otherwise(collapse(cut))
 
     return F.array_join(F.filter(F.transform(src, edited), lambda x: x != ""), "\n")
 
@@ -92,8 +93,10 @@ def execute(df: DataFrame, page: str = "page", program: str = "program", decisio
     d = d.withColumn("_r2", F.when(F.col("_is_ops"), _ranges(F.col("_body"))).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>")))
     d = d.withColumn("_s2", F.when(F.col("_is_ops"), _subs(F.col("_body"))).otherwise(F.array().cast("array<struct<line:bigint,s:string>>")))
     r1, s1 = (F.array().cast("array<struct<a:bigint,b:bigint>>"), F.array().cast("array<struct<line:bigint,s:string>>")) if drop_extract else (F.col("_r1"), F.col("_s1"))
-    d = d.withColumn("extracted", apply_ops(F.col("_src"), r1, s1))
-    d = d.withColumn("_edited", apply_ops(F.col("_src"), F.concat(r1, "_r2"), F.concat(s1, "_s2")))
+    d = d.withColumn("_plain", F.transform("_src", collapse))
+    d = d.withColumn("extracted", apply_ops(F.col("_src"), r1, s1, F.col("_plain")))
+    edited = F.when(F.size("_r2") + F.size("_s2") == 0, F.col("extracted")).otherwise(apply_ops(F.col("_src"), F.concat(r1, "_r2"), F.concat(s1, "_s2"), F.col("_plain")))
+    d = d.withColumn("_edited", edited)
     literal = strip(F.array_join("_rest", "\n"))
     act = F.col("_act")
     d = d.withColumn("tag", F.when(act == "<keep>", F.lit("<extract>")).when(act == "<edit>", F.lit("<refine>")).otherwise(act))
@@ -104,8 +107,8 @@ def execute(df: DataFrame, page: str = "page", program: str = "program", decisio
     kind = F.when(F.size("_body") == 0, F.lit("edit: empty payload")).when(~F.col("_is_ops"), F.lit("edit: full-text fallback")).when(n_sub == 0, F.lit("edit: lines only")).when(n_sub == F.size("_body"), F.lit("edit: strings only")).otherwise(F.lit("edit: lines + strings"))
     kind = F.when((F.size("_body") > 0) & (collapse(F.col("final")) == collapse(F.col("extracted"))), F.lit("edit, no effective change")).otherwise(kind)
     d = d.withColumn("op_class", F.when(F.col("_decision").isNull(), F.lit("omitted")).when(act == "<edit>", kind).otherwise(F.regexp_replace(act, "[<>]", "")))
-    keep = [c for c in d.columns if not c.startswith("_")]
-    return d.select(*keep)
+    made = {"tag", "final", "extracted", "op_class", "parse_fail"}
+    return d.select(*[settled(F.col(c)).alias(c) if c in made else c for c in d.columns if not c.startswith("_")])
 
 
 def emitted(tag: Column, final: Column) -> Column:

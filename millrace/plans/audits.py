@@ -26,8 +26,10 @@ def reexecution_audit(spark, sf_dir):
     e = P.execute(programs(spark, sf_dir)).select("doc_id", "tag", "final", "extracted")
     k = F.col("doc_id")
     a = e.select("doc_id", F.when(k % 13 == 0, F.lit("<delete>")).otherwise(F.col("tag")).alias("r_tag"), F.when(k % 7 == 0, F.lit("stale")).otherwise(F.concat(F.lit("  "), F.replace("final", F.lit(" "), F.lit("  ")))).alias("r_final"), F.when(k % 17 != 0, F.col("extracted")).alias("r_extracted"))
-    j = e.join(a, "doc_id")
-    same = lambda x, y: T.collapse(F.col(x)) == T.collapse(F.col(y))
+    # texts meet as digests
+    digest = lambda c: F.md5(T.collapse(F.col(c))).alias(c)
+    j = e.select("doc_id", "tag", digest("final"), digest("extracted")).join(a.select("doc_id", "r_tag", digest("r_final"), digest("r_extracted")), "doc_id")
+    same = lambda x, y: F.col(x) == F.col(y)
     return j.agg(F.count("*").alias("n"), F.count_if(F.col("tag") == F.col("r_tag")).alias("tag_same"), F.count_if(same("final", "r_final")).alias("final_same"), F.count_if(F.col("r_extracted").isNull() | same("extracted", "r_extracted")).alias("extracted_same"))
 
 
