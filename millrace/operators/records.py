@@ -68,7 +68,7 @@ def template_scores(df: DataFrame, template: str, text: str, program: str, left:
     was trained on gives calls for most pages, blanks few and keeps a sane share of words (limits are fixed values)."""
     has = F.exists(F.split(F.coalesce(F.col(program), F.lit("")), "\n"), lambda x: T.strip(x).rlike(rf"\A(?:{'|'.join(calls)})"))
     some = T.strip(F.coalesce(F.col(left), F.lit(""))) != ""
-    n = lambda c: F.size(T.words(F.coalesce(F.col(c), F.lit(""))))
+    n = lambda c: T.n_words(F.coalesce(F.col(c), F.lit("")))
     g = df.groupBy(template).agg((F.count_if(has) / F.count("*")).alias("ops"), (F.count_if(some) / F.count("*")).alias("kept"), (F.coalesce(F.sum(F.when(some, n(left))), F.lit(0)) / F.greatest(F.lit(1), F.coalesce(F.sum(F.when(some, n(text))), F.lit(0)))).alias("words"))
     return g.withColumn("ok", (F.col("ops") >= 0.5) & (F.col("kept") >= 0.5) & F.col("words").between(0.30, 0.999))
 
