@@ -64,14 +64,14 @@ g as (select source, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '
 f as (select g, min(source) as source from g group by g), n as (select source, count(*) as fresh from f group by 1), o as (select source, count(*) as occurrences, count(distinct g) as distinct_in_source from g group by 1)
 select o.source, occurrences, distinct_in_source, sum(coalesce(fresh, 0)) over (order by o.source)::bigint as cumulative_distinct from o left join n using (source)""")
 def ngram_diversity_cumulative(spark, sf_dir):
-    """Distinct 2-grams by source, and how many are known after each source: a first-seen minimum, then one running sum
-    over as many rows as there are sources."""
-    g = D.grams(_docs(spark, sf_dir).select("source", "text"), ["source"], 2)
-    per = g.groupBy("source", "g").agg(F.count("*").alias("n"))
-    occ = per.groupBy("source").agg(F.sum("n").alias("occurrences"), F.count("*").alias("distinct_in_source"))
-    fresh = per.groupBy("g").agg(F.min("source").alias("source")).groupBy("source").agg(F.count("*").alias("fresh"))
-    j = occ.join(fresh, "source", "left")
-    return j.select("source", "occurrences", "distinct_in_source", F.sum(F.coalesce("fresh", F.lit(0))).over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, 0)).alias("cumulative_distinct"))
+    """Distinct 2-grams by source, and how many are known after each source: a 2-gram's sources in order, then one
+    running sum over as many rows as there are sources. Texts are read, and 2-grams shuffled, once."""
+    per = D.gram_counts(_docs(spark, sf_dir).select("source", "text"), "source", 2)
+    w = Window.partitionBy("g").orderBy(F.asc_nulls_last("source"))
+    first = F.row_number().over(w) == 1
+    per = per.withColumns({"first": first & F.col("source").isNotNull(), "new": first | ~F.col("source").eqNullSafe(F.lag("source").over(w))})
+    j = per.groupBy("source").agg(F.sum("n").alias("occurrences"), F.count_if("new").alias("distinct_in_source"), F.count_if("first").alias("fresh"))
+    return j.select("source", "occurrences", "distinct_in_source", F.sum("fresh").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, 0)).alias("cumulative_distinct"))
 
 
 @query("source_overlap", "select source from documents where lang = 'en' intersect select source from documents where lang = 'de'")

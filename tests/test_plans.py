@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace import catalog
 from millrace.functions import repetition, rules
 from millrace.functions import text as T
+from millrace.operators import dedup
 
 SF = "/root/testdata/sf0.001"
 SPACES = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -48,6 +49,32 @@ def test_few_rows_go_to_python_at_a_time(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
 
 
+@pytest.mark.parametrize("name, step", [("ngram13_dedup", "_grams("), ("ngram_diversity_cumulative", "MapInArrow")])
+def test_grams_are_made_once(spark, name, step):
+    assert optimized(spark, name).count(step) == 1
+
+
+def test_gram_counts_in_parts(spark):
+    d = spark.createDataFrame([("a", "x y X y"), ("b", None), (None, "x y"), ("a", "x y"), ("b", "z")], "source string, text string").coalesce(1)
+    got = sorted((str(r.source), r.n) for r in dedup.gram_counts(d, "source", 2, together=2).collect())
+    assert got == [("None", 1), ("a", 1), ("a", 3)]
+
+
+def test_diversity_of_shared_grams(spark, tmp_path):
+    rows = [(1, "b", "x y z"), (2, "a", "x y"), (3, "b", "X Y"), (4, "c", None), (5, None, "x y"), (6, None, "q r")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.source: (r.occurrences, r.distinct_in_source, r.cumulative_distinct) for r in catalog.QUERIES["ngram_diversity_cumulative"](spark, str(tmp_path)).collect()}
+    assert {k: got[k] for k in ("a", "b")} == {"a": (1, 1, 1), "b": (3, 2, 2)} and got[None][:2] == (2, 2) and set(got) == {"a", "b", None}
+
+
+def test_gram_hashes():
+    words = "a b a b a c".split() + ["é" * 3]
+    for n in (1, 2, 13):
+        runs = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+        found = dedup.gram_hashes(words, n).tolist()
+        assert len(found) == len(runs) and len(set(found)) == len(set(runs)) == len(set(zip(found, runs)))
+
+
 def test_white_space(spark):
     """Each character that is white space, and its neighbours that are none, at the ends of texts and inside."""
     near = sorted({c + k for c in SPACES for k in (-1, 0, 1)} | {0x7E, 0x7F, 0xFFFF, 0x1F600})
